@@ -38,12 +38,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once into the shared folder and reads it back: lineage ends at replicated files."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes df once into the shared folder; the table read back, whose lineage ends at its files, and its path."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
