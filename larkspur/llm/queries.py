@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, secrets, simhash, warc
+from . import fingerprints, licenses, pieces, secrets, simhash, warc
 from .common import table
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), rate=0.1, seed=7)
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_neighbours(table(spark, sf_dir, "documents"))
 
@@ -33,7 +38,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op3_warc, op4_licenses, op8_simhash, op10_secrets)}
+    return {f.__name__: f for f in (op1_pieces, op2_fingerprints, op3_warc, op4_licenses, op8_simhash, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
