@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, pieces, secrets, simhash, warc
+from . import fingerprints, licenses, pieces, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -33,12 +33,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.spelled(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pieces, op2_fingerprints, op3_warc, op4_licenses, op8_simhash, op10_secrets)}
+    return {f.__name__: f for f in (op1_pieces, op2_fingerprints, op3_warc, op4_licenses, op8_simhash, op9_toxicity, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
