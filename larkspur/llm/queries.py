@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, packing, pieces, secrets, simhash, toxicity, warc
+from . import fingerprints, forest, licenses, packing, pieces, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(table(spark, sf_dir, "embeddings"), "id % 100 = 0", k=10)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -46,7 +50,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pieces, op2_fingerprints, op3_warc, op4_licenses, op7_packing, op8_simhash, op9_toxicity, op10_secrets)}
+    return {f.__name__: f for f in (op1_pieces, op2_fingerprints, op3_warc, op4_licenses, op5_forest, op7_packing, op8_simhash, op9_toxicity, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
