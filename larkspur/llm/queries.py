@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, forest, licenses, packing, pieces, secrets, simhash, toxicity, warc
+from . import fingerprints, forest, licenses, packing, pieces, secrets, simhash, toolcalls, toxicity, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.search(table(spark, sf_dir, "embeddings"), "id % 100 = 0", k=10)
 
 
+def op6_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link_turns(table(spark, sf_dir, "conversations")).withColumn("violations", F.array_join("violations", "; "))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -50,8 +54,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pieces, op2_fingerprints, op3_warc, op4_licenses, op5_forest, op7_packing, op8_simhash, op9_toxicity, op10_secrets)}
+    return {f.__name__: f for f in (op1_pieces, op2_fingerprints, op3_warc, op4_licenses, op5_forest, op6_toolcalls, op7_packing, op8_simhash, op9_toxicity, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.oracle()}
+    return {"op4_licenses": licenses.oracle(), "op6_toolcalls": toolcalls.oracle()}
