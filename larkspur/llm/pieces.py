@@ -8,8 +8,8 @@ the same in every run, on every executor. A rate of 0 gives the model's plain se
 
 No piece of the model spans from a character to a following word mark, so text is encoded word
 by word (marks and the characters behind them) and repeated words come from a bounded cache.
-Every occurrence draws one of `streams` keys; the streams bound the number of segmentations
-that one word can have.
+Every run of 32 words of a document draws one of `streams` keys; the streams bound the number
+of segmentations that one word can have.
 
 Defined cases: a null or empty text has no pieces and decodes to the empty string. Repeated
 rows (equal id and text) give equal pieces. Null ids count as 0 in the key. An empty table gives
@@ -21,11 +21,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +54,8 @@ _OWN_MARK = "\ud800"
 _ODD = 0x9E3779B97F4A7C15
 _NONE = np.iinfo(np.int64).max
 _SHORT = 48
+_RUN = 32
+_SLOTS = 20  # bits of the table of pairs
 
 
 @dataclass
@@ -68,11 +68,11 @@ class Pieces:
     byte_ids: list[int]
     data: list[bytes]
     ranked: np.ndarray
-    pair_keys: np.ndarray
-    pair_ranks: np.ndarray
+    slots: list[tuple[np.int64, np.ndarray, np.ndarray, np.ndarray]]
     char_table: np.ndarray
     prefix: bool = True  # a mark is put before the text, as the model's normaliser does
-    words: dict[tuple[int, str], tuple[int, ...]] = field(default_factory=dict)
+    words: list[dict[str, bytes]] = field(default_factory=list)  # by stream: ids of a word, 32 bits each
+    words_of: tuple[int, int] = (0, 0)  # number of streams and threshold that the words were segmented under
 
     @classmethod
     def load(cls, path: str) -> "Pieces":
@@ -99,11 +99,22 @@ class Pieces:
         char_ids = {t: i for t, i in ids.items() if len(t) == 1}
         table = np.full(0x110000, -1, np.int64)
         table[[ord(c) for c in char_ids]] = list(char_ids.values())
-        pair_keys = np.array(sorted(pairs), np.int64)
-        pair_ranks = np.array([pairs[k] for k in pair_keys.tolist()], np.int64)
-        return cls(char_ids, pairs, by_rank, byte_ids, data, np.array(by_rank, np.int64), pair_keys, pair_ranks, table)
-
-    def merge(self, word: str, key: int, threshold: int) -> tuple[int, ...]:
+        keys, ranks = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
+        # slots hold one pair each; those that meet a taken slot go to a further table with another spread
+        slots, spread = [], _ODD
+        while len(keys):
+            odd = np.int64(spread - (1 << 64) if spread >> 63 else spread)
+            slot = keys * odd >> 44 & (1 << _SLOTS) - 1
+            _, first = np.unique(slot, return_index=True)
+            slot_pairs, slot_ranks = np.full(1 << _SLOTS, -1, np.int64), np.full(1 << _SLOTS, -1, np.int64)
+            slot_pairs[slot[first]], slot_ranks[slot[first]] = keys[first], ranks[first]
+            slots.append((odd, slot_pairs, slot_ranks, np.bincount(slot, minlength=1 << _SLOTS) > 1))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, ranks, spread = keys[rest], ranks[rest], mix(spread) | 1
+        return cls(char_ids, pairs, by_rank, byte_ids, data, np.array(by_rank, np.int64), slots, table)
+
+    def merge(self, word: str, key: int, threshold: int) -> bytes:
         """Pieces of one word; a candidate is skipped where the keyed hash of its piece and place is under threshold."""
         pairs, by_rank = self.pairs, self.by_rank
         char = self.char_ids.get
@@ -136,14 +147,14 @@ class Pieces:
                     push(agenda, r << 32 | near)
         return self._spelled((x, word[i]) for i, x in enumerate(held) if x != -2)
 
-    def _spelled(self, symbols) -> tuple[int, ...]:
+    def _spelled(self, symbols) -> bytes:
         """Pieces, with the bytes of each character (-1) that is none."""
         out: list[int] = []
         for piece, c in symbols:
             out += [piece] if piece >= 0 else [self.byte_ids[b] for b in (MARK if c == _OWN_MARK else c).encode("utf-8", "surrogatepass")]
-        return tuple(out)
+        return np.array(out, "<i4").tobytes()
 
-    def merge_many(self, words: list[str], keys: np.ndarray, threshold: int) -> list[tuple[int, ...]]:
+    def merge_many(self, words: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
         """merge() of many words at once: in each round every word takes the best entry of its agenda."""
         counts = np.fromiter(map(len, words), np.int64, len(words))
         code_points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -184,50 +195,69 @@ class Pieces:
         held, code_points = held[order], code_points[order]
         ends = np.cumsum(np.bincount(owner, minlength=len(words)))
         odd = set(owner[order][held < 0].tolist())
-        ids, chars, ends = held.tolist(), code_points.tolist(), ends.tolist()
-        return [self._spelled(zip(ids[a:b], map(chr, chars[a:b]))) if i in odd else tuple(ids[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
+        ids, ends = held.astype("<i4").tobytes(), ends.tolist()
+        out = [ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+        for i in odd:
+            part = slice(ends[i - 1] if i else 0, ends[i])
+            out[i] = self._spelled(zip(held[part].tolist(), map(chr, code_points[part].tolist())))
+        return out
 
     def _entries(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Agenda entries of adjacent symbols: rank of their piece above their place, or none."""
-        pair = left << 16 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, pair), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == pair) & (left >= 0) & (right >= 0), self.pair_ranks[at] << 32 | place, _NONE)
-
-    def encode(self, texts: list[str], keys: list[int] | None = None, rate: float = 0.0, streams: int = 8, cache: int = 500_000) -> list[array]:
+        pair = left << 16 | right  # negative where a side is no piece
+        rank = np.full(len(pair), -1, np.int64)
+        todo = slice(None)
+        for spread, pairs, ranks, full in self.slots:
+            slot = pair[todo] * spread >> 44 & (1 << _SLOTS) - 1
+            hit = pairs[slot] == pair[todo]
+            rank[todo] = np.where(hit, ranks[slot], -1)
+            more = full[slot] & ~hit
+            todo = np.flatnonzero(more) if isinstance(todo, slice) else todo[more]
+            if not len(todo):
+                break
+        return np.where(rank >= 0, rank << 32 | place, _NONE)
+
+    def encode(self, texts: list[str], keys: list[int] | None = None, rate: float = 0.0, streams: int = 8, cache: int = 800_000) -> list[np.ndarray]:
         """Ids of each text; keys: what the seed and each document give. New words of all texts are segmented together."""
         threshold = int(rate * (1 << 32))
-        known = self.words
-        if len(known) > cache:
-            known.clear()
-        drawn: list[list[tuple[int, str]]] = []
+        streams = streams if threshold else 1
+        tables = self.words
+        if self.words_of != (streams, threshold) or sum(map(len, tables)) > cache:
+            tables = self.words = [{} for _ in range(streams)]
+            self.words_of = (streams, threshold)
+        split: list[tuple[list[bytes | None], list[tuple[int, int, str]]]] = []
         new: set[tuple[int, str]] = set()
         for n, text in enumerate(texts):
             text = text.replace(MARK, _OWN_MARK) if MARK in text else text
             words = _WORD.findall((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else [""]
             words.pop()  # the empty match at the end
-            if threshold:
-                draws = (mix_array(np.arange(len(words), dtype=np.uint64) * np.uint64(_ODD) ^ np.uint64(keys[n])) % np.uint64(streams)).tolist()
-            else:
-                draws = [-1] * len(words)
-            drawn.append(list(zip(draws, words)))
-            new.update(drawn[-1])
-        new -= known.keys()
+            runs = range(0, len(words), _RUN)
+            draws = (mix_array(np.arange(len(runs), dtype=np.uint64) * np.uint64(_ODD) ^ np.uint64(keys[n] if keys else 0)) % np.uint64(streams)).tolist()
+            found: list[bytes | None] = []
+            for stream, a in zip(draws, runs):
+                found += map(tables[stream].get, words[a : a + _RUN])
+            missing = [(i, draws[i // _RUN], words[i]) for i, got in enumerate(found) if got is None]
+            new.update(m[1:] for m in missing)
+            split.append((found, missing))
         pairs = list(new)
-        made = dict(zip(pairs, self._segment(pairs, threshold)))
+        made: list[dict[str, bytes]] = [{} for _ in range(streams)]
+        for (stream, word), ids in zip(pairs, self._segment(pairs, threshold)):
+            made[stream][word] = ids
         out = []
-        for pairs in drawn:
-            ids = array("i")
-            ids.extend(chain.from_iterable([known[p] if p in known else made[p] for p in pairs]))
-            out.append(ids)
-        known.update(p for p in made.items() if len(p[0][1]) <= _SHORT)
+        for found, missing in split:
+            for i, stream, word in missing:
+                found[i] = made[stream][word]
+            out.append(np.frombuffer(b"".join(found), "<i4"))
+        for table, words in zip(tables, made):
+            table.update(x for x in words.items() if len(x[0]) <= _SHORT)
         return out
 
     def decode(self, ids) -> str:
         """The text that was encoded, exactly."""
-        text = b"".join(map(self.data.__getitem__, ids)).decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.data.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "surrogatepass")
         return text[1:] if self.prefix and text else text
 
-    def _segment(self, pairs: list[tuple[int, str]], threshold: int) -> list[tuple[int, ...]]:
+    def _segment(self, pairs: list[tuple[int, str]], threshold: int) -> list[bytes]:
         """Segmentations of (stream, word) pairs: short words together, long ones by a heap each."""
         keys = word_keys(pairs)
         out: list = [None] * len(pairs)
@@ -274,10 +304,9 @@ def encode(df: DataFrame, model: str, rate: float = 0.1, seed: int = 7, streams:
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def _lists(ids: list[array]) -> pa.ListArray:
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-    flat = np.concatenate([np.frombuffer(x, np.int32) for x in ids if x]) if any(ids) else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
 
 
 def decode(df: DataFrame, model: str) -> DataFrame:
