@@ -1,15 +1,437 @@
-"""Named queries of the engine and the SQL that they are compared with."""
+"""Named queries of the engine and the SQL that they are compared with.
+
+Each query runs over its whole tables. Query texts are the first benchmark passages (a stated
+query set), query vectors the first embeddings.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.hashing import fnv1a_bucket, fnv1a_hex
+from ..functions.json import field_value
+from ..functions.text import sanitized, tokens
+from ..functions.vectors import quantized
+from ..operators import embedding, facts, filters, fusion, latency, lexical, merge, profile, quality, vector
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
 
+    return keep
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").withColumn("doc_id", F.col("doc_id").cast("string"))
+
+
+def _text_queries(spark: SparkSession, d: str, n: int = 20, k: int = 10) -> DataFrame:
+    return _table(spark, d, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query"), F.col("text").alias("query_text"), F.lit(k).alias("top_k"))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding")
+
+
+def _vector_queries(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
+    return _table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+def _rounded(hits: DataFrame, score: str = "score") -> DataFrame:
+    return hits.withColumn(score, F.round(score, 6))
+
+
+# --- the SQL forms share these parts ---------------------------------------------------------
+
+TOKENS = "list_transform(list_filter(regexp_split_to_array({0}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), lambda x: lower(x))"
+POSTINGS = f"postings AS (SELECT DISTINCT doc_id::VARCHAR AS doc_id, unnest({TOKENS.format('text')}) AS token FROM documents)"
+ASKED = f"asked AS (SELECT item_id AS query, unnest({TOKENS.format('text')}) AS token FROM benchmark WHERE item_id < 20)"
+TEXT_SCORES = "text_scores AS (SELECT query, doc_id, count(*)::BIGINT AS score FROM asked JOIN postings USING (token) GROUP BY ALL)"
+TEXT_RANKED = "text_ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INTEGER AS rank FROM text_scores)"
+TEXT = f"{POSTINGS}, {ASKED}, {TEXT_SCORES}, {TEXT_RANKED}"
+VECTOR_SCORES = "vector_scores AS (SELECT q.vec_id AS query, v.vec_id::VARCHAR AS doc_id, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id < {0})"
+VECTOR_RANKED = "vector_ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INTEGER AS rank FROM vector_scores)"
+FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(0, (length(hex(encode({0}))) // 2)::BIGINT), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+
+
+# --- text lane -------------------------------------------------------------------------------
+
+
+@query(f"SELECT token, count(*)::BIGINT AS n FROM (SELECT unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY token")
+def tok_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {POSTINGS} SELECT token, count(*)::BIGINT AS df FROM postings GROUP BY token")
+def postings_df(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.document_frequency(lexical.postings(_documents(spark, d)))
+
+
+@query(f"WITH {TEXT} SELECT query, rank, doc_id, score FROM text_ranked WHERE query = 0 AND rank <= 10")
+def text_topk_single(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.search(_text_queries(spark, d, 1), lexical.postings(_documents(spark, d)), 10)
+
+
+@query(f"WITH {TEXT} SELECT query, rank, doc_id, score FROM text_ranked WHERE rank <= 10")
+def text_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.search(_text_queries(spark, d), lexical.postings(_documents(spark, d)))
+
+
+@query(f"WITH {TEXT} SELECT query, doc_id, score, rank FROM text_ranked")
+def text_search_unbounded(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.search_all(_text_queries(spark, d), lexical.postings(_documents(spark, d)))
+
+
+@query(f"""WITH {POSTINGS}, asked AS (SELECT item_id AS query, unnest({TOKENS.format("text || ' ' || text || ' the the of'")}) AS token FROM benchmark WHERE item_id < 20), {TEXT_SCORES}, {TEXT_RANKED}
+SELECT query, rank, doc_id, score FROM text_ranked WHERE rank <= 10""")
+def text_topk_multiplicity(spark: SparkSession, d: str) -> DataFrame:
+    twice = _text_queries(spark, d).withColumn("query_text", F.concat_ws(" ", "query_text", "query_text", F.lit("the the of")))
+    return lexical.search(twice, lexical.postings(_documents(spark, d)))
+
+
+@query(f"WITH {POSTINGS} SELECT token, array_to_string(list_sort(list(doc_id)), ',') AS doc_ids FROM postings GROUP BY token")
+def inverted_index(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.inverted(lexical.postings(_documents(spark, d))).withColumn("doc_ids", F.array_join("doc_ids", ","))
+
+
+# --- embedding -------------------------------------------------------------------------------
+
+
+@query(f"""WITH words AS (SELECT DISTINCT unnest({TOKENS.format('text')}) AS token FROM documents), hashed AS (SELECT token, {FNV.format('token')} AS h FROM words)
+SELECT token, lower(printf('%016x', h::UBIGINT)) AS fnv, (h % 384)::BIGINT AS bucket FROM hashed""")
+def fnv_bucket(spark: SparkSession, d: str) -> DataFrame:
+    words = _documents(spark, d).select(F.explode(tokens(F.col("text"))).alias("token")).distinct()
+    return words.select("token", fnv1a_hex(F.col("token")).alias("fnv"), fnv1a_bucket(F.col("token"), 384).alias("bucket"))
+
+
+_EMBEDDED = f"""words AS (SELECT doc_id::VARCHAR AS doc_id, unnest({TOKENS.format('text')}) AS token FROM documents),
+hashed AS (SELECT token, ({FNV.format('token')} % 384)::BIGINT AS bucket FROM (SELECT DISTINCT token FROM words)),
+counted AS (SELECT doc_id, bucket, count(*) AS n FROM words JOIN hashed USING (token) GROUP BY ALL)"""
+
+
+@query(f"WITH {_EMBEDDED} SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6)::DOUBLE AS weight FROM counted")
+def embed_documents_norm(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(embedding.sparse(_documents(spark, d).select("doc_id", "text"), 384), "weight")
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: round(greatest(-1.0, least(1.0, x::DOUBLE)) * 127)::TINYINT), ',') AS preview FROM embeddings")
+def quantize_q8(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").select("vec_id", F.array_join(quantized(F.col("embedding")).cast("array<string>"), ",").alias("preview"))
+
+
+# --- vector lane -----------------------------------------------------------------------------
+
+
+@query(f"WITH {VECTOR_SCORES.format(1)}, {VECTOR_RANKED} SELECT query, rank, doc_id, round(score, 6) AS score FROM vector_ranked WHERE rank <= 10")
+def vec_topk_exact(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(vector.search_exact(_vector_queries(spark, d, 1), _vectors(spark, d), 10))
+
+
+@query(f"WITH {VECTOR_SCORES.format(10)}, {VECTOR_RANKED} SELECT query, rank, doc_id, round(score, 6) AS score FROM vector_ranked WHERE rank <= 10")
+def vec_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(vector.search_exact(_vector_queries(spark, d), _vectors(spark, d), 10))
+
+
+@query("""WITH small AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: round(greatest(-1.0, least(1.0, x::DOUBLE)) * 127)) AS q8 FROM embeddings),
+first AS (SELECT q.vec_id AS query, v.vec_id::VARCHAR AS doc_id, list_dot_product(v.q8::DOUBLE[], q.embedding::DOUBLE[]) AS s, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM small q, small v WHERE q.vec_id < 10),
+kept AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, doc_id) <= least(160, (SELECT count(*) FROM embeddings))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INTEGER AS rank FROM kept)
+SELECT query, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10""")
+def vec_preview_q8_rerank(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(vector.search_preview(_vector_queries(spark, d), _vectors(spark, d), 10))
+
+
+@query()
+def exact_vs_lsh_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the exact ten the hashed search finds, and whether the first is the same."""
+    asked, rows = _vector_queries(spark, d), _vectors(spark, d)
+    exact = vector.search_exact(asked, rows, 10).select("query", "doc_id", F.col("rank").alias("exact_rank"))
+    near = vector.search_hashed(asked, rows, 10, 64).select("query", "doc_id", "rank")
+    both = exact.join(near, ["query", "doc_id"], "left")
+    return both.groupBy("query").agg((F.count("rank") / 10).alias("recall"), F.max((F.col("exact_rank") == 1) & F.coalesce(F.col("rank") == 1, F.lit(False))).alias("same_first"))
+
+
+# --- fusion, filters, hydration --------------------------------------------------------------
+
+# text query i and vector query i are the two sides of one question; ids of documents and vectors are shared
+_LANES = f"{POSTINGS}, {ASKED.replace('< 20', '< 10')}, {TEXT_SCORES}, {TEXT_RANKED}, {VECTOR_SCORES.format(10)}, {VECTOR_RANKED}"
+
+
+def _fused_sql(text_limit: str, vector_limit: int, k: int, extra: str = "") -> str:
+    return f"""WITH {_LANES}, t AS (SELECT * FROM text_ranked WHERE rank <= {text_limit}), v AS (SELECT * FROM vector_ranked WHERE rank <= {vector_limit}),
+fused AS (SELECT coalesce(t.query, v.query) AS query, coalesce(t.doc_id, v.doc_id) AS doc_id, t.rank AS text_rank, v.rank AS vector_rank,
+  coalesce(1.0::DOUBLE / (60 + t.rank), 0) + coalesce(1.0::DOUBLE / (60 + v.rank), 0) AS score FROM t FULL JOIN v ON t.query = v.query AND t.doc_id = v.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INTEGER AS rank FROM fused)
+SELECT query, rank, doc_id, {extra} round(score, 9) AS score FROM ranked WHERE rank <= {k}"""
+
+
+def _lanes(spark: SparkSession, d: str, text_limit: int, vector_limit: int, k: int) -> DataFrame:
+    text = lexical.search(_text_queries(spark, d, 10), lexical.postings(_documents(spark, d)), text_limit)
+    near = vector.search_exact(_vector_queries(spark, d), _vectors(spark, d), vector_limit)
+    return fusion.fuse(text, near, k).withColumn("score", F.round("score", 9))
+
+
+@query(_fused_sql("10", 10, 10))
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return _lanes(spark, d, 10, 10, 10).select("query", "rank", "doc_id", "score")
+
+
+@query(_fused_sql("10", 10, 10, "text_rank, vector_rank,"))
+def rrf_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return _lanes(spark, d, 10, 10, 10)
+
+
+@query(_fused_sql("least((SELECT count(*) FROM documents), 100)", 10, 10, "text_rank, vector_rank,"))
+def hybrid_runtime_limits(spark: SparkSession, d: str) -> DataFrame:
+    return _lanes(spark, d, fusion.hybrid_text_limit(10, _documents(spark, d).count()), 10, 10)
+
+
+def _payloads(spark: SparkSession, d: str) -> DataFrame:
+    payload = F.parse_json(F.to_json(F.struct("doc_id", F.struct("lang", "source").alias("metadata"), "lang")))
+    return _documents(spark, d).select("doc_id", "text", payload.alias("payload"))
+
+
+@query(f"""WITH {TEXT}, m AS (SELECT least(640, 4096, (SELECT count(*) FROM documents)) AS m),
+kept AS (SELECT t.query, t.rank AS old, t.doc_id, t.score FROM text_ranked t JOIN documents d ON d.doc_id::VARCHAR = t.doc_id WHERE t.rank <= (SELECT m FROM m) AND d.lang = 'en' AND d.source = 'src1')
+SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY old)::INTEGER AS rank, doc_id, score FROM kept) WHERE rank <= 10""")
+def filtered_search_parity(spark: SparkSession, d: str) -> DataFrame:
+    """Over-fetch, filter, cut: what lies beyond the fetched candidates is missed."""
+    documents = _payloads(spark, d)
+    hits = lexical.search(_text_queries(spark, d), lexical.postings(documents), fusion.filtered_limit(10, documents.count()))
+    return filters.filter_hits(hits, documents, filters.parse_filter({"metadata.lang": "en", "metadata.source": "src1", "dropped": 3}), 10).select("query", "rank", "doc_id", "score")
+
+
+@query(f"""WITH postings AS (SELECT DISTINCT doc_id::VARCHAR AS doc_id, unnest({TOKENS.format('text')}) AS token FROM documents WHERE lang = 'en' AND source = 'src1'), {ASKED}, {TEXT_SCORES}, {TEXT_RANKED}
+SELECT query, rank, doc_id, score FROM text_ranked WHERE rank <= 10""")
+def filtered_search_pushdown(spark: SparkSession, d: str) -> DataFrame:
+    """Filter first: the scan reads matching documents only, and nothing is missed."""
+    return lexical.search(_text_queries(spark, d), lexical.postings(_documents(spark, d).where("lang = 'en' and source = 'src1'")))
+
+
+@query("""SELECT event_id, CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN json_extract_string(props, '$.k') = '5' ELSE false END AS parity, coalesce(json_extract_string(props, '$.k') = '5', false) AS cast_match FROM events""")
+def json_filter_events(spark: SparkSession, d: str) -> DataFrame:
+    """A number never equals a string; the second column casts first."""
+    props = F.parse_json("props")
+    return _table(spark, d, "events").select("event_id", F.coalesce(field_value(props, "k") == "5", F.lit(False)).alias("parity"), F.coalesce(F.try_variant_get(props, "$.k", "string") == "5", F.lit(False)).alias("cast_match"))
+
+
+@query("""SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'hybrid' WHEN item_id % 2 = 0 AND NOT item_id % 3 = 0 THEN 'vector' WHEN item_id % 3 = 0 THEN 'text' ELSE 'none' END AS lane FROM benchmark""")
+def lane_routing(spark: SparkSession, d: str) -> DataFrame:
+    on = lambda n: F.col("item_id") % n == 0
+    eligible = F.struct(on(3).alias("text"), on(2).alias("vector"), on(5).alias("hybrid"))
+    return filters.routed(_table(spark, d, "benchmark").withColumn("lane_eligibility", eligible)).select("item_id", "lane")
+
+
+@query(f"WITH {TEXT} SELECT t.query, t.rank, t.doc_id, t.score, d.text AS preview FROM text_ranked t LEFT JOIN documents d ON d.doc_id::VARCHAR = t.doc_id WHERE t.rank <= 10")
+def hydrate_preview(spark: SparkSession, d: str) -> DataFrame:
+    documents = _documents(spark, d)
+    return merge.hydrate(lexical.search(_text_queries(spark, d), lexical.postings(documents)), documents)
+
+
+# --- write path ------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)")
+def missing_vectors_anti(spark: SparkSession, d: str) -> DataFrame:
+    return merge.missing(_documents(spark, d), _vectors(spark, d))
+
+
+@query("""WITH new AS (SELECT doc_id::VARCHAR AS doc_id, upper(lang) AS lang, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents WHERE doc_id % 7 = 0
+UNION ALL SELECT 'new-' || item_id, 'xx', (SELECT count(*) FROM documents) + item_id FROM benchmark),
+old AS (SELECT doc_id::VARCHAR AS doc_id, lang, doc_id AS ord FROM documents)
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.lang, o.lang) AS lang, coalesce(o.ord, (SELECT max(ord) FROM old) + 1 + n.ord)::BIGINT AS ord FROM old o FULL JOIN new n ON n.doc_id = o.doc_id""")
+def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    documents = _table(spark, d, "documents")
+    n = documents.count()
+    old = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.col("doc_id").alias("ord"))
+    changed = documents.where("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("doc_id"), F.upper("lang").alias("lang"), F.lit(0).cast("long").alias("ord"))
+    added = _table(spark, d, "benchmark").select(F.concat(F.lit("new-"), "item_id").alias("doc_id"), F.lit("xx").alias("lang"), (F.col("item_id") + n).alias("ord"))
+    return merge.upsert(old, changed.unionByName(added))
+
+
+@query("""WITH bound AS (SELECT doc_id::VARCHAR AS external, doc_id AS internal FROM documents WHERE doc_id % 3 = 0),
+new AS (SELECT doc_id::VARCHAR AS external, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id % 3 <> 0)
+SELECT external, internal FROM bound UNION ALL SELECT external, ((SELECT max(internal) FROM bound) + n)::BIGINT FROM new""")
+def id_allocation(spark: SparkSession, d: str) -> DataFrame:
+    documents = _table(spark, d, "documents")
+    bound = documents.where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("external"), F.col("doc_id").alias("internal"))
+    return merge.allocate_ids(bound, documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("ord")))
+
+
+@query("""SELECT min(doc_id) AS min_id, max(doc_id) AS max_id, min(n_chars) AS min_timestamp_ms, max(n_chars) AS max_timestamp_ms, count(*) FILTER (lang <> 'de') AS live, count(*) FILTER (lang = 'de') AS tombstones FROM documents""")
+def segment_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "documents").select(F.col("doc_id").alias("internal_id"), F.col("n_chars").alias("timestamp_ms"), (F.col("lang") == "de").alias("deleted"))
+    return profile.segment_statistics(rows)
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
+    return profile.duplicate_ids(_documents(spark, d).select(F.sha2("text", 256).alias("digest")), "digest")
+
+
+# --- profiles --------------------------------------------------------------------------------
+
+_BYTES = "WITH sized AS (SELECT strlen(coalesce(text, ''))::BIGINT AS b FROM documents)"
+
+
+@query(f"""{_BYTES} SELECT count(*) AS doc_count, sum(b)::BIGINT AS total_bytes, round(avg(b), 6) AS mean_bytes, quantile_disc(b, 0.5) AS p50_bytes, quantile_disc(b, 0.95) AS p95_bytes, max(b) AS max_bytes FROM sized""")
+def corpus_profile(spark: SparkSession, d: str) -> DataFrame:
+    return profile.corpus_profile(_documents(spark, d)).select("doc_count", "total_bytes", F.round("mean_bytes", 6).alias("mean_bytes"), "p50_bytes", "p95_bytes", "max_bytes")
+
+
+@query(f"""{_BYTES} SELECT round(count(*) FILTER (b <= 64) / greatest(count(*), 1), 6)::DOUBLE AS short_ratio, round(count(*) FILTER (b BETWEEN 65 AND 256) / greatest(count(*), 1), 6)::DOUBLE AS medium_ratio, round(count(*) FILTER (b > 256) / greatest(count(*), 1), 6)::DOUBLE AS long_ratio FROM sized""")
+def length_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return profile.corpus_profile(_documents(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("short_ratio", "medium_ratio", "long_ratio")])
+
+
+@query("SELECT lang, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, CASE WHEN count(*) >= 4 THEN quantile_disc(n_chars, 0.99) END AS p99, count(*) AS samples FROM documents GROUP BY lang")
+def length_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    found = latency.percentiles(_documents(spark, d).select("lang", F.col("n_chars").alias("value")), "lang")
+    return found.select("lang", "samples", *[F.col(p).cast("long").alias(p) for p in ("p50", "p95", "p99")])
+
+
+@query("SELECT 'lang' AS facet, count(DISTINCT lang) AS cardinality, 0.0::DOUBLE AS null_ratio FROM documents UNION ALL SELECT 'source', count(DISTINCT source), 0.0::DOUBLE FROM documents")
+def facet_profile(spark: SparkSession, d: str) -> DataFrame:
+    return profile.facet_profile(_documents(spark, d), "lang", "source")
+
+
+@query("SELECT doc_id, (coalesce(sum(strlen(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\", (strlen(text) + 1)::BIGINT AS length FROM documents")
+def byte_offsets(spark: SparkSession, d: str) -> DataFrame:
+    lines = _table(spark, d, "documents").select(F.col("doc_id").alias("line"), "doc_id", (F.octet_length("text") + 1).cast("long").alias("length"))
+    return profile.byte_offsets(lines, 1000)
+
+
+@query("""WITH q AS (SELECT CASE item_id % 3 WHEN 0 THEN 'keyword' WHEN 1 THEN 'vector' ELSE 'hybrid' END AS class, CASE item_id % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'hard' ELSE 'medium' END AS difficulty FROM benchmark)
+SELECT count(*) AS query_count, array_to_string(list_sort(list(DISTINCT class)), ',') AS classes, count(*) FILTER (difficulty = 'easy') AS easy, count(*) FILTER (difficulty = 'medium') AS medium, count(*) FILTER (difficulty = 'hard') AS hard FROM q""")
+def query_set_summary(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("item_id")
+    rows = _table(spark, d, "benchmark").select(F.when(i % 3 == 0, "keyword").when(i % 3 == 1, "vector").otherwise("hybrid").alias("query_class"), F.when(i % 4 == 0, "easy").when(i % 4 == 1, "hard").otherwise("medium").alias("difficulty"))
+    return profile.query_set_summary(rows).withColumn("classes", F.array_join("classes", ","))
+
+
+# --- quality: judgements come from labels (quality and the id's remainder), results from the text lane
+
+_JUDGED = f"""{POSTINGS}, {ASKED}, {TEXT_SCORES}, {TEXT_RANKED},
+qrels AS (SELECT q.item_id AS query_id, l.doc_id::VARCHAR AS doc_id, ((l.quality * 2 + l.doc_id) % 4)::INTEGER AS relevance FROM labels l JOIN benchmark q ON q.item_id = l.doc_id % 20 WHERE q.item_id < 20),
+results AS (SELECT query AS query_id, rank, doc_id FROM text_ranked WHERE rank <= 100),
+hits AS (SELECT r.*, coalesce(q.relevance, 0) AS rel, q.relevance IS NULL AS unrated FROM results r LEFT JOIN qrels q USING (query_id, doc_id)),
+ideal AS (SELECT query_id, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS place FROM qrels),
+best AS (SELECT query_id, sum(CASE WHEN place <= 10 THEN (2.0 ** relevance - 1) / log2(place + 1) END) AS i10, sum(CASE WHEN place <= 20 THEN (2.0 ** relevance - 1) / log2(place + 1) END) AS i20, count(*) FILTER (relevance > 0) AS relevant FROM ideal GROUP BY 1),
+got AS (SELECT query_id, sum(CASE WHEN rank <= 10 THEN (2.0 ** rel - 1) / log2(rank + 1) END) AS d10, sum(CASE WHEN rank <= 20 THEN (2.0 ** rel - 1) / log2(rank + 1) END) AS d20,
+  count(*) FILTER (rel > 0 AND rank <= 10) AS f10, count(*) FILTER (rel > 0 AND rank <= 100) AS f100, count(*) FILTER (rel > 0 AND rank <= 1) AS f1, count(*) FILTER (rel > 0 AND rank <= 3) AS f3,
+  min(rank) FILTER (rel > 0 AND rank <= 10) AS first, count(*) FILTER (unrated) AS unrated, coalesce(array_to_string(list(doc_id ORDER BY rank) FILTER (unrated), ','), '') AS unrated_hits FROM hits GROUP BY 1),
+scores AS (SELECT b.query_id, CASE WHEN i10 > 0 THEN coalesce(d10, 0) / i10 ELSE 0 END AS ndcg_at_10, CASE WHEN i20 > 0 THEN coalesce(d20, 0) / i20 ELSE 0 END AS ndcg_at_20,
+  CASE WHEN relevant > 0 THEN coalesce(f10, 0) / relevant ELSE 0 END AS recall_at_10, CASE WHEN relevant > 0 THEN coalesce(f100, 0) / relevant ELSE 0 END AS recall_at_100, coalesce(f10, 0) / 10 AS precision_at_10,
+  coalesce(1.0::DOUBLE / first, 0) AS mrr_at_10, (coalesce(f1, 0) > 0)::INT::DOUBLE AS success_at_1, (coalesce(f3, 0) > 0)::INT::DOUBLE AS success_at_3, coalesce(unrated, 0) AS unrated, coalesce(unrated_hits, '') AS unrated_hits FROM best b LEFT JOIN got g USING (query_id))"""
+
+
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    judged = _table(spark, d, "labels").join(_text_queries(spark, d), F.col("doc_id") % 20 == F.col("query"))
+    qrels = judged.select(F.col("query").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), ((F.col("quality") * 2 + F.col("doc_id")) % 4).cast("int").alias("relevance"))
+    results = lexical.search(_text_queries(spark, d), lexical.postings(_documents(spark, d)), 100)
+    return qrels, results.select(F.col("query").alias("query_id"), "rank", "doc_id")
+
+
+def _metric(name: str, *columns: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return quality.per_query(*_judged(spark, d)).select("query_id", *[F.round(c, 6).alias(c) for c in columns])
+
+    run.__name__ = name
+    query(f"WITH {_JUDGED} SELECT query_id, {', '.join(f'round({c}, 6)::DOUBLE AS {c}' for c in columns)} FROM scores")(run)
+
+
+for _name, *_columns in (("ndcg10", "ndcg_at_10", "ndcg_at_20"), ("recall", "recall_at_10", "recall_at_100"), ("precision10", "precision_at_10"), ("mrr10", "mrr_at_10"), ("success", "success_at_1", "success_at_3")):
+    _metric(_name, *_columns)
+
+
+@query(f"WITH {_JUDGED} SELECT query_id, unrated::BIGINT AS unrated, unrated_hits FROM scores")
+def unrated_hits(spark: SparkSession, d: str) -> DataFrame:
+    return quality.per_query(*_judged(spark, d)).select("query_id", "unrated", F.array_join("unrated_hits", ",").alias("unrated_hits"))
+
+
+@query(f"WITH {_JUDGED} SELECT count(*) AS query_count, sum(unrated)::BIGINT AS unrated_hit_count, {', '.join(f'round(avg({m}), 6)::DOUBLE AS {m}' for m in quality.METRICS)} FROM scores")
+def quality_summary(spark: SparkSession, d: str) -> DataFrame:
+    return quality.summary(*_judged(spark, d)).select("query_count", "unrated_hit_count", *[F.round(m, 6).alias(m) for m in quality.METRICS])
+
+
+# --- latency ---------------------------------------------------------------------------------
+
+_PERCENTILES = "SELECT event_type, count(value) AS samples, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, CASE WHEN count(value) >= 4 THEN quantile_disc(value, 0.99) END AS p99 FROM events {0} GROUP BY event_type"
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").select("event_id", "event_type", "value")
+
+
+@query(_PERCENTILES.format(""))
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return latency.percentiles(_samples(spark, d), "event_type")
+
+
+@query(f"""WITH a AS ({_PERCENTILES.format('WHERE event_id % 2 = 1')}), b AS ({_PERCENTILES.format('WHERE event_id % 2 = 0')})
+SELECT event_type, round(a.p50 - b.p50, 9) AS p50_delta, round(a.p95 - b.p95, 9) AS p95_delta, round(a.p99 - b.p99, 9) AS p99_delta FROM a LEFT JOIN b USING (event_type)""")
+def baseline_delta(spark: SparkSession, d: str) -> DataFrame:
+    rows = _samples(spark, d)
+    candidate, baseline = (latency.percentiles(rows.where(f"event_id % 2 = {r}"), "event_type") for r in (1, 0))
+    found = latency.delta(candidate, baseline, "event_type")
+    return found.select("event_type", *[F.round(c, 9).alias(c) for c in ("p50_delta", "p95_delta", "p99_delta")])
+
+
+# --- memory and media ------------------------------------------------------------------------
+
+# turns as a fact log: a system or user turn names a kind or an alias, an assistant turn is a fact
+_FACTS = """facts AS (SELECT conv_id * 1000 + turn AS record_id, conv_id::VARCHAR AS subject, CASE WHEN role = 'assistant' THEN 'said' WHEN turn = 0 THEN '__entity_kind' ELSE '__entity_alias' END AS predicate,
+CASE WHEN turn = 0 THEN role ELSE substr(text, 1, 12) END AS value, role AS source, turn AS asserted_at_ms FROM conversations)"""
+
+
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    predicate = F.when(F.col("role") == "assistant", "said").when(F.col("turn") == 0, facts.KIND).otherwise(facts.ALIAS)
+    value = F.when(F.col("turn") == 0, F.col("role")).otherwise(F.substring("text", 1, 12))
+    return _table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"), F.col("conv_id").cast("string").alias("subject"), predicate.alias("predicate"), value.alias("value"), F.col("role").alias("source"), F.col("turn").alias("asserted_at_ms"))
+
+
+@query(f"WITH {_FACTS} SELECT record_id, subject, predicate, value FROM facts WHERE predicate = 'said'")
+def facts_by_subject(spark: SparkSession, d: str) -> DataFrame:
+    return facts.query(_facts(spark, d), predicate="said").select("record_id", "subject", "predicate", "value")
+
+
+_ENTITIES = f"""WITH {_FACTS}, kinds AS (SELECT subject, arg_max(value, record_id) AS kind, arg_max(source, record_id) AS source, arg_max(asserted_at_ms, record_id) AS asserted_at_ms FROM facts WHERE predicate = '__entity_kind' GROUP BY subject),
+seen AS (SELECT subject, value, min(record_id) AS nth FROM facts WHERE predicate = '__entity_alias' GROUP BY ALL), aliases AS (SELECT subject, array_to_string(list(value ORDER BY nth), '|') AS aliases FROM seen GROUP BY subject)"""
+
+
+@query(f"{_ENTITIES} SELECT k.subject, kind, source, asserted_at_ms, coalesce(aliases, '') AS aliases FROM kinds k LEFT JOIN aliases a ON a.subject = k.subject")
+def entity_view(spark: SparkSession, d: str) -> DataFrame:
+    return facts.entities(_facts(spark, d)).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query(f"{_ENTITIES} SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY nth)::INTEGER AS place, value AS alias FROM seen WHERE subject IN (SELECT subject FROM kinds)")
+def alias_distinct_order(spark: SparkSession, d: str) -> DataFrame:
+    return facts.entities(_facts(spark, d)).select("subject", F.posexplode("aliases").alias("place", "alias")).withColumn("place", F.col("place") + 1)
+
+
+@query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9]', '_', 'g') || '-' || substr(sha256(html), 1, 12) || '.bin' AS stored_name FROM pages")
+def asset_name_sanitize(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").select("page_id", F.concat(sanitized(F.col("url")), F.lit("-"), F.substring(F.sha2("html", 256), 1, 12), F.lit(".bin")).alias("stored_name"))
