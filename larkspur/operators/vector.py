@@ -104,7 +104,7 @@ def search_exact(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int
     else:
         parts, blocks = -(-queries.count() // BLOCK_QUERIES), max(1, -(-vectors.count() // block_rows))
         left = queries.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = vectors.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+        right = vectors.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
         def grid(q: pa.Table, v: pa.Table) -> pa.Table:
             if not len(q) or not len(v):
