@@ -61,8 +61,13 @@ def canonical_object(fields: dict[str, Column]) -> Column:
 
 
 def canonical_arguments(arguments: Column, schema: tuple[Argument, ...]) -> Column:
-    """The schema's arguments (a map of strings) as a canonical object."""
-    return canonical_object({a.name: quoted(F.element_at(arguments, a.name)) if a.kind == "string" else F.element_at(arguments, a.name) for a in schema})
+    """The schema's arguments (a map of strings) as a canonical object; a value that isn't of its kind is written as a string."""
+
+    def value(a: Argument) -> Column:
+        given = F.element_at(arguments, a.name)
+        return quoted(given) if a.kind == "string" else F.when(F.rlike(given, F.lit(_NUMBER[a.kind])), given).otherwise(quoted(given))
+
+    return canonical_object({a.name: value(a) for a in schema})
 
 
 def violations(arguments: Column, schema: tuple[Argument, ...]) -> Column:
