@@ -12,6 +12,7 @@ repeated results; rows with null ids are scanned like others. An empty table giv
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,9 +25,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
-#: A text without any of these holds no word that every rule needs.
-ANCHORS = ("licen", "spdx", "copyright", "gpl", "commons", "cc0", "domain", "reserved")
-CC_BY = r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
+#: Every rule needs one of these substrings or else has its keyword as a bare word.
+ANCHORS = ("licen", "spdx", "commons", "domain", "reserved", "permission", "redistribution", "neither", "mozilla")
 
 
 @dataclass(frozen=True)
@@ -124,7 +124,7 @@ def _family_rules() -> list[Rule]:
     named: set[str] = set()
     for label, name, version, spdx, short in FAMILIES:
         # the rarest word of a name is its longest one
-        key = max(name.split(), key=lambda w: (len(w) if w not in ("software", "public", "general", "open", "source", "clause", "license") else 0, w))
+        key = max(name.split(), key=lambda w: (len(w) if w not in ("software", "public", "general", "open", "source", "clause", "license", "what", "want") else 0, w))
         license_ = maybe(word("licen[cs]e"))
         full = phrase(name) + (license_ if version else word("licen[cs]e"))
         numbered = full + (stated + (phrase(version) if " " not in version or not version.endswith(" 0") else phrase(version[:-2]) + maybe(word("0"))) if version else "")
@@ -182,7 +182,7 @@ def _other_rules() -> list[Rule]:
         Rule("unlicense", phrase("this is free and unencumbered software released into the public domain"), "unencumbered", 1, 0.95),
         Rule("public-domain", word("released", "dedicated", "placed", "donated") + maybe(word("in", "to", "into")) + phrase("the public domain"), "domain", 2, 0.8),
         Rule("cc0-1.0", phrase("creativecommons org publicdomain zero"), "creativecommons", 1, 0.9),
-        Rule("wtfpl", phrase("do what the fuck you want to"), "want", 2, 0.8),
+        Rule("wtfpl", phrase("do what the fuck you want to"), "fuck", 2, 0.8),
         Rule("proprietary", phrase("all rights reserved"), "reserved", 3, 0.4),
         Rule("proprietary", word("proprietary") + maybe(phrase("and confidential")) + word("licen[cs]e"), "proprietary", 3, 0.5),
     ]
@@ -192,12 +192,24 @@ RULES: list[Rule] = _family_rules() + _creative_commons_rules() + _other_rules()
 LEVELS = 4
 
 
+def required(pattern: str) -> str:
+    """A pattern without its optional parts."""
+    return re.sub(r"\(\?:(?:[^()]|\(\?:[^()]*\))*\)\?", "", pattern)
+
+
+def bare_keywords() -> str:
+    """Regular expression for the keywords of rules that need no anchor, at the end of a word or before a version."""
+    names = sorted({re.sub("v[0-9]$", "", r.keyword) for r in RULES if not any(a in required(r.pattern) for a in ANCHORS)} | {"cc"})
+    return f"(?i)(?:{'|'.join(names)})(?:[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]|v[0-9])"
+
+
 def gate(text: Column) -> Column:
+    """Whether any rule or base phrase can match: a cheap superset."""
     low = F.lower(text)
     found = F.lit(False)
     for a in ANCHORS:
         found = found | F.contains(low, F.lit(a))
-    return found | (F.contains(low, F.lit("cc")) & F.rlike(text, F.lit(CC_BY)))
+    return found | F.rlike(text, F.lit(bare_keywords()))
 
 
 def numbered_words(words: Column) -> Column:
