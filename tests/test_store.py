@@ -156,6 +156,28 @@ def test_harness(spark):
     assert rows["good"].samples == 4 and rows["good"].p99 is not None and rows["bad"].p50 is None
 
 
+def test_bundles(spark, tmp_path):
+    samples = harness.run(spark, {"good": lambda: 1, "bad": lambda: 1 / 0}, 2)
+    folder = tmp_path / "run"
+    harness.write_bundle(str(folder), {"command": "profile", "arguments": ["x.ndjson"]}, samples)
+    got = harness.read_bundle(str(folder))
+    assert len(got["samples"]) == 4 and got["status"] == {"complete": True} and harness.replay_command(got["config"]) == "python -m larkspur.cli profile x.ndjson"
+    (folder / "sample-000.json").unlink()
+    assert harness.read_bundle(str(folder))["status"]["missing"] == ["sample-000.json"]
+    (folder / "summary.md").write_text("other")
+    with pytest.raises(ValueError, match="checksum mismatch: summary.md"):
+        harness.read_bundle(str(folder))
+    rows = {r.workload: r.delta for r in harness.mode_comparison(harness.summary(samples), harness.summary(samples)).collect()}
+    assert rows == {"good": 0.0, "bad": None}
+
+
+def test_vector_profile(spark):
+    vectors = spark.createDataFrame([(f"v{i}", [float(i % 5), 1.0]) for i in range(70)], "doc_id string, embedding array<float>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query long, vector array<double>")
+    found = harness.profile_vector_query(asked, vectors, 2, 2, "preview")
+    assert (found["mode"], found["candidates"], found["hits"]) == ("preview", 64, 2)
+
+
 def test_streaming_ingest(spark, tmp_path, store):
     folder = tmp_path / "in"
     folder.mkdir()
