@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.oracle(), "op6_toolcalls": toolcalls.oracle()}
+    return {"op3_warc": warc.oracle(), "op4_licenses": licenses.oracle(), "op6_toolcalls": toolcalls.oracle()}

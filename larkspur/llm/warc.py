@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, remove, shared_path
+from .common import in_slices, materialise, remove, shared_path
 
 BUFFER = 1 << 20
 INDEX_SCHEMA = "file string, offset long, length long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
@@ -137,6 +137,8 @@ def with_references(pages: DataFrame, smallest: int = 0) -> DataFrame:
     keys = rows.where((F.length("payload") >= smallest) & F.col("page_id").isNotNull()).groupBy("sha1", "page_id").agg(F.count(F.lit(1)).alias("rows"))
     of = keys.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("ids")).where("ids > 1").select("sha1", "refers_to")
     revisits = keys.select("sha1", "page_id").join(of, "sha1").where("page_id <> refers_to")
+    # stored first, so that its size is known: if it is small, it travels to the payloads, else both are shuffled by id
+    revisits = materialise(revisits, "warc-revisits")
     return rows.join(revisits, ["page_id", "sha1"], "left").select("page_id", "url", "payload", "refers_to")
 
 
@@ -247,3 +249,14 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or shared_path(spark, "warc")
     write_archive(pages, folder)
     return read_members(index_of(spark, folder), folder)
+
+
+def oracle() -> str:
+    """round_trip's rows over the pages in DuckDB SQL; base32 is spelled from twenty bits of the hash at a time."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    part = "('0x' || substr(h, 5 * i + 1, 5))::BIGINT"
+    four = " || ".join(f"substr('{letters}', (({part} >> {shift}) & 31) + 1, 1)" for shift in (15, 10, 5, 0))
+    return f"""
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+spelled AS (SELECT page_id, payload_bytes, h, array_to_string(list_transform(range(8), lambda i: {four}), '') AS payload_digest, max(page_id) OVER (PARTITION BY h) AS response FROM hashed)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to FROM spelled"""
