@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -85,36 +86,29 @@ def ranked_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_vectors(spark: SparkSession, ids_path: str, matrix_path: str, dimensions: int) -> DataFrame:
-    """(doc_id, embedding) of an id list and a row-major matrix of little-endian floats, read as fixed-length records.
+    """(doc_id, embedding) of an id list and a row-major matrix of little-endian floats.
 
-    The matrix length must be ids x dimensions. Records and ids meet by their position.
+    The matrix length must be ids x dimensions. Its rows are fixed-length records, which a file of
+    any size is split at; they meet the ids by their position.
     """
     import numpy as np
-    import pyarrow as pa
 
     ids = lines(spark, ids_path).select("line", F.try_variant_get(F.parse_json("value"), "$.doc_id", "string").alias("doc_id"))
-    n = ids.count()
-    content = spark.read.format("binaryFile").load(matrix_path)
-    if content.agg(F.sum("length")).first()[0] != n * dimensions * 4:
-        raise ValueError("vector payload length must match ids and dimensions")
-
-    def cut(batches):
-        for batch in batches:
-            for data in batch.column("content").to_pylist():
-                rows = np.frombuffer(data, "<f4").reshape(-1, dimensions)
-                yield pa.RecordBatch.from_pydict({"at": np.arange(len(rows)), "embedding": list(rows)})
-
-    vectors = content.select("content").mapInArrow(cut, "at long, embedding array<float>")
     # positions of the ids: counts of the partitions before, then the place within
     part = F.shiftright("line", 33)
-    sizes = ids.groupBy(part.alias("part")).count().collect()
-    before, starts = 0, []
-    for r in sorted(sizes, key=lambda r: r["part"]):
-        starts.append((r["part"], before))
-        before += r["count"]
-    from pyspark.sql import Window as W
-
-    numbered = ids.withColumn("part", part).join(F.broadcast(spark.createDataFrame(starts or [(0, 0)], "part long, start long")), "part")
+    sizes = sorted((r["part"], r["count"]) for r in ids.groupBy(part.alias("part")).count().collect())
+    starts, before = [], 0
+    for p, n in sizes:
+        starts.append((p, before))
+        before += n
+    length = spark.read.format("binaryFile").load(matrix_path).agg(F.sum("length")).first()[0]
+    if length != before * dimensions * 4:
+        raise ValueError("vector payload length must match ids and dimensions")
+    if not before:
+        return spark.createDataFrame([], "doc_id string, embedding array<float>")
+    records = spark.sparkContext.binaryRecords(matrix_path, dimensions * 4).zipWithIndex()
+    vectors = spark.createDataFrame(records.map(lambda r: (r[1], np.frombuffer(r[0], "<f4").tolist())), "at long, embedding array<float>")
+    numbered = ids.withColumn("part", part).join(F.broadcast(spark.createDataFrame(starts, "part long, start long")), "part")
     numbered = numbered.withColumn("at", F.col("start") + F.row_number().over(W.partitionBy("part").orderBy("line")) - 1)
     return numbered.join(vectors, "at").select("doc_id", "embedding")
 
