@@ -1,7 +1,8 @@
 """Named queries of the engine and the SQL that they are compared with.
 
-Each query runs over its whole tables. Query texts are the first benchmark passages (a stated
-query set), query vectors the first embeddings.
+Each query runs over its whole tables. Query texts are all benchmark passages. Query vectors are
+the embeddings whose id is divisible by 20 (a stated query set), or, where text and vectors are
+fused, those of the same ids as the passages.
 """
 
 from __future__ import annotations
@@ -48,16 +49,21 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").withColumn("doc_id", F.col("doc_id").cast("string"))
 
 
-def _text_queries(spark: SparkSession, d: str, n: int = 20, k: int = 10) -> DataFrame:
-    return _table(spark, d, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query"), F.col("text").alias("query_text"), F.lit(k).alias("top_k"))
+def _text_queries(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
+    return _table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"), F.lit(k).alias("top_k"))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding")
 
 
-def _vector_queries(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
-    return _table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+def _paired_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors that go with the query texts."""
+    return _table(spark, d, "embeddings").join(_text_queries(spark, d).select("query"), F.col("vec_id") == F.col("query")).select("query", F.col("embedding").alias("vector"))
 
 
 def _rounded(hits: DataFrame, score: str = "score") -> DataFrame:
@@ -68,11 +74,11 @@ def _rounded(hits: DataFrame, score: str = "score") -> DataFrame:
 
 TOKENS = "list_transform(list_filter(regexp_split_to_array({0}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), lambda x: lower(x))"
 POSTINGS = f"postings AS (SELECT DISTINCT doc_id::VARCHAR AS doc_id, unnest({TOKENS.format('text')}) AS token FROM documents)"
-ASKED = f"asked AS (SELECT item_id AS query, unnest({TOKENS.format('text')}) AS token FROM benchmark WHERE item_id < 20)"
+ASKED = f"asked AS (SELECT item_id AS query, unnest({TOKENS.format('text')}) AS token FROM benchmark)"
 TEXT_SCORES = "text_scores AS (SELECT query, doc_id, count(*)::BIGINT AS score FROM asked JOIN postings USING (token) GROUP BY ALL)"
 TEXT_RANKED = "text_ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INTEGER AS rank FROM text_scores)"
 TEXT = f"{POSTINGS}, {ASKED}, {TEXT_SCORES}, {TEXT_RANKED}"
-VECTOR_SCORES = "vector_scores AS (SELECT q.vec_id AS query, v.vec_id::VARCHAR AS doc_id, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id < {0})"
+VECTOR_SCORES = "vector_scores AS (SELECT q.vec_id AS query, v.vec_id::VARCHAR AS doc_id, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE {0})"
 VECTOR_RANKED = "vector_ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INTEGER AS rank FROM vector_scores)"
 FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(0, (length(hex(encode({0}))) // 2)::BIGINT), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
 
@@ -90,9 +96,11 @@ def postings_df(spark: SparkSession, d: str) -> DataFrame:
     return lexical.document_frequency(lexical.postings(_documents(spark, d)))
 
 
-@query(f"WITH {TEXT} SELECT query, rank, doc_id, score FROM text_ranked WHERE query = 0 AND rank <= 10")
+@query(f"""WITH {POSTINGS}, asked AS (SELECT 0::BIGINT AS query, unnest({TOKENS.format("'The of on, and of'")}) AS token), {TEXT_SCORES}, {TEXT_RANKED}
+SELECT query, rank, doc_id, score FROM text_ranked WHERE rank <= 10""")
 def text_topk_single(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.search(_text_queries(spark, d, 1), lexical.postings(_documents(spark, d)), 10)
+    asked = spark.createDataFrame([(0, "The of on, and of", 10)], "query long, query_text string, top_k int")
+    return lexical.search(asked, lexical.postings(_documents(spark, d)))
 
 
 @query(f"WITH {TEXT} SELECT query, rank, doc_id, score FROM text_ranked WHERE rank <= 10")
@@ -105,7 +113,7 @@ def text_search_unbounded(spark: SparkSession, d: str) -> DataFrame:
     return lexical.search_all(_text_queries(spark, d), lexical.postings(_documents(spark, d)))
 
 
-@query(f"""WITH {POSTINGS}, asked AS (SELECT item_id AS query, unnest({TOKENS.format("text || ' ' || text || ' the the of'")}) AS token FROM benchmark WHERE item_id < 20), {TEXT_SCORES}, {TEXT_RANKED}
+@query(f"""WITH {POSTINGS}, asked AS (SELECT item_id AS query, unnest({TOKENS.format("text || ' ' || text || ' the the of'")}) AS token FROM benchmark), {TEXT_SCORES}, {TEXT_RANKED}
 SELECT query, rank, doc_id, score FROM text_ranked WHERE rank <= 10""")
 def text_topk_multiplicity(spark: SparkSession, d: str) -> DataFrame:
     twice = _text_queries(spark, d).withColumn("query_text", F.concat_ws(" ", "query_text", "query_text", F.lit("the the of")))
@@ -145,18 +153,18 @@ def quantize_q8(spark: SparkSession, d: str) -> DataFrame:
 # --- vector lane -----------------------------------------------------------------------------
 
 
-@query(f"WITH {VECTOR_SCORES.format(1)}, {VECTOR_RANKED} SELECT query, rank, doc_id, round(score, 6) AS score FROM vector_ranked WHERE rank <= 10")
+@query(f"WITH {VECTOR_SCORES.format('q.vec_id = 0')}, {VECTOR_RANKED} SELECT query, rank, doc_id, round(score, 6) AS score FROM vector_ranked WHERE rank <= 10")
 def vec_topk_exact(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(vector.search_exact(_vector_queries(spark, d, 1), _vectors(spark, d), 10))
+    return _rounded(vector.search_exact(_table(spark, d, "embeddings").where("vec_id = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), _vectors(spark, d), 10))
 
 
-@query(f"WITH {VECTOR_SCORES.format(10)}, {VECTOR_RANKED} SELECT query, rank, doc_id, round(score, 6) AS score FROM vector_ranked WHERE rank <= 10")
+@query(f"WITH {VECTOR_SCORES.format('q.vec_id % 20 = 0')}, {VECTOR_RANKED} SELECT query, rank, doc_id, round(score, 6) AS score FROM vector_ranked WHERE rank <= 10")
 def vec_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(vector.search_exact(_vector_queries(spark, d), _vectors(spark, d), 10))
 
 
 @query("""WITH small AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: round(greatest(-1.0, least(1.0, x::DOUBLE)) * 127)) AS q8 FROM embeddings),
-first AS (SELECT q.vec_id AS query, v.vec_id::VARCHAR AS doc_id, list_dot_product(v.q8::DOUBLE[], q.embedding::DOUBLE[]) AS s, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM small q, small v WHERE q.vec_id < 10),
+first AS (SELECT q.vec_id AS query, v.vec_id::VARCHAR AS doc_id, list_dot_product(v.q8::DOUBLE[], q.embedding::DOUBLE[]) AS s, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM small q, small v WHERE q.vec_id % 20 = 0),
 kept AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, doc_id) <= least(160, (SELECT count(*) FROM embeddings))),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INTEGER AS rank FROM kept)
 SELECT query, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10""")
@@ -177,7 +185,7 @@ def exact_vs_lsh_recall(spark: SparkSession, d: str) -> DataFrame:
 # --- fusion, filters, hydration --------------------------------------------------------------
 
 # text query i and vector query i are the two sides of one question; ids of documents and vectors are shared
-_LANES = f"{POSTINGS}, {ASKED.replace('< 20', '< 10')}, {TEXT_SCORES}, {TEXT_RANKED}, {VECTOR_SCORES.format(10)}, {VECTOR_RANKED}"
+_LANES = f"{POSTINGS}, {ASKED}, {TEXT_SCORES}, {TEXT_RANKED}, {VECTOR_SCORES.format('q.vec_id IN (SELECT item_id FROM benchmark)')}, {VECTOR_RANKED}"
 
 
 def _fused_sql(text_limit: str, vector_limit: int, k: int, extra: str = "") -> str:
@@ -189,8 +197,8 @@ SELECT query, rank, doc_id, {extra} round(score, 9) AS score FROM ranked WHERE r
 
 
 def _lanes(spark: SparkSession, d: str, text_limit: int, vector_limit: int, k: int) -> DataFrame:
-    text = lexical.search(_text_queries(spark, d, 10), lexical.postings(_documents(spark, d)), text_limit)
-    near = vector.search_exact(_vector_queries(spark, d), _vectors(spark, d), vector_limit)
+    text = lexical.search(_text_queries(spark, d), lexical.postings(_documents(spark, d)), text_limit)
+    near = vector.search_exact(_paired_vectors(spark, d), _vectors(spark, d), vector_limit)
     return fusion.fuse(text, near, k).withColumn("score", F.round("score", 9))
 
 
@@ -259,25 +267,28 @@ def missing_vectors_anti(spark: SparkSession, d: str) -> DataFrame:
     return merge.missing(_documents(spark, d), _vectors(spark, d))
 
 
-@query("""WITH new AS (SELECT doc_id::VARCHAR AS doc_id, upper(lang) AS lang, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents WHERE doc_id % 7 = 0
+@query("""WITH new AS (SELECT doc_id::VARCHAR AS doc_id, upper(lang) AS lang, 0 AS ord FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
 UNION ALL SELECT 'new-' || item_id, 'xx', (SELECT count(*) FROM documents) + item_id FROM benchmark),
 old AS (SELECT doc_id::VARCHAR AS doc_id, lang, doc_id AS ord FROM documents)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.lang, o.lang) AS lang, coalesce(o.ord, (SELECT max(ord) FROM old) + 1 + n.ord)::BIGINT AS ord FROM old o FULL JOIN new n ON n.doc_id = o.doc_id""")
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents come in changed, benchmark passages come in new."""
     documents = _table(spark, d, "documents")
     n = documents.count()
     old = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.col("doc_id").alias("ord"))
-    changed = documents.where("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("doc_id"), F.upper("lang").alias("lang"), F.lit(0).cast("long").alias("ord"))
+    labelled = documents.join(_table(spark, d, "labels"), "doc_id", "left_semi")
+    changed = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.upper("lang").alias("lang"), F.lit(0).cast("long").alias("ord"))
     added = _table(spark, d, "benchmark").select(F.concat(F.lit("new-"), "item_id").alias("doc_id"), F.lit("xx").alias("lang"), (F.col("item_id") + n).alias("ord"))
     return merge.upsert(old, changed.unionByName(added))
 
 
-@query("""WITH bound AS (SELECT doc_id::VARCHAR AS external, doc_id AS internal FROM documents WHERE doc_id % 3 = 0),
-new AS (SELECT doc_id::VARCHAR AS external, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id % 3 <> 0)
+@query("""WITH bound AS (SELECT doc_id::VARCHAR AS external, doc_id AS internal FROM labels),
+new AS (SELECT doc_id::VARCHAR AS external, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
 SELECT external, internal FROM bound UNION ALL SELECT external, ((SELECT max(internal) FROM bound) + n)::BIGINT FROM new""")
 def id_allocation(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents are bound already."""
     documents = _table(spark, d, "documents")
-    bound = documents.where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("external"), F.col("doc_id").alias("internal"))
+    bound = _table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("external"), F.col("doc_id").alias("internal"))
     return merge.allocate_ids(bound, documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("ord")))
 
 
@@ -335,7 +346,7 @@ def query_set_summary(spark: SparkSession, d: str) -> DataFrame:
 # --- quality: judgements come from labels (quality and the id's remainder), results from the text lane
 
 _JUDGED = f"""{POSTINGS}, {ASKED}, {TEXT_SCORES}, {TEXT_RANKED},
-qrels AS (SELECT q.item_id AS query_id, l.doc_id::VARCHAR AS doc_id, ((l.quality * 2 + l.doc_id) % 4)::INTEGER AS relevance FROM labels l JOIN benchmark q ON q.item_id = l.doc_id % 20 WHERE q.item_id < 20),
+qrels AS (SELECT q.item_id AS query_id, l.doc_id::VARCHAR AS doc_id, ((l.quality * 2 + l.doc_id) % 4)::INTEGER AS relevance FROM labels l JOIN benchmark q ON q.item_id = l.doc_id % (SELECT count(*) FROM benchmark)),
 results AS (SELECT query AS query_id, rank, doc_id FROM text_ranked WHERE rank <= 100),
 hits AS (SELECT r.*, coalesce(q.relevance, 0) AS rel, q.relevance IS NULL AS unrated FROM results r LEFT JOIN qrels q USING (query_id, doc_id)),
 ideal AS (SELECT query_id, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS place FROM qrels),
@@ -349,7 +360,8 @@ scores AS (SELECT b.query_id, CASE WHEN i10 > 0 THEN coalesce(d10, 0) / i10 ELSE
 
 
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    judged = _table(spark, d, "labels").join(_text_queries(spark, d), F.col("doc_id") % 20 == F.col("query"))
+    asked = _text_queries(spark, d)
+    judged = _table(spark, d, "labels").join(asked, F.col("doc_id") % asked.count() == F.col("query"))
     qrels = judged.select(F.col("query").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), ((F.col("quality") * 2 + F.col("doc_id")) % 4).cast("int").alias("relevance"))
     results = lexical.search(_text_queries(spark, d), lexical.postings(_documents(spark, d)), 100)
     return qrels, results.select(F.col("query").alias("query_id"), "rank", "doc_id")
@@ -383,7 +395,7 @@ _PERCENTILES = "SELECT event_type, count(value) AS samples, quantile_disc(value,
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "events").select("event_id", "event_type", "value")
+    return _table(spark, d, "events").select("event_id", "ts", "event_type", "value")
 
 
 @query(_PERCENTILES.format(""))
@@ -391,11 +403,12 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return latency.percentiles(_samples(spark, d), "event_type")
 
 
-@query(f"""WITH a AS ({_PERCENTILES.format('WHERE event_id % 2 = 1')}), b AS ({_PERCENTILES.format('WHERE event_id % 2 = 0')})
+@query(f"""WITH a AS ({_PERCENTILES.format('WHERE hour(ts) >= 12')}), b AS ({_PERCENTILES.format('WHERE hour(ts) < 12')})
 SELECT event_type, round(a.p50 - b.p50, 9) AS p50_delta, round(a.p95 - b.p95, 9) AS p95_delta, round(a.p99 - b.p99, 9) AS p99_delta FROM a LEFT JOIN b USING (event_type)""")
 def baseline_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Afternoons against mornings."""
     rows = _samples(spark, d)
-    candidate, baseline = (latency.percentiles(rows.where(f"event_id % 2 = {r}"), "event_type") for r in (1, 0))
+    candidate, baseline = (latency.percentiles(rows.where(half), "event_type") for half in ("hour(ts) >= 12", "hour(ts) < 12"))
     found = latency.delta(candidate, baseline, "event_type")
     return found.select("event_type", *[F.round(c, 9).alias(c) for c in ("p50_delta", "p95_delta", "p99_delta")])
 
