@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from .common import id_and_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of lower-cased text, and the same words where A-Z is not lowered yet.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words of lower-cased text, and the same words where A-Z is not lowered yet: ASCII letters and digits and all
+#: beyond ASCII. Classes that list what belongs, matched possessively, are ten times as fast here as negated ones.
+WORD = r"[0-9a-z\x80-\x{10FFFF}]++"
+RAW_WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]++"
+SQL_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 #: Every rule needs one of these substrings or else has its keyword as a bare word.
 ANCHORS = ("licen", "spdx", "commons", "domain", "reserved", "permission", "redistribution", "neither", "mozilla")
@@ -197,19 +199,24 @@ def required(pattern: str) -> str:
     return re.sub(r"\(\?:(?:[^()]|\(\?:[^()]*\))*\)\?", "", pattern)
 
 
-def bare_keywords() -> str:
-    """Regular expression for the keywords of rules that need no anchor, at the end of a word or before a version."""
-    names = sorted({re.sub("v[0-9]$", "", r.keyword) for r in RULES if not any(a in required(r.pattern) for a in ANCHORS)} | {"cc"})
-    return f"(?i)(?:{'|'.join(names)})(?:[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]|v[0-9])"
+def bare_keywords() -> list[str]:
+    """Keywords of the rules that need no anchor, without a glued version."""
+    return sorted({re.sub("v[0-9]$", "", r.keyword) for r in RULES if not any(a in required(r.pattern) for a in ANCHORS)} | {"cc"})
 
 
 def gate(text: Column) -> Column:
-    """Whether any rule or base phrase can match: a cheap superset."""
+    """Whether any rule or base phrase can match: a cheap superset.
+
+    Substring tests come first; a short keyword that is found must end a word or have a version behind it.
+    """
     low = F.lower(text)
     found = F.lit(False)
     for a in ANCHORS:
         found = found | F.contains(low, F.lit(a))
-    return found | F.rlike(text, F.lit(bare_keywords()))
+    for k in bare_keywords():
+        here = F.contains(low, F.lit(k))
+        found = found | (here & F.rlike(low, F.lit(f"{k}(?:[\\x00-\\x60\\x7B-\\x7F]|v[0-9])")) if len(k) <= 5 else here)
+    return found
 
 
 def numbered_words(words: Column) -> Column:
@@ -279,7 +286,7 @@ def oracle() -> str:
     starts = lambda p: "list_transform(regexp_extract_all(numbered, '" + f" {p.split()[0]}#([0-9]+) " + "".join(f" {w}#[0-9]+ " for w in p.split()[1:]) + "', 1), lambda x: x::BIGINT)"
     return f"""
 WITH words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SQL_WORD}') AS w FROM documents),
 numbered AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(array_to_string(list_transform(w, lambda x, i: ' ' || x || '#' || (i - 1) || ' '), ''), '') AS numbered FROM words),
 rules(label, pattern, keyword, priority, weight) AS (VALUES {rules}),
