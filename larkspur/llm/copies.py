@@ -6,7 +6,8 @@ by content: every document goes to a few shards, each named by a pair of minimum
 so a shard holds documents that share passages, and documents of similarity s meet in at least one
 of n shards with probability 1 - (1 - s^2)^n (0.9997 at 0.8 and n = 8). In a shard a BK-tree of
 the fingerprints gives the pairs within the radius, and a sketch of the shingle sets (least hash
-of each of 256 bins) decides. A shard gives a spanning forest of its links, never all pairs.
+of each of 256 bins) decides. Fingerprints are of the sets too (repeats don't count), and the radius
+follows from the similarity: a pair that similar is beyond it once in a million. A shard gives a spanning forest of its links, never all pairs.
 
 Defined cases: texts are compared in lower-cased words, so a null, empty or white text equals
 another; a text of fewer words than a shingle has its whole sequence as one. Equal contents are
@@ -16,7 +17,9 @@ An empty table gives an empty result; other columns pass as they are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +56,37 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(either == 0, 1.0, chance / np.maximum(either, 1))
 
 
+def _bit_differs(both: int, left: int, right: int) -> float:
+    """Chance that a majority bit differs between sets with `both` common shingles and so many of their own."""
+
+    def set_by(k: int, own: int) -> float:
+        return sum(math.comb(own, x) for x in range(own + 1) if 2 * (k + x) > both + own) / 2**own
+
+    chance = 0.0
+    for k in range(both + 1):
+        a, b = set_by(k, left), set_by(k, right)
+        chance += math.comb(both, k) / 2**both * (a * (1 - b) + b * (1 - a))
+    return chance
+
+
+@lru_cache
+def radius_of(similarity: float, miss: float = 1e-6) -> int:
+    """Least radius that a pair of sets of this similarity, or a higher one, exceeds with a chance of at most `miss`.
+
+    Sets of equal sizes have the lowest correlation, 2s / (1 + s); a bit of large sets differs with
+    arccos of that over pi. Small sets, where ties are frequent, are counted out.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for n in range(1, 17):
+        for both in range(math.ceil(similarity * n - 1e-9), n + 1):
+            p = max([p, *(_bit_differs(both, left, n - both - left) for left in range(n - both + 1))])
+    tail, radius = 1.0, -1
+    while tail > miss and radius < 64:
+        radius += 1
+        tail = math.fsum(math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(radius + 1, 65))
+    return radius
+
+
 def shard_names(hashes: np.ndarray, shards: int) -> list[int]:
     """A name for each of `shards` pairs of minimum hashes."""
     if not len(hashes):
@@ -70,9 +104,8 @@ def described(df: DataFrame, words: int = 5, shards: int = 8, id_col: str = "doc
             content, prints, sketches, names = [], [], [], []
             for text in batch.column("text").to_pylist():
                 content.append(xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split())))
-                hashes = shingle_hashes(text, words)
+                hashes = np.unique(shingle_hashes(text, words))
                 prints.append(_signed(majority(hashes)))
-                hashes = np.unique(hashes)
                 sketches.append(sketch(hashes))
                 names.append(shard_names(hashes, shards))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary()), pa.array(names, pa.list_(pa.int64()))], ["doc_id", "content", "fp", "sketch", "shards"])
@@ -102,8 +135,9 @@ def _joined(n: int, forest: BKForest, sketches: np.ndarray, radius: int, similar
     return label
 
 
-def links(entries: DataFrame, similarity: float = 0.8, radius: int = 20) -> DataFrame:
-    """Spanning links (src, dst) among entries (node, fp, sketch, shards)."""
+def links(entries: DataFrame, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
+    """Spanning links (src, dst) among entries (node, fp, sketch, shards); the radius follows from the similarity."""
+    radius = radius_of(similarity) if radius is None else radius
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [b for b in batches if b.num_rows]
@@ -130,7 +164,7 @@ def links(entries: DataFrame, similarity: float = 0.8, radius: int = 20) -> Data
     return placed.repartition("shard").mapInArrow(run, "src long, dst long").where("src <> dst")
 
 
-def duplicates(df: DataFrame, similarity: float = 0.8, words: int = 5, shards: int = 8, radius: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicates(df: DataFrame, similarity: float = 0.8, words: int = 5, shards: int = 8, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id of every row with an id: the smallest id of its group of copies."""
     rows = materialise(described(df, words, shards, id_col, text_col).where("doc_id is not null"), "copies")
     entries = rows.groupBy("content").agg(F.min("doc_id").alias("node"), F.min(F.struct("fp", "sketch", "shards")).alias("of"))

@@ -101,3 +101,27 @@ def test_near_copies(spark, docs, sample):
     kept = sorted(((r.doc_id, r.text) for r in copies.drop_copies(docs(*rows)).collect()), key=repr)
     assert kept == sorted([(1, " ".join(words)), (3, " ".join(far)), (4, None), (0, "same  Words"), (None, "same words"), (None, "same words"), (9, "four words are here")], key=repr)
     assert copies.drop_copies(docs()).count() == 0
+
+
+def test_repeated_lines_hide_no_copy(spark, docs):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        line = [f"l{x}" for x in rng.integers(0, 10**6, 8)]
+        rows += [(2 * i, " ".join(words + line)), (2 * i + 1, " ".join(words + line * 150))]
+    want, close = _kept(rows)
+    assert close == 0 and want == {2 * i for i in range(40)}
+    assert {r.doc_id for r in copies.drop_copies(docs(*rows)).collect()} == want
+
+
+def test_radius_holds_copies():
+    rng = np.random.default_rng(4)
+    for size in (4, 12, 80, 800):
+        radius, far = copies.radius_of(0.8), 0
+        for _ in range(1000):
+            both = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, size, dtype=np.uint64)
+            own = rng.integers(0, 1 << 63, size // 4, dtype=np.uint64) * np.uint64(2)
+            left, right = (np.concatenate((both, x)) for x in (own[: len(own) // 2], own[len(own) // 2 :]))
+            far += (simhash.majority(left) ^ simhash.majority(right)).bit_count() > radius
+        assert far == 0
