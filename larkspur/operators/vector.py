@@ -132,9 +132,18 @@ def search_preview(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return rerank(search_exact(queries, small, limit), queries, vectors, k)
 
 
+#: Bits of a hash at most; a search uses the first of them.
+MAX_BITS = 16
+
+
+def hash_planes(dimensions: int, tables: int, seed: int = 7) -> np.ndarray:
+    """Random planes (table, bit, dimension); fewer bits are a prefix of more."""
+    return np.random.default_rng(seed).standard_normal((tables, MAX_BITS, dimensions))
+
+
 def signatures(vectors: DataFrame, column: str, dimensions: int, bits: int, tables: int, seed: int = 7) -> DataFrame:
     """vectors with one row a table: bucket, the signs of `bits` random projections."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dimensions))
+    planes = hash_planes(dimensions, tables, seed)
 
     def bucket(t: int):
         value = F.lit(0).cast("long")
@@ -147,13 +156,38 @@ def signatures(vectors: DataFrame, column: str, dimensions: int, bits: int, tabl
     return vectors.withColumn("_s", F.explode(F.array(*[bucket(t) for t in range(tables)]))).select("*", "_s.table", "_s.bucket").drop("_s")
 
 
-def search_hashed(queries: DataFrame, vectors: DataFrame, k: int, dimensions: int, bits: int = 6, tables: int = 12) -> DataFrame:
-    """Approximate: candidates share a bucket in some table, the most shared first; then exact scores."""
-    limit = approximate_limit(k, vectors.count())
+def calibrated_bits(queries: DataFrame, vectors: DataFrame, k: int, dimensions: int, tables: int, recall: float, sample: int = 64) -> int:
+    """Most bits at which the tables offer `recall` of the exact k best of a sample of the queries; 0 if none do.
+
+    Rows that equal their query are left out: they share every bucket.
+    """
+    asked = queries.orderBy(F.xxhash64("query"), "query").limit(sample).select("query", "vector")
+    asked = queries.sparkSession.createDataFrame(asked.toArrow(), asked.schema)
+    best = search_exact(asked, vectors, k + 1).select("query", "doc_id", "rank").join(vectors.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")), "doc_id")
+    pairs = best.join(asked.select("query", F.col("vector").cast("array<double>").alias("vector")), "query").where("embedding <> vector").orderBy("query", "rank").toArrow()
+    if not len(pairs):
+        return MAX_BITS
+    query = np.asarray(pairs["query"])
+    first = np.searchsorted(query, query)
+    kept = np.arange(len(query)) - first < k
+    planes = hash_planes(dimensions, tables).reshape(-1, dimensions)
+    equal = ((_matrix(pairs["vector"])[kept] @ planes.T > 0) == (_matrix(pairs["embedding"])[kept] @ planes.T > 0)).reshape(-1, tables, MAX_BITS)
+    shared = np.sort(np.logical_and.accumulate(equal, axis=2).sum(axis=2).max(axis=1))[::-1]
+    return int(shared[int(np.ceil(recall * len(shared))) - 1])
+
+
+def search_hashed(queries: DataFrame, vectors: DataFrame, k: int, dimensions: int, tables: int = 12, recall: float = 0.96) -> DataFrame:
+    """Approximate: all rows that share a bucket in some table, by exact scores.
+
+    The bits of a bucket are calibrated so that the recall of sampled queries is reached at any size;
+    where no number of bits reaches it, the search is exact.
+    """
+    bits = calibrated_bits(queries, vectors, k, dimensions, tables, recall)
+    if not bits:
+        return search_exact(queries, vectors, k)
     left = signatures(queries.select("query", "vector"), "vector", dimensions, bits, tables).select("query", "table", "bucket")
     right = signatures(vectors.select(F.col("doc_id").cast("string").alias("doc_id"), "embedding"), "embedding", dimensions, bits, tables).select("doc_id", "table", "bucket")
-    shared = left.join(right, ["table", "bucket"]).groupBy("query", "doc_id").agg(F.count(F.lit(1)).alias("score"))
-    return rerank(ranked(shared, limit), queries, vectors, k)
+    return rerank(left.join(right, ["table", "bucket"]).select("query", "doc_id").distinct(), queries, vectors, k)
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int, dimensions: int, mode: str = "auto", cold: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv1a_bucket, fnv1a_hex
@@ -174,12 +174,15 @@ def vec_preview_q8_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def exact_vs_lsh_recall(spark: SparkSession, d: str) -> DataFrame:
-    """How many of the exact ten the hashed search finds, and whether the first is the same."""
+    """How many of the exact ten besides the query's own row the hashed search finds, and whether the first of all is the same."""
     asked, rows = _vector_queries(spark, d), _vectors(spark, d)
-    exact = vector.search_exact(asked, rows, 10).select("query", "doc_id", F.col("rank").alias("exact_rank"))
-    near = vector.search_hashed(asked, rows, 10, 64).select("query", "doc_id", "rank")
-    both = exact.join(near, ["query", "doc_id"], "left")
-    return both.groupBy("query").agg((F.count("rank") / 10).alias("recall"), F.max((F.col("exact_rank") == 1) & F.coalesce(F.col("rank") == 1, F.lit(False))).alias("same_first"))
+    exact = vector.search_exact(asked, rows, 11).select("query", "doc_id", F.col("rank").alias("exact_rank"))
+    near = vector.search_hashed(asked, rows, 11, 64).select("query", "doc_id", "rank")
+    other = F.col("doc_id") != F.col("query").cast("string")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(~other, "exact_rank"))
+    both = exact.withColumn("counts", other & (place <= 10)).join(near, ["query", "doc_id"], "left")
+    found = F.try_divide(F.count_if(F.col("counts") & F.col("rank").isNotNull()), F.count_if(F.col("counts")))
+    return both.groupBy("query").agg(found.alias("recall"), F.max((F.col("exact_rank") == 1) & F.coalesce(F.col("rank") == 1, F.lit(False))).alias("same_first"))
 
 
 # --- fusion, filters, hydration --------------------------------------------------------------
