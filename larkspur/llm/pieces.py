@@ -2,14 +2,14 @@
 
 Encoding is the merge type: symbols start as characters, an agenda holds every adjacent pair
 that is a piece, best score first and leftmost among equals, and each candidate that comes up
-is skipped where its keyed hash falls under the dropout rate. The key is drawn from the seed and
-from the place of the word in its document, so one text gives varied segmentations which are
-the same in every run, on every executor. A rate of 0 gives the model's plain segmentation.
+is skipped where its keyed hash falls under the dropout rate. The key is drawn from the seed, the
+document and the place of the word in it, so every occurrence of a word is cut for itself, and in
+the same way in every run, on every executor. A rate of 0 gives the model's plain segmentation.
 
 No piece of the model spans from a character to a following word mark, so text is encoded word
-by word (marks and the characters behind them) and repeated words come from a bounded cache.
-Every run of 32 words of a document draws one of `streams` keys; the streams bound the number
-of segmentations that one word can have.
+by word (marks and the characters behind them). A bounded cache holds each word's plain segmentation
+and the merges that lead to it; an occurrence none of whose merges is skipped has that segmentation,
+and the others run through the agenda.
 
 Defined cases: a null or empty text has no pieces and decodes to the empty string. Repeated
 rows (equal id and text) give equal pieces. Null ids count as 0 in the key. An empty table gives
@@ -54,7 +54,6 @@ _OWN_MARK = "\ud800"
 _ODD = 0x9E3779B97F4A7C15
 _NONE = np.iinfo(np.int64).max
 _SHORT = 48
-_RUN = 32
 _SLOTS = 20  # bits of the table of pairs
 
 
@@ -71,8 +70,7 @@ class Pieces:
     slots: list[tuple[np.int64, np.ndarray, np.ndarray, np.ndarray]]
     char_table: np.ndarray
     prefix: bool = True  # a mark is put before the text, as the model's normaliser does
-    words: list[dict[str, bytes]] = field(default_factory=list)  # by stream: ids of a word, 32 bits each
-    words_of: tuple[int, int] = (0, 0)  # number of streams and threshold that the words were segmented under
+    words: dict[str, tuple[bytes, np.ndarray]] = field(default_factory=dict)  # plain ids of a word, 32 bits each, and its merges
 
     @classmethod
     def load(cls, path: str) -> "Pieces":
@@ -114,7 +112,7 @@ class Pieces:
             keys, ranks, spread = keys[rest], ranks[rest], mix(spread) | 1
         return cls(char_ids, pairs, by_rank, byte_ids, data, np.array(by_rank, np.int64), slots, table)
 
-    def merge(self, word: str, key: int, threshold: int) -> bytes:
+    def merge(self, word: str, key: int, threshold: int, taken: list[int] | None = None) -> bytes:
         """Pieces of one word; a candidate is skipped where the keyed hash of its piece and place is under threshold."""
         pairs, by_rank = self.pairs, self.by_rank
         char = self.char_ids.get
@@ -133,6 +131,8 @@ class Pieces:
                 continue  # a side has changed meanwhile
             if threshold and ((key ^ entry) * _ODD & _MASK) >> 32 < threshold:
                 continue
+            if taken is not None:
+                taken.append(entry)
             held[left], held[right] = by_rank[rank], -2
             after[left] = far = after[right]
             if far < n:
@@ -154,8 +154,11 @@ class Pieces:
             out += [piece] if piece >= 0 else [self.byte_ids[b] for b in (MARK if c == _OWN_MARK else c).encode("utf-8", "surrogatepass")]
         return np.array(out, "<i4").tobytes()
 
-    def merge_many(self, words: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
-        """merge() of many words at once: in each round every word takes the best entry of its agenda."""
+    def merge_many(self, words: list[str], keys: np.ndarray, threshold: int, taken: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
+        """merge() of many words at once: in each round every word takes the best entry of its agenda.
+
+        taken: receives the words and entries of the merges of each round.
+        """
         counts = np.fromiter(map(len, words), np.int64, len(words))
         code_points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         held = self.char_table[code_points]
@@ -178,6 +181,8 @@ class Pieces:
                 top_key = (keys[owner[top]] ^ entry.astype(np.uint64)) * np.uint64(_ODD)
                 merged = top_key >> np.uint64(32) >= threshold
                 top, entry = top[merged], entry[merged]
+            if taken is not None:
+                taken.append((owner[top], entry))
             held[top] = self.ranked[entry >> 32]
             keep = ~over
             keep[top + 1] = False
@@ -217,63 +222,86 @@ class Pieces:
                 break
         return np.where(rank >= 0, rank << 32 | place, _NONE)
 
-    def encode(self, texts: list[str], keys: list[int] | None = None, rate: float = 0.0, streams: int = 8, cache: int = 800_000) -> list[np.ndarray]:
-        """Ids of each text; keys: what the seed and each document give. New words of all texts are segmented together."""
+    def encode(self, texts: list[str], keys: list[int] | None = None, rate: float = 0.0, cache: int = 800_000) -> list[np.ndarray]:
+        """Ids of each text; keys: what the seed and each document give. Words of all texts are segmented together."""
         threshold = int(rate * (1 << 32))
-        streams = streams if threshold else 1
-        tables = self.words
-        if self.words_of != (streams, threshold) or sum(map(len, tables)) > cache:
-            tables = self.words = [{} for _ in range(streams)]
-            self.words_of = (streams, threshold)
-        split: list[tuple[list[bytes | None], list[tuple[int, int, str]]]] = []
-        new: set[tuple[int, str]] = set()
-        for n, text in enumerate(texts):
+        if len(self.words) > cache:
+            self.words = {}
+        occurring: list[str] = []
+        counts = []
+        for text in texts:
             text = text.replace(MARK, _OWN_MARK) if MARK in text else text
             words = _WORD.findall((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else [""]
             words.pop()  # the empty match at the end
-            runs = range(0, len(words), _RUN)
-            draws = (mix_array(np.arange(len(runs), dtype=np.uint64) * np.uint64(_ODD) ^ np.uint64(keys[n] if keys else 0)) % np.uint64(streams)).tolist()
-            found: list[bytes | None] = []
-            for stream, a in zip(draws, runs):
-                found += map(tables[stream].get, words[a : a + _RUN])
-            missing = [(i, draws[i // _RUN], words[i]) for i, got in enumerate(found) if got is None]
-            new.update(m[1:] for m in missing)
-            split.append((found, missing))
-        pairs = list(new)
-        made: list[dict[str, bytes]] = [{} for _ in range(streams)]
-        for (stream, word), ids in zip(pairs, self._segment(pairs, threshold)):
-            made[stream][word] = ids
-        out = []
-        for found, missing in split:
-            for i, stream, word in missing:
-                found[i] = made[stream][word]
-            out.append(np.frombuffer(b"".join(found), "<i4"))
-        for table, words in zip(tables, made):
-            table.update(x for x in words.items() if len(x[0]) <= _SHORT)
-        return out
+            occurring += words
+            counts.append(len(words))
+        distinct = list(dict.fromkeys(occurring))
+        known = self._plain(distinct)
+        found = [known[w][0] for w in occurring]
+        ends = np.cumsum([0, *counts])
+        if threshold and occurring:
+            number = dict(zip(distinct, range(len(distinct))))
+            of = np.fromiter(map(number.__getitem__, occurring), np.int64, len(occurring))
+            place_of = np.arange(len(of), dtype=np.uint64) - np.repeat(ends[:-1], counts).astype(np.uint64)
+            own = np.repeat(np.array(keys if keys else [0] * len(texts), np.uint64), counts)
+            place_keys = mix_array(own ^ (place_of + np.uint64(1)) * np.uint64(_ODD))
+            merges = [known[w][1] for w in distinct]
+            sizes = np.fromiter(map(len, merges), np.int64, len(merges))
+            entries = np.concatenate([np.empty(0, np.uint64), *merges])
+            starts = np.cumsum(sizes) - sizes
+            for a in range(0, len(of), 200_000):
+                part, part_keys = of[a : a + 200_000], place_keys[a : a + 200_000]
+                n = sizes[part]
+                upto = np.cumsum(n)
+                at = np.arange(upto[-1]) + np.repeat(starts[part] - upto + n, n)
+                skipped = (np.repeat(part_keys, n) ^ entries[at]) * np.uint64(_ODD) >> np.uint64(32) < np.uint64(threshold)
+                hit = np.unique(np.repeat(np.arange(len(part)), n)[skipped])
+                for i, ids in zip((hit + a).tolist(), self._segment([occurring[i] for i in (hit + a).tolist()], part_keys[hit], threshold)):
+                    found[i] = ids
+        ends = ends.tolist()
+        return [np.frombuffer(b"".join(found[a:b]), "<i4") for a, b in zip(ends, ends[1:])]
+
+    def _plain(self, distinct: list[str]) -> dict[str, tuple[bytes, np.ndarray]]:
+        """The plain ids and the merges of each word; short ones are kept in the cache."""
+        known = {w: got for w in distinct if (got := self.words.get(w)) is not None}
+        new = [w for w in distinct if w not in known]
+        short = [w for w in new if len(w) <= _SHORT]
+        for a in range(0, len(short), 50_000):
+            part = short[a : a + 50_000]
+            taken: list[tuple[np.ndarray, np.ndarray]] = []
+            ids = self.merge_many(part, np.zeros(len(part), np.uint64), 0, taken)
+            owner, entries = (np.concatenate(x) for x in zip(*taken)) if taken else (np.empty(0, np.int64), np.empty(0, np.int64))
+            entries = entries[np.argsort(owner, kind="stable")].astype(np.uint64)
+            cuts = np.cumsum(np.bincount(owner, minlength=len(part))).tolist()
+            for w, x, i, j in zip(part, ids, [0, *cuts], cuts):
+                self.words[w] = known[w] = (x, entries[i:j].copy())
+        for w in new:
+            if len(w) > _SHORT:
+                merges: list[int] = []
+                known[w] = (self.merge(w, 0, 0, merges), np.array(merges, np.uint64))
+        return known
 
     def decode(self, ids) -> str:
         """The text that was encoded, exactly."""
         text = b"".join(map(self.data.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "surrogatepass")
         return text[1:] if self.prefix and text else text
 
-    def _segment(self, pairs: list[tuple[int, str]], threshold: int) -> list[bytes]:
-        """Segmentations of (stream, word) pairs: short words together, long ones by a heap each."""
-        keys = word_keys(pairs)
-        out: list = [None] * len(pairs)
-        short = [i for i, (_, w) in enumerate(pairs) if len(w) <= _SHORT]
+    def _segment(self, words: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
+        """Segmentations of words under their keys: short words together, long ones by a heap each."""
+        out: list = [None] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= _SHORT]
         for a in range(0, len(short), 50_000):
             part = short[a : a + 50_000]
-            for i, got in zip(part, self.merge_many([pairs[i][1] for i in part], keys[part], threshold)):
+            for i, got in zip(part, self.merge_many([words[i] for i in part], keys[part], threshold)):
                 out[i] = got
-        for i, (_, w) in enumerate(pairs):
+        for i, w in enumerate(words):
             if out[i] is None:
                 out[i] = self.merge(w, int(keys[i]), threshold)
         return out
 
 
 def word_keys(pairs: list[tuple[int, str]]) -> np.ndarray:
-    """A key for each (stream, word)."""
+    """A key for each pair of a number and a word."""
     streams = np.fromiter((s + 2 for s, _ in pairs), np.uint64, len(pairs))
     sums = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for _, w in pairs), np.uint64, len(pairs))
     return mix_array(streams * np.uint64(0xD6E8FEB86659FD93) ^ sums)
@@ -292,13 +320,13 @@ def _document_keys(seed: int, batch: pa.RecordBatch) -> list[int]:
     return [_document_key(seed, d) for d in batch.column("doc_id").to_pylist()]
 
 
-def encode(df: DataFrame, model: str, rate: float = 0.1, seed: int = 7, streams: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, model: str, rate: float = 0.1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) of every whole text. A narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
         for batch in in_slices(batches, "text"):
-            ids = pieces.encode(batch.column("text").to_pylist(), _document_keys(seed, batch), rate, streams)
+            ids = pieces.encode(batch.column("text").to_pylist(), _document_keys(seed, batch), rate)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
@@ -321,7 +349,7 @@ def decode(df: DataFrame, model: str) -> DataFrame:
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(df: DataFrame, model: str, rate: float = 0.1, seed: int = 7, streams: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, model: str, rate: float = 0.1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text and decodes it again: number and CRC-32 of the ids (little-endian, 32 bits), and whether the text came back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +357,7 @@ def round_trip(df: DataFrame, model: str, rate: float = 0.1, seed: int = 7, stre
         for batch in in_slices(batches, "text"):
             rows: list[tuple] = []
             texts = batch.column("text").to_pylist()
-            for doc_id, text, ids in zip(batch.column("doc_id").to_pylist(), texts, pieces.encode(texts, _document_keys(seed, batch), rate, streams)):
+            for doc_id, text, ids in zip(batch.column("doc_id").to_pylist(), texts, pieces.encode(texts, _document_keys(seed, batch), rate)):
                 rows.append((doc_id, len(text), len(ids), zlib.crc32(ids.tobytes()), pieces.decode(ids) == text))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TRIP.types)], schema=_TRIP)

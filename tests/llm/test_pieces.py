@@ -43,3 +43,16 @@ def test_frames(spark, docs):
     encoded = pieces.encode(docs(*rows), PATH)
     assert sorted(r.text for r in pieces.decode(encoded, PATH).collect()) == sorted(t or "" for _, t in rows)
     assert pieces.round_trip(docs(), PATH).count() == 0
+
+
+def test_every_occurrence_is_cut_for_itself(model):
+    word, n = "▁internationalisation", 3000
+    keys = [pieces._document_key(seed, 5) for seed in (1, 2)]
+    cut = []
+    for key in keys:
+        places = pieces.mix_array(pieces.np.uint64(key) ^ (pieces.np.arange(n, dtype=pieces.np.uint64) + pieces.np.uint64(1)) * pieces.np.uint64(pieces._ODD))
+        want = [model.merge(word, int(k), int(0.2 * (1 << 32))) for k in places]
+        got = model.encode([" ".join([word[1:]] * n)], [key], 0.2)[0].tobytes()
+        assert got == b"".join(want)
+        cut.append(set(want))
+    assert len(cut[0]) > 8 and cut[0] - cut[1] and cut[1] - cut[0]
