@@ -5,12 +5,16 @@ record. The normaliser inflates such a stream once, front to back, and writes ev
 its own gzip member, with a sidecar table of offsets. A record is then one ranged read.
 
 Layout of an archive folder (in a store that driver and executors share):
-  stream/part-NNNNN.warc.gz   whole-file streams, as written
-  members/part-NNNNN.warc.gz  one gzip member a record
-  index/                      Parquet: file, offset, length, page_id, record_type, refers_to, ...
+  stream/part-NNNNN-X.warc.gz   whole-file streams, as written
+  files/                        Parquet: number and name of each stream
+  members/part-NNNNN-X.warc.gz  one gzip member a record
+  index/                        Parquet, a file a stream: file, offset, length, page_id, record_type, ...
 
-Files are written under an attempt's own name and then renamed, so a task that runs again
-leaves the same file, whole.
+Every attempt of a task writes a file of its own name (X), and only the committed attempt's name
+reaches the tables, so a task that runs again or twice at once takes no file from the other.
+
+Parallel work: as many normalising tasks as there are streams, dealt by their running number;
+reading is dealt by runs of neighbouring records, into tasks of about `READ_BYTES`.
 
 Defined cases: a null payload counts as empty; null ids are written as records of their own and
 never answer for another; repeated rows (same id and payload) are of one kind:
@@ -36,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import in_slices, materialise, remove, shared_path
 
 BUFFER = 1 << 20
+READ_BYTES = 64 << 20  # of compressed members that one reading task takes, where every core has work
+FILES_SCHEMA = "number long, file string, records long"
 INDEX_SCHEMA = "file string, offset long, length long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
 
@@ -114,16 +120,16 @@ def _store(uri: str):
     return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _put(uri: str, name: str, write) -> None:
-    """Writes a file by write(stream) under an attempt's name, then renames it."""
+def _write(uri: str, name: str, write) -> None:
+    """Writes a file by write(stream)."""
     fs, path = _store(uri)
     fs.create_dir(path, recursive=True)
-    attempt = f"{path}/_attempt-{uuid.uuid4().hex}"
-    with fs.open_output_stream(attempt, compression=None) as out:
+    with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
         write(out)
-    if fs.get_file_info(f"{path}/{name}").type != pa.fs.FileType.NotFound:  # an earlier attempt's, with the same content
-        fs.delete_file(f"{path}/{name}")
-    fs.move(attempt, f"{path}/{name}")
+
+
+def _attempt(number: int) -> str:
+    return f"part-{number:05d}-{uuid.uuid4().hex[:8]}.warc.gz"
 
 
 def with_references(pages: DataFrame, smallest: int = 0) -> DataFrame:
@@ -146,7 +152,8 @@ def write_streams(rows: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Writes each partition as a whole-file gzip stream of its records; a table of the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, count = f"part-{TaskContext.get().partitionId():05d}.warc.gz", 0
+        number, count = TaskContext.get().partitionId(), 0
+        name = _attempt(number)
 
         def write(out):
             nonlocal count
@@ -161,24 +168,30 @@ def write_streams(rows: DataFrame, folder: str, level: int = 6) -> DataFrame:
         if first is None:
             return
         batches = chain([first], batches)
-        _put(f"{folder}/stream", name, write)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], ["file", "records"])
+        _write(f"{folder}/stream", name, write)
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([name]), pa.array([count], pa.int64())], ["number", "file", "records"])
 
-    return rows.mapInArrow(run, "file string, records long")
+    return rows.mapInArrow(run, FILES_SCHEMA)
 
 
 def normalise(files: DataFrame, folder: str, level: int = 6) -> DataFrame:
-    """Rewrites each stream as one member a record; the offset index. A file is one task's work, never more in memory than a record."""
+    """Rewrites each stream as one member a record; the offset index.
+
+    A stream is one task's work, never more in memory than a record and its part of the index. The
+    number of tasks is stated, so adaptive execution leaves it; ranges of the streams' running
+    numbers give each task one stream, where hashes of names would leave every third task empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _store(f"{folder}/stream")
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for number, stream in zip(batch.column("number").to_pylist(), batch.column("file").to_pylist()):
                 rows: list[tuple] = []
+                name = _attempt(number)
 
-                def write(out, name=name, rows=rows):
+                def write(out, stream=stream, name=name, rows=rows):
                     offset = 0
-                    with fs.open_input_stream(f"{path}/{name}", compression=None) as source:
+                    with fs.open_input_stream(f"{path}/{stream}", compression=None) as source:
                         for h, head, block in Records(Inflated(source)):
                             z = zlib.compressobj(level, zlib.DEFLATED, 31)
                             member = z.compress(head + block + b"\r\n\r\n") + z.flush()
@@ -186,10 +199,10 @@ def normalise(files: DataFrame, folder: str, level: int = 6) -> DataFrame:
                             rows.append((name, offset, len(member), _int(h["warc-page-id"]), h["warc-type"], _int(h.get("warc-refers-to-page-id")), _int(h["warc-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:")))
                             offset += len(member)
 
-                _put(f"{folder}/members", name, write)
+                _write(f"{folder}/members", name, write)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _INDEX.types)], schema=_INDEX)
 
-    return files.repartition("file").mapInArrow(run, INDEX_SCHEMA)
+    return files.repartitionByRange(max(1, files.count()), "number").mapInArrow(run, INDEX_SCHEMA)
 
 
 _INDEX = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
@@ -203,7 +216,7 @@ def write_archive(pages: DataFrame, folder: str, smallest: int = 0) -> None:
     """Writes the pages as streams, normalises them and leaves members and index in the folder."""
     spark = pages.sparkSession
     write_streams(with_references(pages, smallest), folder).write.parquet(f"{folder}/files")
-    normalise(spark.read.schema("file string, records long").parquet(f"{folder}/files"), folder).write.parquet(f"{folder}/index")
+    normalise(spark.read.schema(FILES_SCHEMA).parquet(f"{folder}/files"), folder).write.parquet(f"{folder}/index")
     remove(spark, f"{folder}/stream")
 
 
@@ -211,8 +224,19 @@ def index_of(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
 
 
+def dealt(index: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """file, offset, length of the indexed records, dealt to tasks in runs of neighbours.
+
+    Ranges come from a sample of (file, offset); there is a task for each `read_bytes` of members,
+    and one a core at least. Only places travel, not records.
+    """
+    size, rows = index.agg(F.sum("length"), F.count(F.lit(1))).first()
+    tasks = max(-(-(size or 0) // read_bytes), min(rows, index.sparkSession.sparkContext.defaultParallelism), 1)
+    return index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
+
+
 def read_members(index: DataFrame, folder: str) -> DataFrame:
-    """Reads each indexed record by its offset; payload null for revisits. Neighbouring records are read in one go."""
+    """Reads each indexed record by its offset; payload null for revisits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _store(f"{folder}/members")
@@ -222,6 +246,8 @@ def read_members(index: DataFrame, folder: str) -> DataFrame:
             held = 0
             for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))):
                 if file != name:
+                    if source is not None:
+                        source.close()
                     name, source = file, fs.open_input_file(f"{path}/{file}")
                 member = zlib.decompress(source.read_at(length, offset), 31)
                 ((h, _, block),) = Records(io.BytesIO(member))
@@ -237,7 +263,7 @@ def read_members(index: DataFrame, folder: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_MEMBER)
 
-    return index.select("file", "offset", "length").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, file string, offset long")
+    return dealt(index).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, file string, offset long")
 
 
 _MEMBER = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64())])

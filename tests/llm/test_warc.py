@@ -48,3 +48,18 @@ def test_sample_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()]
     assert sorted(got, key=repr) == _expected([(r.page_id, r.url, r.html) for r in pages.collect()])
+
+
+def test_work_is_dealt(spark, tmp_path):
+    """A task a stream, and runs of records to every core, also where adaptive execution would merge small partitions."""
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    rows = [(i, "u", f"{i} " * 50) for i in range(600)]
+    folder = str(tmp_path / "w")
+    warc.write_archive(_pages(spark, *rows).repartition(12), folder)
+    index = warc.index_of(spark, folder)
+    assert len(list((tmp_path / "w/index").glob("*.parquet"))) == 12 and index.select("file").distinct().count() == 12
+    sizes = [n for n in warc.dealt(index).rdd.glom().map(len).collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 2 * 600 / len(sizes)
+    many = warc.dealt(index, 1 + index.agg({"length": "sum"}).first()[0] // 40)
+    assert many.rdd.getNumPartitions() == 40 and many.count() == 600
+    assert warc.read_members(index, folder).count() == 600
