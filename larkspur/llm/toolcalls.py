@@ -13,11 +13,14 @@ is "orphan"; further results of a call are "repeated" (the one of the smallest t
 smallest content, answers); of calls with equal identifiers the first by turn, then by arguments,
 stands, the others are "duplicate". Null identifiers link to nothing ("unidentified"). A call whose
 dependency is missing is a root; calls on a cycle get the position null and status "cyclic". Null
-arguments count as an empty object. Empty tables give an empty result.
+arguments count as an empty object, a null value is the JSON null. No argument is left out:
+those that the schema doesn't know, and all of an unknown tool, are written as strings. Numbers are
+spelled one way each (see `number`). Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,20 +57,44 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.when(F.rlike(out, F.lit(r"[\x00-\x1F]")), escaped).otherwise(out), F.lit('"'))
 
 
+def number(text: Column) -> Column:
+    """One spelling for each value of a JSON number in double precision; null where it is beyond that.
+
+    The digits with which Java spells the double; without exponent from 1e-6 up to 1e21, else as d.ddde+XX;
+    no sign before a zero.
+    """
+    value = text.cast("double")
+    size = F.abs(value)
+    plain = F.when(size < 1, value.cast("decimal(38,24)").cast("string")).otherwise(value.cast("decimal(38,16)").cast("string"))
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    power = F.regexp_replace(F.regexp_replace(F.regexp_replace(value.cast("string"), r"\.0E", "E"), "E-", "e-"), "E", "e+")
+    return F.when(size == 0, F.lit("0")).when((size >= 1e-6) & (size < 1e21), plain).when(size < float("inf"), power)
+
+
 def canonical_object(fields: dict[str, Column]) -> Column:
     """An object of JSON values, keys in code-point order; null values are left out."""
-    parts = [F.when(fields[k].isNotNull(), F.concat(F.lit(f'"{k}":'), fields[k])) for k in sorted(fields)]
+    parts = [F.when(fields[k].isNotNull(), F.concat(F.lit(json.dumps(k, ensure_ascii=False) + ":"), fields[k])) for k in sorted(fields)]
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def canonical_arguments(arguments: Column, schema: tuple[Argument, ...]) -> Column:
-    """The schema's arguments (a map of strings) as a canonical object; a value that isn't of its kind is written as a string."""
+    """All arguments (a map of strings) as a canonical object, keys in code-point order.
+
+    An argument that the schema gives a kind is written as such if its value fits, everything else as a string.
+    """
+    of_kind = {kind: [a.name for a in schema if a.kind == kind] for kind in _NUMBER}
 
-    def value(a: Argument) -> Column:
-        given = F.element_at(arguments, a.name)
-        return quoted(given) if a.kind == "string" else F.when(F.rlike(given, F.lit(_NUMBER[a.kind])), given).otherwise(quoted(given))
+    def entry(e: Column) -> Column:
+        key, value = e["key"], e["value"]
+        spelled = F.when(value.isNull(), F.lit("null"))
+        for kind, names in of_kind.items():
+            if names:
+                plain = {"integer": F.when(value == "-0", F.lit("0")).otherwise(value), "number": F.coalesce(number(value), quoted(value)), "boolean": value}[kind]
+                spelled = spelled.when(key.isin(*names) & F.rlike(value, F.lit(_NUMBER[kind])), plain)
+        return F.concat(quoted(key), F.lit(":"), spelled.otherwise(quoted(value)))
 
-    return canonical_object({a.name: value(a) for a in schema})
+    # strings are ordered by their UTF-8 bytes, which is the order of code points
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(arguments)), entry), ","), F.lit("}"))
 
 
 def violations(arguments: Column, schema: tuple[Argument, ...]) -> Column:
@@ -144,7 +171,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: SCHEMAS) -> DataFrame:
     status = F.when(F.col("call_id").isNull(), "unidentified").when(~F.col("stands"), "duplicate").when(F.col("depth").isNull(), "cyclic").when(F.col("answer").isNull(), "unanswered").otherwise("answered")
     linked = standing.unionByName(others).withColumn("status", status)
     wrong = by_tool(F.col("name"), schemas, lambda s: violations(F.col("arguments"), s), F.array(F.lit("name: unknown tool")))
-    args = by_tool(F.col("name"), schemas, lambda s: canonical_arguments(F.col("arguments"), s), F.lit("{}"))
+    args = by_tool(F.col("name"), schemas, lambda s: canonical_arguments(F.col("arguments"), s), canonical_arguments(F.col("arguments"), ()))
     linked = linked.withColumn("violations", wrong)
     linked = linked.select("call_id", "turn", "name", "status", F.col("depth").alias("position"), "violations", canonical_object({"arguments": args, "id": quoted(F.col("call_id")), "name": quoted(F.col("name")), "position": F.col("depth").cast("string"), "result": quoted(F.col("answer.content")), "status": quoted(F.col("status"))}).alias("json"))
     ids = calls.where("stands").select("call_id", F.lit(True).alias("called"))

@@ -55,3 +55,24 @@ def test_turns(spark):
     assert rows["1:3", "unanswered"].position == 1 and rows["1:3", "unanswered"].violations == ["prompt: too small"]
     assert json.loads(rows["1:1", "answered"].json)["result"] == "yo"
     assert not tc.link_turns(turns).where(F.col("json").isNull() & F.col("call_id").isNotNull()).count()
+
+
+def test_no_argument_is_lost(spark):
+    args = [("known", "add", {"a": "1", "zz": "5", 'k"\n': 'v"'}), ("none", "other", {"q": "v", "b": "1"}), ("null", "add", {"a": None, "é": "x", "Z": "y"})]
+    found = {r.call_id: json.loads(r.json)["arguments"] for r in _link(spark, [(i, 0, n, a, None) for i, n, a in args], [])}
+    assert found == {"known": {"a": 1, "zz": "5", 'k"\n': 'v"'}, "none": {"q": "v", "b": "1"}, "null": {"a": None, "é": "x", "Z": "y"}}
+    text = {r.call_id: r.json for r in _link(spark, [(i, 0, n, a, None) for i, n, a in args], [])}
+    assert text["null"].startswith('{"arguments":{"Z":"y","a":null,"é":"x"},')
+
+
+def test_numbers_have_one_spelling(spark):
+    spelled = {"1": "1", "1.0": "1", "1e0": "1", "-0": "0", "-0.0": "0", "10E-1": "1", "1.50": "1.5", "123456789012345680000": "123456789012345680000", "1e21": "1e+21", "1.5e300": "1.5e+300", "0.000001": "0.000001", "1e-7": "1e-7", "-2.5E-10": "-2.5e-10", "0.1": "0.1", "5e-324": "4.9e-324", "1e999": '"1e999"', "x": '"x"', "01": '"01"'}
+    calls = [(k, 0, "add", {"a": "-0", "b": k}, None) for k in spelled]
+    for r in _link(spark, calls, []):
+        assert r.json.startswith('{"arguments":{"a":0,"b":' + spelled[r.call_id] + "},"), r.json
+
+
+def test_long_text_and_clashing_columns(spark):
+    turns = spark.createDataFrame([(1, 0, "system", "x" * 300_000 + '"', 1, "a", "b", "c")], "conv_id long, turn long, role string, text string, stands int, depth string, answer string, call_id string")
+    (row,) = tc.link_turns(turns).collect()
+    assert row.violations == ["instruction: too large"] and json.loads(row.json)["arguments"]["instruction"] == "x" * 300_000 + '"'
