@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 
 _written: list[str] = []
 
+#: Rows of one key that a task of a join may get; keys with more are joined by broadcast (see spread_join).
+HOT = 512
+#: Hot keys that are broadcast at most; beyond that the join is salted.
+MOST_HOT = 1_000_000
+_SALTS = 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,3 +98,44 @@ def sampled(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """
     chosen = df.select(*keys).distinct().withColumn("h", F.xxhash64(*keys)).orderBy("h", *keys).limit(rows).select(*keys)
     return df.join(F.broadcast(chosen), list(keys), "left_semi")
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: str, weight: str, at_most: int | None = None, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, whose `on` is unique and whose `weight` is the number of rows of the key.
+
+    Keys with more than HOT rows, of which there are len(rows) / HOT at most, travel by broadcast, so
+    their rows stay where they are; only the others are shuffled. at_most: a known bound of the
+    number of hot keys, else they are counted. If there are too many to broadcast, all keys are salted.
+    """
+    hot, cold = keyed.where(F.col(weight) > HOT), keyed.where(F.col(weight) <= HOT)
+    if (hot.count() if at_most is None else at_most) > MOST_HOT:
+        salted = keyed.drop(weight).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        return rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS))).join(salted, [on, "_salt"], how).drop("_salt")
+    flagged = rows.join(F.broadcast(hot.drop(weight).withColumn("_hot", F.lit(True))), on, "left")
+    rest = flagged.where("_hot is null").select(*rows.columns).join(cold.drop(weight), on, how)
+    return flagged.where("_hot").drop("_hot").unionByName(rest)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 50_000) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows from batches sorted by a long key, cut between keys: a task holds one of them, or its largest group."""
+    import numpy as np
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            table = pa.Table.from_batches(held)
+            keys = np.asarray(table[key])
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield table.slice(0, cut)
+                held = table.slice(cut).combine_chunks().to_batches()
+            else:
+                held = table.to_batches()
+            size = len(table) - cut
+    if held:
+        yield pa.Table.from_batches(held)

@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, stored
+from .common import HOT, remove, spread_join, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """Each node's smallest neighbour, itself included."""
-    return edges.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
+    """Each node's smallest neighbour, itself included, and the number of its edges."""
+    return edges.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "least").alias("least"), "n")
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour larger than a node is hung onto the node's smallest neighbour."""
+def large_star(edges: DataFrame, size: int) -> DataFrame:
+    """Every neighbour larger than a node is hung onto the node's smallest neighbour. size: number of edges.
+
+    The nodes of many edges, 2 * size / HOT at most, are broadcast to their edges.
+    """
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
-    return both.where("v > u").join(_least(both), "u").select(F.col("v").alias("src"), F.col("least").alias("dst"))
+    return spread_join(both.where("v > u"), _least(both), "u", "n", 2 * size // HOT).select(F.col("v").alias("src"), F.col("least").alias("dst"))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, size: int) -> DataFrame:
     """A node and its smaller neighbours are hung onto the smallest of them."""
     down = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v")
     least = _least(down)
-    hung = down.join(least, "u").where("v <> least").select(F.col("v").alias("src"), F.col("least").alias("dst"))
+    hung = spread_join(down, least, "u", "n", size // HOT).where("v <> least").select(F.col("v").alias("src"), F.col("least").alias("dst"))
     return hung.union(least.where("u <> least").select(F.col("u").alias("src"), F.col("least").alias("dst")))
 
 
@@ -38,7 +41,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now, path = stored(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct(), "components")
     mark = _mark(now)
     for _ in range(max_rounds):
-        new, new_path = stored(small_star(large_star(now)).distinct(), "components")
+        new, new_path = stored(small_star(large_star(now, mark[0]), 2 * mark[0]).distinct(), "components")
         after = _mark(new)
         remove(spark, path)
         now, path = new, new_path

@@ -4,15 +4,25 @@ Copies that share four fifths of their five-word shingles may differ in more tha
 64-bit fingerprint, which is too far for shards cut from fingerprint bits. Here shards are named
 by content: every document goes to a few shards, each named by a pair of minimum shingle hashes,
 so a shard holds documents that share passages, and documents of similarity s meet in at least one
-of n shards with probability 1 - (1 - s^2)^n (0.9997 at 0.8 and n = 8). In a shard a BK-tree of
-the fingerprints gives the pairs within the radius, and a sketch of the shingle sets (least hash
-of each of 256 bins) decides. Fingerprints are of the sets too (repeats don't count), and the radius
-follows from the similarity: a pair that similar is beyond it once in a million. A shard gives a spanning forest of its links, never all pairs.
+of n shards with probability 1 - (1 - s^2)^n (0.99996 at 0.8 and n = 10). In a shard a BK-tree of
+the fingerprints gives the pairs within the radius, a sketch of the shingle sets (least hash of each
+of 256 bins) settles what is clear, and the sets themselves decide the rest. Fingerprints are of the
+sets too (repeats don't count), and the radius follows from the similarity: a pair that similar is
+beyond it once in a million. A shard gives a spanning forest of its links, never all pairs.
+
+No shard is taken whole by a task if it has more than `most` members. Members of a larger one meet
+where a second pair of their minimum hashes agrees too (missed once in 1,500 at 0.8). What is still
+larger then is mostly one group of copies: its members are dealt into blocks, to each of which the
+member of smallest hash is added as well; after that only blocks of members that are not yet in the
+same group are compared with each other, so a group costs about its size and no pair of two groups
+is left out.
 
 Defined cases: texts are compared in lower-cased words, so a null, empty or white text equals
 another; a text of fewer words than a shingle has its whole sequence as one. Equal contents are
-one entry. Of each group the smallest id stays, once. Rows with null ids stay and answer for no other.
-An empty table gives an empty result; other columns pass as they are.
+one entry, whatever their ids. Of each group one row stays: the smallest id and, among texts of that
+id in the group, the one of smallest digest. Rows of one id whose texts belong to different groups
+are judged each for itself. Rows with null ids stay and answer for no other. An empty table gives an
+empty result; other columns pass as they are.
 """
 
 from __future__ import annotations
@@ -26,12 +36,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import id_and_text, in_slices, materialise
+from .common import id_and_text, in_slices, materialise, spread_join, whole_groups
 from .components import connected_components
 from .simhash import BKForest, _signed, majority, shingle_hashes
 
 BINS = 256
+#: Sketches this far from the bound are clear: six standard errors at 0.8.
+CLEAR = 0.15
+#: Members of a shard that a task takes.
+MOST = 2048
 _MULTIPLIERS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -96,25 +111,39 @@ def shard_names(hashes: np.ndarray, shards: int) -> list[int]:
     return [_signed(xxhash.xxh3_64_intdigest(f"{i}:{least[2 * i]}:{least[2 * i + 1]}")) for i in range(shards)]
 
 
-def described(df: DataFrame, words: int = 5, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, content (digest of the words), fp, sketch, shards of every whole text. A narrow pass."""
+def content_of(text: str) -> bytes:
+    """Digest of the words."""
+    return xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()))
+
+
+def described(df: DataFrame, words: int = 5, shards: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, content, fp, sketch, shards, hashes (the set, sorted, 32 bits each) of every whole text. A narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
-            content, prints, sketches, names = [], [], [], []
+            content, prints, sketches, names, sets = [], [], [], [], []
             for text in batch.column("text").to_pylist():
-                content.append(xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split())))
+                content.append(content_of(text))
                 hashes = np.unique(shingle_hashes(text, words))
                 prints.append(_signed(majority(hashes)))
                 sketches.append(sketch(hashes))
                 names.append(shard_names(hashes, shards))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary()), pa.array(names, pa.list_(pa.int64()))], ["doc_id", "content", "fp", "sketch", "shards"])
+                sets.append(np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary()), pa.array(names, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "content", "fp", "sketch", "shards", "hashes"])
+
+    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, content binary, fp long, sketch binary, shards array<long>, hashes binary")
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, content binary, fp long, sketch binary, shards array<long>")
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this share of their union in common."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
-def _joined(n: int, forest: BKForest, sketches: np.ndarray, radius: int, similarity: float, step: int = 1 << 16) -> np.ndarray:
-    """Smallest item that verified links reach; pairs already joined are not looked at again."""
+
+def _joined(n: int, forest: BKForest, sketches: np.ndarray, sets: list[bytes], radius: int, similarity: float, step: int = 1 << 16) -> np.ndarray:
+    """Smallest item that links reach; pairs already joined are not looked at again."""
     label = np.arange(n)
     for a, b in forest.links(radius, 1 << 14):
         for i in range(0, len(a), step):
@@ -123,65 +152,135 @@ def _joined(n: int, forest: BKForest, sketches: np.ndarray, radius: int, similar
             x, y = x[apart], y[apart]
             if not len(x):
                 continue
-            alike = likeness(sketches[x], sketches[y]) >= similarity
-            x, y = x[alike], y[alike]
-            while len(x):
-                lx, ly = label[x], label[y]
-                differ = lx != ly
-                x, y, lx, ly = x[differ], y[differ], lx[differ], ly[differ]
-                np.minimum.at(label, np.maximum(lx, ly), np.minimum(lx, ly))
+            alike = likeness(sketches[x], sketches[y])
+            clear, open_ = alike >= similarity + CLEAR, np.abs(alike - similarity) < CLEAR
+            u, v = x[clear], y[clear]
+            while len(u):
+                lu, lv = label[u], label[v]
+                differ = lu != lv
+                u, v, lu, lv = u[differ], v[differ], lu[differ], lv[differ]
+                np.minimum.at(label, np.maximum(lu, lv), np.minimum(lu, lv))
                 while (label[label] != label).any():
                     label = label[label]
+            # the likeliest first: what they join needs no look at the others
+            order = np.argsort(-alike[open_], kind="stable")
+            for p, q in zip(x[open_][order].tolist(), y[open_][order].tolist()):
+                p_label, q_label = label[p], label[q]
+                if p_label != q_label and similar(np.frombuffer(sets[p], "<u4"), np.frombuffer(sets[q], "<u4"), similarity):
+                    label[label == max(p_label, q_label)] = min(p_label, q_label)
     return label
 
 
-def links(entries: DataFrame, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
-    """Spanning links (src, dst) among entries (node, fp, sketch, shards); the radius follows from the similarity."""
-    radius = radius_of(similarity) if radius is None else radius
+def _compared(placed: DataFrame, heads: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Spanning links (src, dst) of the items (shard, node) that share a shard; no shard may be large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [b for b in batches if b.num_rows]
-        if not kept:
-            return
-        table = pa.Table.from_batches(kept)
-        shard, node, fp = (np.asarray(table[c]) for c in ("shard", "node", "fp"))
-        order = np.lexsort((node, shard))
-        same = np.zeros(len(order), bool)
-        same[1:] = shard[order][1:] == shard[order][:-1]
-        same[:-1] |= same[1:]
-        order = order[same]
-        if not len(order):
-            return
-        sketches = np.frombuffer(b"".join(table["sketch"].take(pa.array(order)).to_pylist()), np.uint8).reshape(-1, BINS)
-        del table, kept
-        node = node[order]
-        label = _joined(len(order), BKForest(shard[order], fp[order].view(np.uint64)), sketches, radius, similarity)
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        pairs = np.unique(np.stack([node[moved], node[label[moved]]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
-
-    placed = entries.select("node", "fp", "sketch", F.explode("shards").alias("shard"))
-    return placed.repartition("shard").mapInArrow(run, "src long, dst long").where("src <> dst")
-
-
-def duplicates(df: DataFrame, similarity: float = 0.8, words: int = 5, shards: int = 8, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id of every row with an id: the smallest id of its group of copies."""
-    rows = materialise(described(df, words, shards, id_col, text_col).where("doc_id is not null"), "copies")
-    entries = rows.groupBy("content").agg(F.min("doc_id").alias("node"), F.min(F.struct("fp", "sketch", "shards")).alias("of"))
-    entries = materialise(entries.select("content", "node", "of.*"), "copies-distinct")
-    components = connected_components(links(entries, similarity, radius))
-    classes = entries.select("content", "node").join(components, "node", "left").select("content", F.coalesce("component", "node").alias("component_id"))
-    return rows.select("doc_id", "content").join(classes, "content").select("doc_id", "component_id")
-
-
-def drop_copies(df: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """The rows of df without copies: of each group the row of the smallest id, as it is."""
-    spare = duplicates(df, similarity, words).where("doc_id <> component_id").select(F.col("doc_id").alias("_spare")).distinct()
-    kept = df.join(spare, df["doc_id"].cast("long") == spare["_spare"], "left_anti")
-    twice = df.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    if twice.isEmpty():
+        for table in whole_groups(batches, "shard", 10_000):
+            node = np.asarray(table["node"])
+            sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+            forest = BKForest(np.asarray(table["shard"]), np.asarray(table["fp"]).view(np.uint64))
+            label = _joined(len(node), forest, sketches, table["hashes"].to_pylist(), radius, similarity)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            pairs = np.unique(np.stack([node[moved], node[label[moved]]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
+
+    full = placed.join(heads.select("node", "fp", "sketch", "hashes"), "node").select("shard", "node", "fp", "sketch", "hashes")
+    return full.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "src long, dst long").where("src <> dst")
+
+
+def _sized(placed: DataFrame, name: str) -> DataFrame:
+    """(shard, node, size) of the items whose shard has others too; a shard of many rows is not gathered."""
+    sizes = materialise(placed.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("n", F.col("size")), f"{name}-sizes")
+    return materialise(spread_join(placed, sizes, "shard", "n"), name)
+
+
+def _dense_blocks(dense: DataFrame, most: int) -> DataFrame:
+    """(shard, node): members of large shards in blocks, and with each block the shard's member of smallest hash."""
+    blocks = F.ceil(2 * F.col("size") / F.lit(most))
+    key = lambda b: F.xxhash64("shard", b.cast("long"))
+    dealt = dense.select(key(F.pmod(F.xxhash64("node"), blocks)).alias("shard"), "node")
+    heads = dense.groupBy("shard", "size").agg(F.min_by("node", F.xxhash64("node")).alias("node"))
+    heads = heads.select("shard", "node", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"))
+    return dealt.unionByName(heads.select(key(F.col("block")).alias("shard"), "node")).distinct()
+
+
+def _open_blocks(dense: DataFrame, components: DataFrame, most: int) -> DataFrame:
+    """(shard, node): pairs of blocks of a large shard whose members are not all in one group yet.
+
+    Large groups have blocks of their own, small ones share some; two blocks of one group don't meet again.
+    """
+    half = most // 2
+    known = dense.join(components, "node", "left").select("shard", "node", F.coalesce("component", "node").alias("component"))
+    known = known.withColumn("part", F.xxhash64("shard", "component"))
+    parts = materialise(known.groupBy("part").agg(F.min("shard").alias("shard"), F.count(F.lit(1)).alias("n")), "copies-parts")
+    several = parts.groupBy("shard").agg(F.count(F.lit(1)).alias("parts"), F.coalesce(F.sum(F.when(F.col("n") < half, F.col("n"))), F.lit(0)).alias("pooled")).where("parts > 1").select("shard", "pooled")
+    parts = parts.join(several, "shard").withColumn("own", F.col("n") >= half)
+    parts = parts.withColumn("of", F.when(F.col("own"), F.ceil(F.col("n") / half)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("pooled") / half)))).select("part", "own", "of", "n")
+    parts = materialise(parts, "copies-open")
+    if parts.isEmpty():
+        return dense.select("shard", "node").where("false")
+    # an own block: (part, number by node); a shared one: (null, number by part)
+    member = spread_join(known.select("shard", "node", "part"), parts, "part", "n")
+    number = F.pmod(F.when(F.col("own"), F.xxhash64("node")).otherwise(F.xxhash64("part")), F.col("of"))
+    member = materialise(member.select("shard", "node", F.xxhash64("shard", F.when(F.col("own"), F.col("part")), number).alias("block"), F.when(F.col("own"), F.col("part")).alias("whole")), "copies-members")
+    blocks = member.select("shard", "block", "whole").distinct()
+    a, b = blocks.select("shard", F.col("block").alias("a"), F.col("whole").alias("wa")), blocks.select("shard", F.col("block").alias("b"), F.col("whole").alias("wb"))
+    pairs = a.join(b, "shard").where("a < b and not coalesce(wa = wb, false) or a = b and wa is null")
+    pairs = pairs.select(F.xxhash64("shard", "a", "b").alias("meet"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    return member.join(pairs, "block").select(F.col("meet").alias("shard"), "node")
+
+
+def links(heads: DataFrame, similarity: float = 0.8, radius: int | None = None, most: int = MOST) -> DataFrame:
+    """Spanning links (src, dst) among heads (node, fp, sketch, shards, hashes); the radius follows from the similarity."""
+    radius = radius_of(similarity) if radius is None else radius
+    placed = _sized(heads.select(F.explode(F.array_distinct("shards")).alias("shard"), "node"), "copies-shards")
+    small = placed.where(F.col("size") <= most).select("shard", "node")
+    if placed.where(F.col("size") > most).isEmpty():
+        return _compared(small, heads, similarity, radius)
+    # large shards: members meet where another of their shards agrees too
+    of = placed.groupBy("node").agg(F.collect_list(F.when(F.col("size") > most, F.col("shard"))).alias("large"), F.collect_list("shard").alias("all")).where(F.size("large") > 0)
+    second = F.flatten(F.transform("large", lambda x: F.transform(F.filter("all", lambda y: y != x), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
+    second = _sized(of.select(F.explode(F.array_distinct(second)).alias("shard"), "node"), "copies-second")
+    small = small.unionByName(second.where(F.col("size") <= most).select("shard", "node"))
+    dense = second.where(F.col("size") > most)
+    if dense.isEmpty():
+        return _compared(small, heads, similarity, radius)
+    found = materialise(_compared(small.unionByName(_dense_blocks(dense, most)), heads, similarity, radius), "copies-links")
+    return found.unionByName(_compared(_open_blocks(dense, connected_components(found), most), heads, similarity, radius))
+
+
+def duplicates(df: DataFrame, similarity: float = 0.8, words: int = 5, shards: int = 10, radius: int | None = None, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, content, component_id, stays of every row with an id: the smallest id of its group of copies, and whether the row may answer for it."""
+    rows = described(df, words, shards, id_col, text_col).where("doc_id is not null")
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "copies")  # stored, so the numbers are settled
+    contents = materialise(rows.groupBy("content").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "copies-contents")
+    heads = rows.join(contents.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    components = connected_components(links(heads, similarity, radius, most))
+    named = contents.join(components, "node", "left").withColumn("group", F.coalesce("component", "node")).select("content", "least", "n", "group")
+    named = materialise(named, "copies-groups")
+    first = named.groupBy("group").agg(F.min(F.struct("least", "content")).alias("first"), F.count(F.lit(1)).alias("contents"))
+    judged = spread_join(named, first, "group", "contents").select("content", F.col("first.least").alias("component_id"), (F.col("content") == F.col("first.content")).alias("here"), "n")
+    found = spread_join(rows.select("doc_id", "content"), judged, "content", "n")
+    return found.select("doc_id", "content", "component_id", (F.col("here") & (F.col("doc_id") == F.col("component_id"))).alias("stays"))
+
+
+def drop_copies(df: DataFrame, similarity: float = 0.8, words: int = 5, most: int = MOST) -> DataFrame:
+    """The rows of df without copies: of each group one row, as it is, and all rows without an id."""
+    found = materialise(duplicates(df, similarity, words, most=most), "copies-found")
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("stays").alias("staying"))
+    # an id that occurs once is told by itself; of the others the content decides
+    marks = materialise(ids.select("doc_id", "n", F.when(F.col("staying") == 0, "goes").when(F.col("n") == 1, "stays").otherwise("open").alias("_copy_mark")), "copies-marks")
+    known = df.where("doc_id is not null").withColumn("_copy_id", F.col("doc_id").cast("long"))
+    marked = spread_join(known, marks.where("_copy_mark <> 'stays'").select(F.col("doc_id").alias("_copy_id"), "n", "_copy_mark"), "_copy_id", "n", how="left")
+    kept = df.where("doc_id is null").unionByName(marked.where("_copy_mark is null").select(*df.columns))
+    if marks.where("_copy_mark = 'open'").isEmpty():
         return kept
-    # ids that occur more than once: one of their rows stays
-    again = F.broadcast(twice) if twice.count() < 10_000 else twice
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once.select(*kept.columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("_copy_content", pa.array([content_of(t or "") for t in batch.column("text").to_pylist()], pa.binary()))
+
+    doubted = marked.where("_copy_mark = 'open'").drop("_copy_mark")
+    doubted = doubted.mapInArrow(run, StructType([*doubted.schema, StructField("_copy_content", BinaryType())])).dropDuplicates(["_copy_id", "_copy_content"])
+    staying = found.where("stays").select(F.col("doc_id").alias("_copy_id"), F.col("content").alias("_copy_content")).distinct()
+    return kept.unionByName(doubted.join(staying, ["_copy_id", "_copy_content"], "left_semi").select(*df.columns))

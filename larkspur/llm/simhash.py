@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, in_slices, materialise
+from .common import id_and_text, in_slices, materialise, spread_join, whole_groups
 from .components import connected_components
 
 SEED = 42
@@ -181,39 +181,35 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
     placed = prints.select("fp", "node", F.explode(shards).alias("s")).select(F.xxhash64("s.choice", "s.bits").alias("shard"), "fp", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[np.asarray(b.column(c)) for c in ("shard", "fp", "node")] for b in batches if b.num_rows]
-        if not held:
-            return
-        shard, fp, node = (np.concatenate(x) for x in zip(*held))
-        del held
-        order = np.lexsort((node, shard))
-        shard, fp, node = shard[order], fp[order].view(np.uint64), node[order]
-        same = np.zeros(len(shard), bool)
-        same[1:] = shard[1:] == shard[:-1]
-        same[:-1] |= same[1:]
-        shard, fp, node = shard[same], fp[same], node[same]
-        label = spanning(len(shard), BKForest(shard, fp).links(radius))
-        joined = np.flatnonzero(label != np.arange(len(label)))
-        src, dst = node[joined], node[label[joined]]  # items of a shard are in the order of their names
-        pairs = np.unique(np.stack([src, dst], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
-
-    return placed.repartition("shard").mapInArrow(run, "src long, dst long")
+        for table in whole_groups(batches, "shard"):
+            shard, fp, node = (np.asarray(table[c]) for c in ("shard", "fp", "node"))
+            fp = fp.view(np.uint64)
+            same = np.zeros(len(shard), bool)
+            same[1:] = shard[1:] == shard[:-1]
+            same[:-1] |= same[1:]
+            shard, fp, node = shard[same], fp[same], node[same]
+            label = spanning(len(shard), BKForest(shard, fp).links(radius))
+            joined = np.flatnonzero(label != np.arange(len(label)))
+            src, dst = node[joined], node[label[joined]]  # items of a shard are in the order of their names
+            pairs = np.unique(np.stack([src, dst], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
+
+    return placed.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, words: int = 4, radius: int = 4, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id that links reach, its own included."""
     docs = materialise(fingerprints(df, words, id_col, text_col), "simhash")
-    distinct = docs.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    distinct = docs.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
     named = materialise(distinct, "simhash-distinct")
     found = links(named.where("node is not null"), radius, blocks)
     return join_components(docs, named, connected_components(found))
 
 
 def join_components(docs: DataFrame, named: DataFrame, components: DataFrame) -> DataFrame:
-    """Fingerprints get the component of their name, rows that of their fingerprint."""
-    classes = named.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return docs.join(classes, "fp").select("doc_id", "fp", "component_id")
+    """Fingerprints get the component of their name, rows that of their fingerprint; one that many rows share comes to them."""
+    classes = named.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "n")
+    return spread_join(docs, classes, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def spelled(fp) -> F.Column:

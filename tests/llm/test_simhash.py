@@ -125,3 +125,68 @@ def test_radius_holds_copies():
             left, right = (np.concatenate((both, x)) for x in (own[: len(own) // 2], own[len(own) // 2 :]))
             far += (simhash.majority(left) ^ simhash.majority(right)).bit_count() > radius
         assert far == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark, docs):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = a.replace("a59", "zz")
+    rows = [(6, a), (6, b), (7, b), (8, a), (8, a), (6, near), (9, "own text"), (9, "own text"), (9, "other text"), (None, a)]
+    got = sorted(((r.doc_id, r.text) for r in copies.drop_copies(docs(*rows)).collect()), key=repr)
+    stays = min((a, near), key=copies.content_of)
+    assert got == sorted([(6, stays), (6, b), (9, "own text"), (9, "other text"), (None, a)], key=repr)
+
+
+@pytest.mark.parametrize("most", [2048, 16])
+def test_large_shards_lose_no_link(spark, docs, most):
+    """A large group of near copies, a chain, and documents that share a passage only; with small and large shards alike."""
+    rng = np.random.default_rng(8)
+    own = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    base, passage = own(200), own(60)
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        words[int(rng.integers(0, 200))] = own(1)[0]
+        texts.append(words)
+    chain = own(300)
+    for i in range(30):
+        texts.append(chain[4 * i :] + [f"c{j}" for j in range(4 * i)])
+    texts += [own(40) + passage + own(40) for _ in range(80)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    want, _ = _kept(rows)
+    got = {r.doc_id for r in copies.drop_copies(docs(*rows), most=most).collect()}
+    assert got == want
+
+
+def test_recall_on_a_larger_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    table = [(r.doc_id, r.text) for r in rows.collect()]
+    want, _ = _kept_fast(table)
+    got = {r.doc_id for r in copies.drop_copies(rows).collect()}
+    dropped = {i for i, _ in table} - want
+    assert len(dropped - got) >= 0.99 * len(dropped) and not want - got
+
+
+def _kept_fast(rows, similarity=0.8, words=5):
+    """As _kept, with sorted arrays."""
+    sets = [np.unique(simhash.shingle_hashes(t or "", words)) for _, t in rows]
+    known = {}
+    names = [known.setdefault(s.tobytes(), len(known)) for s in sets]
+    distinct = [np.frombuffer(x, np.uint64) for x in known]
+    every, at = np.unique(np.concatenate(distinct), return_inverse=True)
+    owner = np.repeat(np.arange(len(distinct)), [len(s) for s in distinct])
+    order = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[order], np.arange(len(every) + 1))
+    sizes = np.array([len(s) for s in distinct])
+    places = np.split(at, np.cumsum(sizes)[:-1])
+    label = np.arange(len(distinct))
+    for i, mine in enumerate(places):
+        met = np.concatenate([owner[order[cuts[x] : cuts[x + 1]]] for x in mine.tolist()]) if len(mine) else np.empty(0, int)
+        both = np.bincount(met, minlength=len(distinct))
+        for j in np.flatnonzero(both >= similarity * (sizes[i] + sizes - both)).tolist():
+            if label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+    least = {}
+    for (i, _), n in zip(rows, names):
+        least[label[n]] = min(i, least.get(label[n], i))
+    return set(least.values()), label
