@@ -54,9 +54,43 @@ def test_common_prefix():
     assert forest.shared_bits(a, b).tolist() == [64, 0, 63, 63]
 
 
-def test_sample_recall(spark):
-    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall_of_the_tables(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
+    ids, points = np.array(list(vectors)), np.stack(list(vectors.values()))
+    rows = forest.search(table, "id % 100 = 0", 10).collect()
+    pairs, hits = {(r.query_id, r.vec_id) for r in rows}, []
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((points - vectors[q]) ** 2).sum(axis=1))
+        hits += [(q, j) in pairs for j in [i for i in ids[np.lexsort((ids, d))] if i != q][:10]]
+    seen = {r.query_id: r.candidates for r in rows}
+    print(sf, "recall", sum(hits) / len(hits), "distances a query and row", sum(seen.values()) / len(seen) / len(ids))
+    assert sum(hits) / len(hits) >= 0.9 and max(seen.values()) <= len(ids)
+
+
+def test_clustered_vectors_need_few_distances(spark):
+    rng = np.random.default_rng(5)
+    centres = 3 * rng.standard_normal((60, 16))
+    rows = [(i, [float(x) for x in centres[i % 60] + 0.3 * rng.standard_normal(16)]) for i in range(6000)]
     want = _brute(rows, 10)
-    got = forest.search(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"), "id % 10 = 0", 10).collect()
-    pairs = {(r.query_id, r.vec_id) for r in got}
-    assert sum((q, j) in pairs for q, near in want.items() for j, _ in near) >= 0.9 * sum(map(len, want.values()))
+    found = forest.search(_rows(spark, rows), "id % 10 = 0", 10, block_rows=700).collect()
+    pairs = {(r.query_id, r.vec_id) for r in found}
+    seen = {r.query_id: r.candidates for r in found}
+    hits = [(q, j) in pairs for q, near in want.items() for j, _ in near]
+    print("recall", sum(hits) / len(hits), "distances a query and row", sum(seen.values()) / len(seen) / 6000)
+    assert sum(hits) / len(hits) >= 0.9 and sum(seen.values()) / len(seen) < 0.1 * 6000
+
+
+def test_descent_counts_prefixes():
+    rng = np.random.default_rng(2)
+    strings = rng.integers(0, 1 << 63, 500, dtype=np.uint64) >> np.uint64(4)
+    own = np.concatenate([strings[:20], rng.integers(0, 1 << 63, 20, dtype=np.uint64) >> np.uint64(4)])
+    table = forest.descend(strings, np.arange(40), own, 5)
+    got = {(r["q"], r["level"]): r["n"] for r in table.to_pylist()}
+    want = {}
+    for q in range(40):
+        for n in forest.shared_bits(own[q], strings).tolist():
+            want[q, n] = want.get((q, n), 0) + 1
+    assert got == {k: n for k, n in want.items() if k[1] >= 5}
+    assert (forest.exact_levels(own[None, :], strings[None, :])[3] == np.bincount(forest.shared_bits(own[3], strings), minlength=65)).all()
