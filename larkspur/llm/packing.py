@@ -1,21 +1,27 @@
 """Lexical retrieval packing: related documents share a training window.
 
 Documents become token ids once (in the shared folder), document frequencies of all ids are
-counted over the whole corpus, and documents are dealt into shards of about `shard_tokens`
-tokens. In each shard an inverted index with BM25 impacts (corpus-wide frequencies) is built;
-the document that opens a window is its seed, and its nearest unused neighbours fill the window
-in order of score. A document that meets the end of the window is cut there and opens the next
-one, so only the last window of a shard is padded.
+counted over the whole corpus, and documents are dealt by content into shards of about
+`shard_tokens` tokens. In each shard an inverted index with BM25 impacts (corpus-wide frequencies)
+is built; the document that opens a window is its seed, and its nearest unused neighbours fill the
+window in order of score. All terms of a seed are asked for. A document that meets the end of the
+window is cut there and opens the next one, so only the last window of a shard is padded.
+
+Dealing: each document draws a term with a chance in proportion to its BM25 impact, by the same
+fixed numbers everywhere (a weighted minimum hash), so two documents draw the same term with a
+probability of the share of impact that they have in common, however many shards there are.
+Documents of one term share a shard; if a term has too many for one, they are dealt by a second
+drawn term, and copies that agree in both by a hash: those are related however they are dealt.
+Terms that only one document has are not drawn.
 
 Defined cases: a null or empty text is the end id alone. Each row is a document of its own, also
-where ids or texts repeat. Rows go to shards by a hash of id and tokens, so null ids spread.
-Without a neighbour left, the next unused document (by id, null first, then tokens) fills. An empty
-table gives an empty result.
+where ids or texts repeat. Without a neighbour left, the next unused document (by id, null first, then
+tokens) fills. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import base64
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,11 +49,11 @@ class Tokens:
     may be cut there and each word encoded once.
     """
 
-    encoding: object
+    tokenizer: object
     known: dict[str, bytes] = field(default_factory=dict)
 
-    def ids(self, text: str) -> bytes:
-        return np.asarray(self.encoding.encode_ordinary(text), "<u2").tobytes()
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str], cache: int = 500_000) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
@@ -60,36 +66,37 @@ class Tokens:
             new.update(parts[1:])
         new -= known.keys()
         unsafe = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        for p in new - unsafe:
-            known[p] = self.ids(" " + p)
+        plain = list(new - unsafe)
+        known.update(zip(plain, self.ids([" " + p for p in plain])))
+        heads = iter(self.ids([head for head, *_ in split]))
         out = []
-        for text, (head, *rest) in zip(texts, split):
+        for text, (head, *rest), first in zip(texts, split, heads):
             if rest and (not head or head[-1].isspace() or (unsafe and not unsafe.isdisjoint(rest))):
-                out.append(b"".join(map(self.ids, _CUT.split(text))))
+                out.append(b"".join(self.ids(_CUT.split(text))))
             else:
-                out.append(b"".join([self.ids(head), *map(known.__getitem__, rest)]))
+                out.append(b"".join([first, *map(known.__getitem__, rest)]))
         return out
 
 
 @lru_cache(maxsize=2)
-def loaded(ranks_path: str) -> Tokens:
-    """ranks_path: base64 token and rank a line, as tiktoken reads them; the same vocabulary as the tokenizers file beside it."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    if max(ranks.values()) >= 1 << 16:
+def loaded(path: str) -> Tokens:
+    """path: a tokenizers file. A task has one core, so the library's own threads are off."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their spellings in a text are ordinary text
+    if tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("ids don't fit 16 bits")
-    return Tokens(tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+    return Tokens(tokenizer)
 
 
-def tokenise(df: DataFrame, ranks_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise(df: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian 16-bit, the end id last) and their number. A narrow pass."""
     end = end_id.to_bytes(2, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = loaded(ranks_path)
+        tokens = loaded(tokenizer)
         for batch in in_slices(batches, "text"):
             ids = [x + end for x in tokens.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], ["doc_id", "ids", "n"])
@@ -127,31 +134,33 @@ def statistics(tokenised: DataFrame) -> Statistics:
     return Statistics(documents, total / max(documents, 1), frequency)
 
 
+def idf_of(stats: Statistics) -> np.ndarray:
+    return np.log(1 + (stats.documents - stats.frequency + 0.5) / (stats.frequency + 0.5))
+
+
+def impacts(tf: np.ndarray, idf: np.ndarray, length: np.ndarray | int, mean_length: float, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+    """BM25 weight of terms in documents."""
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
+
+
 class Index:
     """Inverted index of a shard: for each id its documents and BM25 impacts."""
 
-    def __init__(self, documents: list[np.ndarray], stats: Statistics, k1: float = 1.2, b: float = 0.75, common: float = 0.1, terms: int = 12):
-        idf = np.log(1 + (stats.documents - stats.frequency + 0.5) / (stats.frequency + 0.5))
-        idf[stats.frequency > max(1, common * stats.documents)] = 0  # too common to tell documents apart
+    def __init__(self, documents: list[np.ndarray], stats: Statistics):
         found = [np.unique(d, return_counts=True) for d in documents]
-        term = np.concatenate([t for t, _ in found]).astype(np.int64)
+        self.query = [t.astype(np.int64) for t, _ in found]
+        term = np.concatenate(self.query)
         doc = np.repeat(np.arange(len(documents)), [len(t) for t, _ in found])
         tf = np.concatenate([c for _, c in found]).astype(np.float64)
         length = np.array([len(d) for d in documents], np.float64)[doc]
-        impact = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / stats.mean_length))
-        keep = impact > 0
-        term, doc, impact = term[keep], doc[keep], impact[keep]
-        # a document asks by its own terms of highest impact
-        by = np.lexsort((term, -impact, doc))
-        starts = np.searchsorted(doc[by], np.arange(len(documents) + 1))
-        self.query = [term[by[a : min(a + terms, z)]] for a, z in zip(starts[:-1], starts[1:])]
-        by = np.lexsort((doc, term))
+        impact = impacts(tf, idf_of(stats)[term], length, stats.mean_length)
+        by = np.argsort(term, kind="stable")
         self.doc, self.impact = doc[by], impact[by]
         self.at = np.searchsorted(term[by], np.arange((1 << 16) + 1))
         self.n = len(documents)
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first, ties in document order."""
+        """Unused documents that share a term with the seed, best first, ties in document order."""
         terms = self.query[seed]
         if not len(terms):
             return terms
@@ -198,23 +207,67 @@ def pack_shard(documents: list[np.ndarray], stats: Statistics, window: int = WIN
             waiting = index.neighbours(doc, used)[: window - offset][::-1].tolist()
 
 
+def drawn(tokenised: DataFrame, stats: Statistics, terms: int = 2, seed: int = 13) -> DataFrame:
+    """tokenised with the terms k0, k1 that each document draws in proportion to their impact (-1 where it shares none)."""
+    races = np.random.default_rng(seed).exponential(size=(terms, 1 << 16))
+    idf = np.where(stats.frequency > 1, idf_of(stats), 0.0)
+    names = [f"k{i}" for i in range(terms)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for ids in batch.column("ids").to_pylist():
+                term, tf = np.unique(np.frombuffer(ids, "<u2"), return_counts=True)
+                weight = impacts(tf, idf[term], len(ids) // 2, stats.mean_length)
+                term, weight = term[weight > 0], weight[weight > 0]
+                keys.append([int(term[np.argmin(r[term] / weight)]) if len(term) else -1 for r in races])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([k[i] for k in keys], pa.int32()) for i in range(terms))], [*batch.schema.names, *names])
+
+    return tokenised.mapInArrow(run, ", ".join(["doc_id long, ids binary, n long", *(f"{n} int" for n in names)]))
+
+
+def dealt(tokenised: DataFrame, stats: Statistics, shard_tokens: int) -> DataFrame:
+    """tokenised with the shard of each document: about shard_tokens tokens each, twice that at most but for a document's own length.
+
+    On the driver are the tokens of each first term (bounded by the vocabulary). Places of more than
+    a shard after the second term, of which there are fewer than tokens / (2 * shard_tokens), are broadcast.
+    """
+    keyed = drawn(tokenised, stats)
+    counted = materialise(keyed.groupBy("k0", "k1").agg(F.sum("n").alias("n")), "packing-terms")
+    totals = counted.groupBy("k0").agg(F.sum("n").alias("n")).toArrow()
+    terms, tokens = np.asarray(totals["k0"]), np.asarray(totals["n"])
+    order = np.argsort(terms)
+    terms, tokens = terms[order], tokens[order]
+    parts = np.where(tokens > shard_tokens, -(-2 * tokens // shard_tokens), 1)
+    # small terms share shards, large ones have numbers of their own behind them
+    small = np.where(parts == 1, tokens, 0)
+    first = (np.cumsum(small) - small) // shard_tokens
+    large = np.cumsum(np.where(parts > 1, parts, 0)) - np.where(parts > 1, parts, 0)
+    start = np.where(parts == 1, first, first[-1] + 1 + large) if len(terms) else first
+    places = tokenised.sparkSession.createDataFrame(pa.table({"k0": pa.array(terms, pa.int32()), "place0": pa.array(start.astype(np.int64)), "parts": pa.array(parts.astype(np.int64))}))
+    placed = lambda frame: frame.join(F.broadcast(places), "k0").withColumn("place", F.col("place0") + F.pmod(F.xxhash64("k1"), "parts"))
+    over = placed(counted).groupBy("place").agg(F.sum("n").alias("m")).where(F.col("m") > 2 * shard_tokens)
+    over = over.select("place", F.ceil(F.col("m") / shard_tokens).alias("split"))
+    # by the place in the stored table, since ids and texts may be those of any number of rows
+    spread = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), "split"), F.lit(0))
+    return placed(keyed).join(F.broadcast(over), "place", "left").select("doc_id", "ids", "n", (F.shiftleft(F.col("place"), 20) + spread).alias("shard"))
+
+
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(df: DataFrame, ranks_path: str, window: int = WINDOW, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: its document, where it starts there, its ids' CRC-32 (32-bit little-endian), its sequence and offset."""
-    tokenised = materialise(tokenise(df, ranks_path, END_ID, id_col, text_col), "packing-ids")
+    tokenised = materialise(tokenise(df, tokenizer, END_ID, id_col, text_col), "packing-ids")
     stats = statistics(tokenised)
-    shards = max(1, -(-int(stats.documents * stats.mean_length) // shard_tokens))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(shard: pa.Table) -> pa.Table:
         shard = shard.append_column("none", pa.compute.is_valid(shard["doc_id"])).sort_by([("none", "ascending"), ("doc_id", "ascending"), ("ids", "ascending")])
         documents = [np.frombuffer(x, "<u2") for x in shard["ids"].to_pylist()]
         ids = shard["doc_id"].to_pylist()
-        base = shard["shard"][0].as_py() << 32
+        base = shard["shard"][0].as_py() << 17  # windows of a shard
         rows = [(ids[d], start, n, zlib.crc32(documents[d][start : start + n].astype("<u4").tobytes()), len(documents[d]), base + sequence, offset) for d, start, n, sequence, offset in pack_shard(documents, stats, window)]
         return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(names, zip(*rows))})
 
-    dealt = tokenised.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, PIECE_SCHEMA)
+    return dealt(tokenised, stats, shard_tokens).groupBy("shard").applyInArrow(run, PIECE_SCHEMA)
