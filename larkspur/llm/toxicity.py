@@ -2,14 +2,17 @@
 
 A lexicon of insults (words and word stems, with weights) is learned from labelled rows. Small
 transducers then read the words of each clause: one scopes negation, one reported speech, one
-targets, one threats. They are composed into a single machine whose output symbols carry
-multipliers, so that an insult counts more when it is aimed at someone and less when it is
-negated or reported. What is scored is the matched clause; a logistic curve fitted on the same
-labelled rows turns the clause weights of a document into a probability.
+quotations, one targets, one threats. They are composed into a single machine, which tells for each
+match whether it is plain, aimed at someone, negated, reported, or a threat against someone. What
+is scored is the matched clauses, by class: the weight of each class is fitted to the labels, from
+a prior in which an aimed insult counts more and a negated or reported one less, so the grammar
+decides as far as the labels bear it out.
 
 Defined cases: a null or empty text, or one without a match, gets the score of no evidence.
-Rows with null ids are scored and held in. Repeated rows give repeated results. Without labelled
-rows of both classes a fixed curve is used. An empty table gives an empty result.
+Rows with null ids are scored and held in. Repeated rows give repeated results; of texts with one
+labelled id the smallest is learned from. Ties between stems go to the one with fewer clean texts, then
+the longer, then the later in the alphabet. Without labelled rows of both classes there are no stems,
+only threats, and the prior's weights stand. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_and_text, in_slices
 
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 _CLAUSE = re.compile(r"[.!?;\n]+")
 WORDS = {
     "negation": "not no never neither nor without isn aren wasn don doesn didn nicht kein keine keinen nie ne pas jamais aucun nunca ningún sin",
@@ -37,7 +42,7 @@ WORDS = {
     "target": "you your yours he she him her they them their this that who du dich ihr dein er sie tu te toi vous votre il elle tú usted él ella ellos",
     "threat": "kill hurt destroy beat crush burn stab shoot töten schlagen tuer frapper matar golpear",
 }
-CLASS_OF = {w: kind for kind, words in WORDS.items() for w in words.split()}
+CLASS_OF = {w: kind for kind, words in WORDS.items() for w in words.split()} | {q: "quote" for q in '"“”„«»'}
 
 
 @dataclass(frozen=True)
@@ -88,23 +93,56 @@ def _scope(trigger: str, mark: str, span: int, hits: tuple[str, ...]) -> Transdu
     return Transducer(arcs, otherwise)
 
 
+def _quoted(mark: str, hits: tuple[str, ...]) -> Transducer:
+    """Between quotation marks, symbols of `hits` get a mark."""
+    return Transducer({"0": {"quote": ("1", "quote")}, "1": {"quote": ("0", "quote")} | {h: ("1", f"{mark}{h}") for h in hits}}, {})
+
+
+def _threats(span: int) -> Transducer:
+    """A threat that names a target within `span` words behind it; reported ones keep their mark, negated ones are none."""
+    arcs: dict[str, dict[str, tuple[str, str]]] = {"0": {}}
+    otherwise = {}
+    for mark, name in (("", "t"), ("~", "r")):
+        begin = {f"{at}{mark}threat": (f"{name}{span}", "word") for at in ("", "@")}
+        arcs["0"] |= begin
+        for left in range(span, 0, -1):
+            arcs[f"{name}{left}"] = {"target": ("0", f"{mark}threatened")}
+            otherwise[f"{name}{left}"] = f"{name}{left - 1}" if left > 1 else "0"
+    return Transducer(arcs, otherwise)
+
+
 #: "-" negated, "~" reported, "@" aimed at someone; the last machine pairs a threat with a target.
 GRAMMAR = compose(
     _scope("negation", "-", 3, ("insult", "threat")),
     _scope("report", "~", 12, ("insult", "threat", "-insult", "-threat")),
-    _scope("target", "@", 5, ("insult", "threat", "-insult", "~insult", "~-insult")),
-    Transducer({"0": {"threat": ("1", "word"), "@threat": ("1", "word")}, "1": {"target": ("0", "threatened"), "insult": ("0", "@insult")}}, {}),
+    _quoted("~", ("insult", "threat", "-insult", "-threat")),
+    _scope("target", "@", 5, ("insult", "threat", "-insult", "~insult", "~threat", "~-insult")),
+    _threats(4),
 )
-MULTIPLIER = {"insult": 1.0, "@insult": 1.25, "-insult": 0.4, "@-insult": 0.5, "~insult": 0.5, "@~insult": 0.6, "~-insult": 0.3, "@~-insult": 0.3}
-THREATENED = 1.0
+#: Classes of matches, and the prior of their weights: multiples of one slope.
+CLASSES = {"plain": 1.0, "aimed": 1.25, "negated": 0.4, "reported": 0.5, "threat": 1.0}
+SLOPE = 3.0
+
+
+def class_of(symbol: str) -> str | None:
+    if symbol.endswith("threatened"):
+        return "reported" if "~" in symbol else "threat"
+    if not symbol.endswith("insult"):
+        return None
+    return "reported" if "~" in symbol else "negated" if "-" in symbol else "aimed" if "@" in symbol else "plain"
+
+
+_NUMBER = {c: i for i, c in enumerate(CLASSES)}
+PRIOR = (-2.5, *(SLOPE * m for m in CLASSES.values()))
 
 
 @dataclass
 class Scorer:
-    """stems: start of a word -> weight (a whole word is a stem of itself); curve: intercept and slopes."""
+    """stems: start of a word -> weight (a whole word is a stem of itself); curve: intercept and a weight for each class."""
 
     stems: dict[str, float]
-    curve: tuple[float, float, float] = (-2.5, 3.0, 1.0)
+    curve: tuple[float, ...] = PRIOR
+    grammar: bool = True  # False: all matches count as plain, to measure what the grammar decides
 
     def __post_init__(self):
         self.lengths = sorted({len(s) for s in self.stems})
@@ -112,32 +150,33 @@ class Scorer:
     def weight(self, word: str) -> float:
         return max((self.stems.get(word[:n], 0.0) for n in self.lengths if n <= len(word)), default=0.0)
 
-    def clauses(self, low: str) -> list[float]:
-        """Weights of the clauses that match, of a lower-cased text."""
+    def clauses(self, low: str) -> list[list[float]]:
+        """For each clause with a match, of a lower-cased text, its weight in each class."""
         if not any(s in low for s in self.stems) and not any(t in low for t in _THREATS):
             return []
         out = []
         step = GRAMMAR.step
         for clause in _CLAUSE.split(low):
-            state, total = GRAMMAR.start(), 0.0
-            for word in _WORD.findall(clause):
+            state, found = GRAMMAR.start(), None
+            for word in _TOKEN.findall(clause):
                 weight = self.weight(word)
-                state, out_symbol = step(state, "insult" if weight else CLASS_OF.get(word, "word"))
-                if out_symbol == "threatened":
-                    total += THREATENED
-                elif weight:
-                    total += weight * MULTIPLIER[out_symbol]
-            if total:
-                out.append(total)
+                state, symbol = step(state, "insult" if weight else CLASS_OF.get(word, "word"))
+                kind = class_of(symbol)
+                if kind is not None:
+                    found = found or [0.0] * len(CLASSES)
+                    found[_NUMBER[kind] if self.grammar else 0] += weight or 1.0
+            if found:
+                out.append(found)
         return out
 
-    def features(self, text: str) -> tuple[float, float]:
+    def features(self, text: str) -> list[float]:
+        """Of each class the logarithm of what its clauses weigh in all."""
         found = self.clauses(text.lower())
-        return (math.log1p(sum(found)), min(max(found), 3.0)) if found else (0.0, 0.0)
+        return [math.log1p(sum(c)) for c in zip(*found)] if found else [0.0] * len(CLASSES)
 
     def score(self, text: str) -> float:
-        a, b = self.features(text)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] + self.curve[1] * a + self.curve[2] * b))))
+        z = self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], self.features(text)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 _THREATS = WORDS["threat"].split()
@@ -202,41 +241,52 @@ def learn_stems(toxic: list[str], clean: list[str], cover: int = 3, fewest: int
     return out
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, turns: int = 25) -> tuple[float, float, float]:
-    """Logistic regression of labels on the two features, by Newton steps."""
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, turns: int = 30) -> tuple[float, ...]:
+    """Logistic regression of labels on the class weights, drawn to the prior by `ridge`, by damped Newton steps."""
     a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(3)
-    keep = np.diag([1e-6, ridge, ridge])
+    prior = np.array(PRIOR)
+    keep = np.diag([1e-3] + [ridge] * (a.shape[1] - 1))
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + (w - prior) @ keep @ (w - prior) / 2)
+
+    w, now = prior.copy(), loss(prior)
     for _ in range(turns):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w = w + np.linalg.solve((a.T * (p * (1 - p) + 1e-9)) @ a + keep, a.T @ (y - p) - keep @ w)
+        way, size = np.linalg.solve((a.T * (p * (1 - p))) @ a + keep, a.T @ (y - p) - keep @ (w - prior)), 1.0
+        while (new := loss(w + size * way)) > now and size > 1e-4:
+            size /= 2
+        w, now = w + size * way, new
     return tuple(float(v) for v in w)
 
 
-def train(texts: Iterable[str], toxic: Iterable[int]) -> Scorer:
-    """Learns the stems, then the curve over the clause weights that they give."""
+def train(texts: Iterable[str], toxic: Iterable[int], grammar: bool = True) -> Scorer:
+    """Learns the stems, then the weights of the classes that the grammar tells apart."""
     rows = [(t or "", int(y)) for t, y in zip(texts, toxic)]
     bad, good = [t for t, y in rows if y], [t for t, y in rows if not y]
     if not bad or not good:
-        return Scorer({})
-    scorer = Scorer(learn_stems(bad, good))
-    return Scorer(scorer.stems, fit_curve(np.array([scorer.features(t) for t, _ in rows]), np.array([y for _, y in rows], float)))
+        return Scorer({}, grammar=grammar)
+    scorer = Scorer(learn_stems(bad, good), grammar=grammar)
+    return Scorer(scorer.stems, fit_curve(np.array([scorer.features(t) for t, _ in rows]), np.array([y for _, y in rows], float)), grammar)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, sample_chars: int = 50_000) -> Scorer:
-    """Trains on up to `sample_rows` labelled rows that are not held out, those of smallest hash, with texts of up to `sample_chars`.
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, sample_chars: int = 64_000_000) -> Scorer:
+    """Trains on labelled rows that are not held out, in order of a hash of their ids: up to `sample_rows`, and up to `sample_chars` of text in all.
 
-    Only ids are ordered; the texts of the chosen ones reach the driver, bounded by both parameters.
+    Only ids are ordered; what reaches the driver is bounded by both parameters, and length plays no part in the choice.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample_rows).select("doc_id", "toxic")
-    texts = id_and_text(docs).where(F.length("text") <= sample_chars).join(F.broadcast(chosen), "doc_id")
-    found = texts.select("text", "toxic", "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    chosen = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample_rows)
+    texts = id_and_text(docs).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    total = F.sum(F.length("text")).over(W.orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0))  # over sample_rows rows
+    found = texts.join(F.broadcast(chosen), "doc_id").withColumn("total", total).where(F.col("total") <= sample_chars)
+    found = found.select("text", "toxic", "doc_id").toArrow().sort_by("doc_id")
     return train(found["text"].to_pylist(), found["toxic"].to_pylist())
 
 

@@ -7,13 +7,49 @@ def _scorer():
     return tox.Scorer({"idiot": 1.0, "stupi": 1.0})
 
 
-def test_clauses_are_scored_in_their_scope():
-    s = _scorer()
-    one = lambda t: sum(s.clauses(t.lower()))
-    assert one("what an idiot") == 1.0 and one("you are an idiot") == 1.25 and one("not an idiot") == 0.4
-    assert one("he said what an idiot") < 1.0 and one("they said you idiot") < 1.25 and one("I will kill you") == tox.THREATENED
-    assert one("not now. an idiot") == 1.0 and one("kill time") == 0 and one("nothing here") == 0
-    assert len(s.clauses("an idiot. stupidly done! fine")) == 2
+def test_clauses_are_told_apart():
+    def kinds(text):
+        return [{c: x for c, x in zip(tox.CLASSES, clause) if x} for clause in _scorer().clauses(text.lower())]
+
+    assert kinds("what an idiot") == [{"plain": 1}] and kinds("you are an idiot") == [{"aimed": 1}] and kinds("not an idiot") == [{"negated": 1}]
+    assert kinds("you are not an idiot") == [{"negated": 1}] and kinds("he said what an idiot") == [{"reported": 1}] and kinds("they said you idiot") == [{"reported": 1}]
+    assert kinds('some wrote: "you idiot" there') == [{"reported": 1}] and kinds('a "fine" idiot') == [{"plain": 1}]
+    assert kinds("I will kill you") == [{"threat": 1}] and kinds("you wait, we hurt them all") == [{"threat": 1}]
+    assert kinds("never kill you") == [] and kinds("kill time") == [] and kinds("you kill time") == [] and kinds("nothing here") == []
+    assert kinds("he said I will kill you") == [{"reported": 1}] and kinds("'not'. an idiot") == [{"plain": 1}]
+    assert kinds("an idiot. stupidly done! fine") == [{"plain": 1}, {"plain": 1}] and kinds("idiot, you stupid") == [{"plain": 1, "aimed": 1}]
+    prior = lambda t: _scorer().score(t)
+    assert prior("you idiot") > prior("an idiot") > prior("he said an idiot") > prior("not an idiot") > prior("nothing")
+
+
+def test_grammar_decides_where_labels_do():
+    """Labels that follow from how a word is used can only be told by the grammar."""
+    import random
+
+    rng = random.Random(6)
+    filler = lambda: " ".join(rng.choice(["green", "paper", "walks", "river", "table", "slow"]) for _ in range(rng.randint(3, 12)))
+    bad = ["you are an idiot", "what a stupid idiot", "such a moron, you", "stupid moron"]
+    fine = ["nobody is not an idiot", "he said idiot", "it is never stupid", 'the note reads "stupid"', "they wrote moron", "no moron"]
+    rows = [(f"{filler()}. {rng.choice(bad)}. {filler()}", 1) for _ in range(200)] + [(f"{filler()}. {rng.choice(fine)}. {filler()}", 0) for _ in range(200)]
+    rng.shuffle(rows)
+    stems = {"idiot": 1.0, "stupid": 1.0, "moron": 1.0}
+
+    def fitted(grammar):
+        s = tox.Scorer(stems, grammar=grammar)
+        return tox.Scorer(stems, tox.fit_curve(tox.np.array([s.features(t) for t, _ in rows[:200]]), tox.np.array([y for _, y in rows[:200]], float)), grammar)
+
+    on, off = fitted(True), fitted(False)
+    right = lambda s: sum((s.score(t) >= 0.5) == y for t, y in rows[200:])
+    differ = sum((on.score(t) >= 0.5) != (off.score(t) >= 0.5) for t, _ in rows[200:])
+    print("right with grammar", right(on), "without", right(off), "decisions that differ", differ, "of 200")
+    assert right(on) >= 195 and right(off) <= 160 and differ >= 40
+
+
+def test_ties_and_one_class():
+    assert tox.train(["a b", "c"], [1, 1]).stems == {} and tox.train([], []).curve == tox.PRIOR
+    bad = ["zzaa yybb " + " ".join(f"{c}{d * 4}" for d in "ijklmnopqrs") for c in "abcdefgh"]
+    stems = tox.learn_stems(bad, ["fine words here"] * 30)
+    assert stems and stems == tox.learn_stems(bad[::-1], ["fine words here"] * 30)
 
 
 def test_learning_finds_words_and_stems():
