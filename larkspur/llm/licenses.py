@@ -1,34 +1,39 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
-A text is reduced to its words, each numbered in place (" under#12  the#13  mit#14 "), so that a
-rule is a regular expression over words and every match carries its interval. Documents that
-hold no anchor substring are decided without looking further; among the rest a rule is tried
-only where its keyword occurs. Detections are put in order of start, then length, then priority,
-and one that lies within a detection of equal or better priority is suppressed.
+A text is split into words once. The distinct keywords among them are found by hash; a document
+without any word that opens the gate is decided there. The others have their words numbered in place
+(" under#12  the#13  mit#14 "), so that a rule is a regular expression over words and every match carries
+its interval, and a rule is tried only where its keyword is among those found. Detections are put in
+order of start, then length, then priority, and one that lies within a detection of equal or better
+priority is suppressed.
+
+The rules are wordings written one by one (`wordings`), and beside them names, versions and SPDX
+identifiers that follow from a table of families.
 
 Defined cases: a null or empty text has no words, no labels and score 0. Repeated rows give
-repeated results; rows with null ids are scanned like others. An empty table gives an empty result.
+repeated results; rows with null ids are scanned like others; texts are scanned whole, however long. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import wordings
 from .common import id_and_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of lower-cased text, and the same words where A-Z is not lowered yet: ASCII letters and digits and all
-#: beyond ASCII. Classes that list what belongs, matched possessively, are ten times as fast here as negated ones.
-WORD = r"[0-9a-z\x80-\x{10FFFF}]++"
-RAW_WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]++"
+#: What lies between words of lower-cased text.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SQL_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
-#: Every rule needs one of these substrings or else has its keyword as a bare word.
-ANCHORS = ("licen", "spdx", "commons", "domain", "reserved", "permission", "redistribution", "neither", "mozilla")
+#: Words that most license texts have; a rule that needs one of them is gated by these.
+LICENSE_WORDS = ("license", "licence", "licenses", "licences", "licensed", "licensee", "licensing")
 
 
 @dataclass(frozen=True)
@@ -163,34 +168,21 @@ def _creative_commons_rules() -> list[Rule]:
     return out
 
 
-def _other_rules() -> list[Rule]:
-    """Wordings that follow no family pattern, one by one."""
-    return [
-        Rule("mit", phrase("permission is hereby granted free of charge to any person obtaining a copy"), "hereby", 1, 0.95),
-        Rule("mit", word("under") + phrase("the mit license"), "mit", 1, 0.95),
-        Rule("isc", phrase("permission to use copy modify and or distribute this software for any purpose"), "distribute", 1, 0.95),
-        Rule("bsd", phrase("redistribution and use in source and binary forms with or without modification"), "redistribution", 1, 0.9),
-        Rule("bsd-3-clause", phrase("neither the name of"), "neither", 3, 0.4),
-        Rule("bsd", word("bsd") + maybe(word("style")) + word("licen[cs]e"), "bsd", 3, 0.7),
-        Rule("apache-2", phrase("apache org licenses license 2 0"), "apache", 1, 0.95),
-        Rule("apache-2", phrase("apache license") + maybe(word("version")) + word("2") + maybe(word("0")), "apache", 2, 0.9),
-        Rule("apache", phrase("apache") + maybe(word("software")) + word("licen[cs]e"), "apache", 3, 0.6),
-        Rule("gpl", phrase("gnu org licenses gpl"), "gnu", 2, 0.8),
-        Rule("lgpl", phrase("gnu org licenses lgpl"), "gnu", 2, 0.8),
-        Rule("agpl", phrase("gnu org licenses agpl"), "gnu", 2, 0.8),
-        Rule("gpl-3-or-later", phrase("general public license version 3 or") + maybe(phrase("at your option any")) + word("later"), "general", 1, 0.95),
-        Rule("gpl-2-or-later", phrase("general public license version 2 or") + maybe(phrase("at your option any")) + word("later"), "general", 1, 0.95),
-        Rule("mpl-2.0", phrase("mozilla org mpl 2 0"), "mozilla", 1, 0.9),
-        Rule("unlicense", phrase("this is free and unencumbered software released into the public domain"), "unencumbered", 1, 0.95),
-        Rule("public-domain", word("released", "dedicated", "placed", "donated") + maybe(word("in", "to", "into")) + phrase("the public domain"), "domain", 2, 0.8),
-        Rule("cc0-1.0", phrase("creativecommons org publicdomain zero"), "creativecommons", 1, 0.9),
-        Rule("wtfpl", phrase("do what the fuck you want to"), "fuck", 2, 0.8),
-        Rule("proprietary", phrase("all rights reserved"), "reserved", 3, 0.4),
-        Rule("proprietary", word("proprietary") + maybe(phrase("and confidential")) + word("licen[cs]e"), "proprietary", 3, 0.5),
-    ]
-
-
-RULES: list[Rule] = _family_rules() + _creative_commons_rules() + _other_rules()
+def _written(text: str, priority: int, weight: float) -> list[Rule]:
+    """The rules of lines `label keyword wording`: a|b is either word, [a b] may be missing."""
+    out = []
+    for line in text.split("\n"):
+        label, keyword, wording = line.split(" ", 2)
+        pattern = ""
+        for part in re.findall(r"\[[^]]*\]|[^\s[\]]+", wording):
+            words = "".join(word(*w.split("|")) for w in part.strip("[]").split())
+            pattern += maybe(words) if part.startswith("[") else words
+        out.append(Rule(label, pattern, keyword, priority, weight))
+    return out
+
+
+WRITTEN: list[Rule] = _written(wordings.SENTENCES, 1, 0.95) + _written(wordings.HEADERS, 2, 0.85) + _written(wordings.MENTIONS, 3, 0.5)
+RULES: list[Rule] = _family_rules() + _creative_commons_rules() + WRITTEN
 LEVELS = 4
 
 
@@ -199,24 +191,13 @@ def required(pattern: str) -> str:
     return re.sub(r"\(\?:(?:[^()]|\(\?:[^()]*\))*\)\?", "", pattern)
 
 
-def bare_keywords() -> list[str]:
-    """Keywords of the rules that need no anchor, without a glued version."""
-    return sorted({re.sub("v[0-9]$", "", r.keyword) for r in RULES if not any(a in required(r.pattern) for a in ANCHORS)} | {"cc"})
-
-
-def gate(text: Column) -> Column:
-    """Whether any rule or base phrase can match: a cheap superset.
-
-    Substring tests come first; a short keyword that is found must end a word or have a version behind it.
-    """
-    low = F.lower(text)
-    found = F.lit(False)
-    for a in ANCHORS:
-        found = found | F.contains(low, F.lit(a))
-    for k in bare_keywords():
-        here = F.contains(low, F.lit(k))
-        found = found | (here & F.rlike(low, F.lit(f"{k}(?:[\\x00-\\x60\\x7B-\\x7F]|v[0-9])")) if len(k) <= 5 else here)
-    return found
+def gate_words() -> list[str]:
+    """Every rule and base phrase needs one of these words: one of LICENSE_WORDS that its pattern has, or else its keyword."""
+    out = {"mit", "apache", "cc"}
+    for r in RULES:
+        plain = [w for w in re.findall(" ([0-9a-z]+)#", required(r.pattern)) if w in LICENSE_WORDS]
+        out.update(plain[:1] or (("license", "licence") if "licen[cs]e" in required(r.pattern) else (r.keyword,)))
+    return sorted(out)
 
 
 def numbered_words(words: Column) -> Column:
@@ -229,9 +210,10 @@ def _starts(numbered: Column, text: str) -> Column:
     return F.transform(F.regexp_extract_all(numbered, F.lit(pattern), F.lit(1)), lambda x: x.cast("long"))
 
 
-def _detections(numbered: Column) -> Column:
-    rules = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(f" {r.keyword}#").alias("keyword"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight")) for r in RULES])
-    tried = F.filter(rules, lambda r: F.contains(numbered, r["keyword"]))
+def _detections(numbered: Column, present: Column) -> Column:
+    # one constant, spelled as JSON: hundreds of literals would take the planner seconds
+    rules = F.from_json(F.lit(json.dumps([vars(r) for r in RULES])), "array<struct<label:string,pattern:string,keyword:string,priority:int,weight:double>>")
+    tried = F.filter(rules, lambda r: F.array_contains(present, r["keyword"]))
 
     def matches(r: Column) -> Column:
         hits = F.regexp_extract_all(numbered, r["pattern"], F.lit(0))
@@ -258,12 +240,14 @@ def _kept(found: Column) -> Column:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words, base places, labels and score of every whole text. One narrow pass without a shuffle."""
-    rows = id_and_text(df, id_col, text_col)
-    rows = rows.withColumn("n_words", F.regexp_count("text", F.lit(RAW_WORD)).cast("long"))
-    words = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0))
-    rows = rows.select("doc_id", "n_words", F.when(gate(F.col("text")), numbered_words(words)).otherwise(F.lit("")).alias("numbered"))
+    literal = lambda words: F.split(F.lit(" ".join(words)), " ")
+    rows = id_and_text(df, id_col, text_col).select("doc_id", F.split(F.translate("text", UPPER, LOWER), BETWEEN).alias("w"))
+    # only the first and the last part may be empty
+    edges = (F.element_at("w", 1) == "").cast("long") + (F.element_at("w", -1) == "").cast("long")
+    rows = rows.select("doc_id", F.greatest(F.size("w") - edges, F.lit(0)).cast("long").alias("n_words"), F.when(F.arrays_overlap("w", literal(gate_words())), F.filter("w", lambda x: x != "")).alias("w"))
+    rows = rows.select("doc_id", "n_words", F.coalesce(numbered_words(F.col("w")), F.lit("")).alias("numbered"), F.array_intersect("w", literal(sorted({r.keyword for r in RULES}))).alias("present"))
     some = F.col("numbered") != ""
-    rows = rows.select("doc_id", "n_words", *[F.when(some, _starts(F.col("numbered"), p)).otherwise(F.array().cast("array<bigint>")).alias(label) for label, p in BASE.items()], F.when(some, _kept(_detections(F.col("numbered")))).alias("kept"))
+    rows = rows.select("doc_id", "n_words", *[F.when(some, _starts(F.col("numbered"), p)).otherwise(F.array().cast("array<bigint>")).alias(label) for label, p in BASE.items()], F.when(some, _kept(_detections(F.col("numbered"), F.col("present")))).alias("kept"))
     places = F.concat(*[F.col(f"`{label}`") for label in BASE])
     base = F.filter(F.array(*[F.when(F.size(F.col(f"`{label}`")) > 0, F.lit(label)) for label in sorted(BASE)]), lambda x: x.isNotNull())
     rows = rows.select("doc_id", "n_words", places.alias("places"), base.alias("base"), "kept")

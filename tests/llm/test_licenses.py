@@ -32,7 +32,23 @@ def test_signatures_and_suppression(docs):
     )
     assert [r.labels for r in rows] == ["gpl-3", "gpl-3", "apache-2", "cc-by-nc", "mit", "bsd", "", "gpl"]
     assert rows[0].score == 0.99 and rows[6].score == 0.0 and all(0 <= r.score <= 1 for r in rows)
-    assert len(licenses.RULES) > 300
+    assert len(licenses.WRITTEN) > 250 and len({r.pattern for r in licenses.WRITTEN}) == len(licenses.WRITTEN)
+
+
+def test_every_written_rule_can_match(docs):
+    """A text with just the wording opens the gate, holds the keyword, and is detected (if no better rule covers it)."""
+    for r in licenses.RULES:
+        assert f" {r.keyword}#" in licenses.required(r.pattern), r
+    texts = [re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", licenses.required(r.pattern)) for r in licenses.WRITTEN]
+    texts = [" ".join(re.findall(" ([^ #]+)#", t)).replace("licen[cs]e", "license") for t in texts]
+    for r, row in zip(licenses.WRITTEN, _scan(docs, *texts)):
+        assert row.labels, r
+
+
+def test_rows_without_id_and_long_texts(docs):
+    long = "word " * 300_000 + "Under the MIT License."
+    rows = licenses.scan(docs((None, long), (1, long), (1, long))).collect()
+    assert sorted((r.doc_id is not None, r.n_words, r.first_word, r.base_labels, r.labels) for r in rows) == [(False, 300_004, 300_000, "mit", "mit")] + [(True, 300_004, 300_000, "mit", "mit")] * 2
 
 
 def test_against_brute_force(docs, sample):
