@@ -12,7 +12,7 @@ from ..functions.text import tokens
 def sparse(documents: DataFrame, dimensions: int) -> DataFrame:
     """(doc_id, bucket, weight) of the buckets that are not zero; texts without tokens have no row.
 
-    Distinct tokens are hashed once over the whole corpus, then joined back.
+    A token is hashed once for each document that holds it, where its row is, so frequent tokens need no join.
     """
     counts = documents.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
     buckets = counts.withColumn("bucket", fnv1a_bucket(F.col("token"), dimensions)).groupBy("doc_id", "bucket").agg(F.sum("n").alias("n"))

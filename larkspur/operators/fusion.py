@@ -21,8 +21,8 @@ def filtered_limit(k: int, documents: int) -> int:
     return min(max(64 * k, 64), 4096, documents) if k else 0
 
 
-def fuse(text_hits: DataFrame, vector_hits: DataFrame, k: int) -> DataFrame:
-    """(query, rank, doc_id, text_rank, vector_rank, score): sum of 1 / (60 + rank) over the lanes, the k best."""
+def fuse(text_hits: DataFrame, vector_hits: DataFrame, k: int | None) -> DataFrame:
+    """(query, rank, doc_id, text_rank, vector_rank, score): sum of 1 / (60 + rank) over the lanes, the k best (None: all)."""
     text = text_hits.select("query", "doc_id", F.col("rank").alias("text_rank"))
     vector = vector_hits.select("query", "doc_id", F.col("rank").alias("vector_rank"))
     share = lambda c: F.coalesce(F.lit(1.0) / (RRF_K + F.col(c)), F.lit(0.0))

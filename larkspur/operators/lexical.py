@@ -7,6 +7,10 @@ throughout and orders by bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,11 +32,11 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def ranked(hits: DataFrame, k: Column | int, score: str = "score") -> DataFrame:
-    """Per query the k best by score, ties by doc_id; the limit is applied before and after the shuffle."""
+def ranked(hits: DataFrame, k: Column | int | None, score: str = "score") -> DataFrame:
+    """Per query the k best (None: all) by score, ties by doc_id; the limit is applied before and after the shuffle."""
     order = W.partitionBy("query").orderBy(F.desc(score), "doc_id")
     hits = hits.withColumn("rank", F.row_number().over(order))
-    return hits.where(F.col("rank") <= k)
+    return hits if k is None else hits.where(F.col("rank") <= k)
 
 
 def overlap_scores(queries: DataFrame, post: DataFrame) -> DataFrame:
@@ -50,6 +54,73 @@ def search(queries: DataFrame, post: DataFrame, limit: int | None = None) -> Dat
     return ranked(scores, limit).select("query", "rank", "doc_id", "score")
 
 
+#: Query tokens that travel to every task at once; more queries are answered by the join with postings.
+MOST_TOKENS = 2_000_000
+#: Scores that a task holds at a time.
+TILE = 1 << 22
+_HITS = pa.schema([("query", pa.int64()), ("doc_id", pa.string()), ("score", pa.int64())])
+
+
+def search_documents(queries: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """As search(queries, postings(documents), limit), where documents are scanned anyway.
+
+    A document's tokens lie in its row, so its scores need no shuffle: the query tokens (their number
+    is checked) go to the scan, and each batch of documents passes on a query's k best alone.
+    """
+    asked = queries.select("query", F.explode(tokens(F.col("query_text"))).alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("times"))
+    table = asked.limit(MOST_TOKENS + 1).toArrow()
+    if len(table) > MOST_TOKENS:
+        return search(queries, postings(documents), limit)
+    ids, query = np.unique(np.asarray(table["query"], np.int64), return_inverse=True)
+    tops = np.full(len(ids), limit or 0)
+    if limit is None:
+        wanted = queries.select("query", "top_k").toArrow()
+        known = np.searchsorted(ids, np.asarray(wanted["query"], np.int64))
+        fits = known < len(ids)
+        fits[fits] = ids[known[fits]] == np.asarray(wanted["query"], np.int64)[fits]
+        tops[known[fits]] = np.asarray(wanted["top_k"], np.int64)[fits]
+    words = {w: i for i, w in enumerate(dict.fromkeys(table["token"].to_pylist()))}
+    word = np.array([words[w] for w in table["token"].to_pylist()], np.int64)
+    order = np.argsort(word, kind="stable")
+    query, times = query[order], np.asarray(table["times"], np.float64)[order]
+    starts = np.searchsorted(word[order], np.arange(len(words) + 1))
+
+    def scored(names: list[str], lists: pa.ListArray) -> pa.RecordBatch:
+        coded = lists.flatten().dictionary_encode()
+        code = np.array([words.get(w, -1) for w in coded.dictionary.to_pylist()] or [-1], np.int64)[np.asarray(coded.indices, np.int64)]
+        owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+        owner, code = owner[code >= 0], code[code >= 0]
+        many = starts[code + 1] - starts[code]
+        upto = np.cumsum(many)
+        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts[code] - upto + many, many)
+        scores = np.bincount(np.repeat(owner, many) * len(ids) + query[at], times[at], len(lists) * len(ids)).reshape(len(lists), -1)
+        place = np.empty(len(names), np.int64)
+        place[sorted(range(len(names)), key=lambda i: names[i].encode())] = np.arange(len(names))
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for q, k in enumerate(tops.tolist()):
+            near = np.flatnonzero(scores[:, q])
+            if len(near) > k > 0:
+                near = near[scores[near, q] >= np.partition(scores[near, q], len(near) - k)[len(near) - k]]
+            near = near[np.lexsort((place[near], -scores[near, q]))][:k]
+            out.append((int(ids[q]), near, scores[near, q]))
+        found = [names[i] for _, near, _ in out for i in near.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in out], [len(n) for _, n, _ in out]), pa.int64()), pa.array(found, pa.string()), pa.array(np.concatenate([s for _, _, s in out]).astype(np.int64))], schema=_HITS)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, TILE // max(1, len(ids)))
+        for batch in batches:
+            for a in range(0, batch.num_rows if len(ids) else 0, step):
+                part = batch.slice(a, step)
+                # a list array of its own, whose offsets start at 0
+                yield scored(part.column("doc_id").to_pylist(), pa.concat_arrays([part.column("tokens")]))
+
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.array_distinct(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))).alias("tokens"))
+    hits = rows.where("doc_id is not null").mapInArrow(scan, "query long, doc_id string, score long")
+    if limit is None:
+        return ranked(hits.join(F.broadcast(queries.select("query", "top_k")), "query"), F.col("top_k")).select("query", "rank", "doc_id", "score")
+    return ranked(hits, limit).select("query", "rank", "doc_id", "score")
+
+
 def search_all(queries: DataFrame, post: DataFrame) -> DataFrame:
     """Hits without a limit."""
     scores = overlap_scores(queries, post)

@@ -17,6 +17,8 @@ from .lexical import ranked
 
 #: Queries that travel to every task at once; more are dealt into blocks instead.
 BLOCK_QUERIES = 4096
+#: Scores that a task holds at a time.
+TILE = 1 << 22
 HITS = "query long, doc_id string, score double"
 _HITS = pa.schema([("query", pa.int64()), ("doc_id", pa.string()), ("score", pa.float64())])
 
@@ -80,6 +82,13 @@ def _best(ids: np.ndarray, query_ids: np.ndarray, scores: np.ndarray, k: int) ->
     return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_d, pa.string()), pa.array(out_s, pa.float64())], schema=_HITS)
 
 
+def _tiles(ids: np.ndarray, query_ids: np.ndarray, points: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each query, from products of at most TILE scores at a time."""
+    step = max(1, TILE // len(ids))
+    for a in range(0, len(query_ids), step):
+        yield _best(ids, query_ids[a : a + step], points[a : a + step] @ vectors.T, k)
+
+
 def search_exact(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 100_000) -> DataFrame:
     """The k largest dot products of each query over all vectors.
 
@@ -98,7 +107,7 @@ def search_exact(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows and len(query_ids):
-                    yield _best(np.array(batch.column("doc_id").to_pylist(), object), query_ids, points @ _matrix(batch.column("embedding")).T, k)
+                    yield from _tiles(np.array(batch.column("doc_id").to_pylist(), object), query_ids, points, _matrix(batch.column("embedding")), k)
 
         found = vectors.mapInArrow(scan, HITS)
     else:
@@ -109,7 +118,7 @@ def search_exact(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int
         def grid(q: pa.Table, v: pa.Table) -> pa.Table:
             if not len(q) or not len(v):
                 return _HITS.empty_table()
-            return pa.Table.from_batches([_best(np.array(v["doc_id"].to_pylist(), object), np.asarray(q["query"]), _matrix(q["vector"]) @ _matrix(v["embedding"]).T, k)])
+            return pa.Table.from_batches(list(_tiles(np.array(v["doc_id"].to_pylist(), object), np.asarray(q["query"]), _matrix(q["vector"]), _matrix(v["embedding"]), k)))
 
         found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(grid, HITS)
     return ranked(found, k).select("query", "rank", "doc_id", "score")

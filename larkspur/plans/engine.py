@@ -76,7 +76,7 @@ def search_batch(queries: DataFrame, documents: DataFrame, vectors: DataFrame |
     wide = F.least(F.greatest(64 * F.col("top_k"), F.lit(64)), F.lit(4096), F.lit(n))
     routed = routed.withColumn("limit", F.when(filtered & (F.col("top_k") > 0), wide).otherwise(F.col("top_k")))
     text = routed.where("lane in ('text', 'hybrid')").select("query", "query_text", F.col("limit").alias("top_k"))
-    text_hits = lexical.search(text, lexical.postings(documents)).select("query", "rank", "doc_id")
+    text_hits = lexical.search_documents(text, documents).select("query", "rank", "doc_id")
     near = routed.where("lane in ('vector', 'hybrid')")
     top = near.agg(F.max("limit")).first()[0]
     if top and vectors is not None:
@@ -86,7 +86,7 @@ def search_batch(queries: DataFrame, documents: DataFrame, vectors: DataFrame |
     else:
         vector_hits = text_hits.where("false")
     hybrid = routed.where("lane = 'hybrid'").select("query")
-    fused = fusion.fuse(text_hits.join(hybrid, "query", "left_semi"), vector_hits.join(hybrid, "query", "left_semi"), 4096).select("query", "rank", "doc_id")
+    fused = fusion.fuse(text_hits.join(hybrid, "query", "left_semi"), vector_hits.join(hybrid, "query", "left_semi"), None).select("query", "rank", "doc_id")
     single = text_hits.unionByName(vector_hits).join(hybrid, "query", "left_anti")
     hits = single.unionByName(fused).join(routed.select("query", "query_id", "top_k", "limit", "clauses"), "query").where("rank <= limit")
     # a hit stays if no clause of its query misses in its document

@@ -16,6 +16,7 @@ from ..functions.hashing import fnv1a_bucket, fnv1a_hex
 from ..functions.json import field_value
 from ..functions.text import sanitized, tokens
 from ..functions.vectors import quantized
+from . import engine
 from ..operators import embedding, facts, filters, fusion, latency, lexical, merge, profile, quality, vector
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,16 +97,23 @@ def postings_df(spark: SparkSession, d: str) -> DataFrame:
     return lexical.document_frequency(lexical.postings(_documents(spark, d)))
 
 
-@query(f"""WITH {POSTINGS}, asked AS (SELECT 0::BIGINT AS query, unnest({TOKENS.format("'The of on, and of'")}) AS token), {TEXT_SCORES}, {TEXT_RANKED}
-SELECT query, rank, doc_id, score FROM text_ranked WHERE rank <= 10""")
+@query(f"WITH {TEXT} SELECT query, doc_id, score FROM text_ranked WHERE rank = 1")
 def text_topk_single(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([(0, "The of on, and of", 10)], "query long, query_text string, top_k int")
-    return lexical.search(asked, lexical.postings(_documents(spark, d)))
+    """The best hit of every passage, over postings."""
+    return lexical.search(_text_queries(spark, d, 1), lexical.postings(_documents(spark, d))).select("query", "doc_id", "score")
+
+
+@query(f"WITH {TEXT} SELECT query, rank, doc_id, score FROM text_ranked WHERE rank <= 10 AND query = (SELECT min(item_id) FROM benchmark WHERE item_id % 3 = 1)")
+def first_text_query(spark: SparkSession, d: str) -> DataFrame:
+    """The first query that the text lane is eligible for, searched by itself."""
+    asked = _text_queries(spark, d).withColumn("file", F.lit(0))
+    asked = asked.withColumn("lane_eligibility", F.struct((F.col("query") % 3 == 1).alias("text"), F.lit(False).alias("vector"), F.lit(False).alias("hybrid")))
+    return lexical.search_documents(lexical.first_query(asked).select("query", "query_text", "top_k"), _documents(spark, d))
 
 
 @query(f"WITH {TEXT} SELECT query, rank, doc_id, score FROM text_ranked WHERE rank <= 10")
 def text_topk_batch(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.search(_text_queries(spark, d), lexical.postings(_documents(spark, d)))
+    return lexical.search_documents(_text_queries(spark, d), _documents(spark, d))
 
 
 @query(f"WITH {TEXT} SELECT query, doc_id, score, rank FROM text_ranked")
@@ -153,9 +161,10 @@ def quantize_q8(spark: SparkSession, d: str) -> DataFrame:
 # --- vector lane -----------------------------------------------------------------------------
 
 
-@query(f"WITH {VECTOR_SCORES.format('q.vec_id = 0')}, {VECTOR_RANKED} SELECT query, rank, doc_id, round(score, 6) AS score FROM vector_ranked WHERE rank <= 10")
+@query(f"WITH {VECTOR_SCORES.format('q.vec_id % 20 = 0')}, {VECTOR_RANKED} SELECT query, rank, doc_id, round(score, 6) AS score FROM vector_ranked WHERE rank <= 100")
 def vec_topk_exact(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(vector.search_exact(_table(spark, d, "embeddings").where("vec_id = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), _vectors(spark, d), 10))
+    """A deep list."""
+    return _rounded(vector.search_exact(_vector_queries(spark, d), _vectors(spark, d), 100))
 
 
 @query(f"WITH {VECTOR_SCORES.format('q.vec_id % 20 = 0')}, {VECTOR_RANKED} SELECT query, rank, doc_id, round(score, 6) AS score FROM vector_ranked WHERE rank <= 10")
@@ -200,7 +209,7 @@ SELECT query, rank, doc_id, {extra} round(score, 9) AS score FROM ranked WHERE r
 
 
 def _lanes(spark: SparkSession, d: str, text_limit: int, vector_limit: int, k: int) -> DataFrame:
-    text = lexical.search(_text_queries(spark, d), lexical.postings(_documents(spark, d)), text_limit)
+    text = lexical.search_documents(_text_queries(spark, d), _documents(spark, d), text_limit)
     near = vector.search_exact(_paired_vectors(spark, d), _vectors(spark, d), vector_limit)
     return fusion.fuse(text, near, k).withColumn("score", F.round("score", 9))
 
@@ -231,7 +240,7 @@ SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY old)
 def filtered_search_parity(spark: SparkSession, d: str) -> DataFrame:
     """Over-fetch, filter, cut: what lies beyond the fetched candidates is missed."""
     documents = _payloads(spark, d)
-    hits = lexical.search(_text_queries(spark, d), lexical.postings(documents), fusion.filtered_limit(10, documents.count()))
+    hits = lexical.search_documents(_text_queries(spark, d), documents, fusion.filtered_limit(10, documents.count()))
     return filters.filter_hits(hits, documents, filters.parse_filter({"metadata.lang": "en", "metadata.source": "src1", "dropped": 3}), 10).select("query", "rank", "doc_id", "score")
 
 
@@ -239,7 +248,7 @@ def filtered_search_parity(spark: SparkSession, d: str) -> DataFrame:
 SELECT query, rank, doc_id, score FROM text_ranked WHERE rank <= 10""")
 def filtered_search_pushdown(spark: SparkSession, d: str) -> DataFrame:
     """Filter first: the scan reads matching documents only, and nothing is missed."""
-    return lexical.search(_text_queries(spark, d), lexical.postings(_documents(spark, d).where("lang = 'en' and source = 'src1'")))
+    return lexical.search_documents(_text_queries(spark, d), _documents(spark, d).where("lang = 'en' and source = 'src1'"))
 
 
 @query("""SELECT event_id, CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN json_extract_string(props, '$.k') = '5' ELSE false END AS parity, coalesce(json_extract_string(props, '$.k') = '5', false) AS cast_match FROM events""")
@@ -259,7 +268,22 @@ def lane_routing(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {TEXT} SELECT t.query, t.rank, t.doc_id, t.score, d.text AS preview FROM text_ranked t LEFT JOIN documents d ON d.doc_id::VARCHAR = t.doc_id WHERE t.rank <= 10")
 def hydrate_preview(spark: SparkSession, d: str) -> DataFrame:
     documents = _documents(spark, d)
-    return merge.hydrate(lexical.search(_text_queries(spark, d), lexical.postings(documents)), documents)
+    return merge.hydrate(lexical.search_documents(_text_queries(spark, d), documents), documents)
+
+
+_ROUTED = """asked_all AS (SELECT item_id AS query, 'q' || item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'en' END AS lang, 5 + item_id % 4 AS top_k FROM benchmark WHERE item_id % 3 <> 2)"""
+
+
+@query(f"""WITH {TEXT}, {_ROUTED}, wide AS (SELECT *, CASE WHEN lang IS NULL THEN top_k ELSE least(greatest(64 * top_k, 64), 4096, (SELECT count(*) FROM documents)) END AS lim FROM asked_all),
+kept AS (SELECT w.query, w.query_id, w.top_k, t.doc_id, t.rank AS old FROM wide w JOIN text_ranked t ON t.query = w.query AND t.rank <= w.lim JOIN documents d ON d.doc_id::VARCHAR = t.doc_id WHERE w.lang IS NULL OR d.lang = w.lang)
+SELECT query, query_id, rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY old)::INTEGER AS rank FROM kept) WHERE rank <= top_k""")
+def search_batch_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """A query set at once: lanes from eligibility (every third query has none), limits of their own, filters on every second."""
+    i = F.col("query")
+    asked = _text_queries(spark, d).withColumn("query_id", F.concat(F.lit("q"), i)).withColumn("top_k", (5 + i % 4).cast("int"))
+    clauses = F.when(i % 2 == 0, F.create_map(F.lit("metadata.lang"), F.lit("en"))).otherwise(F.create_map().cast("map<string,string>"))
+    eligible = F.struct((i % 3 != 2).alias("text"), F.lit(False).alias("vector"), F.lit(False).alias("hybrid"))
+    return engine.search_batch(asked.withColumn("clauses", clauses).withColumn("lane_eligibility", eligible), _payloads(spark, d).withColumn("payload", F.to_json("payload")), None, 0)
 
 
 # --- write path ------------------------------------------------------------------------------
@@ -366,7 +390,7 @@ def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     asked = _text_queries(spark, d)
     judged = _table(spark, d, "labels").join(asked, F.col("doc_id") % asked.count() == F.col("query"))
     qrels = judged.select(F.col("query").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), ((F.col("quality") * 2 + F.col("doc_id")) % 4).cast("int").alias("relevance"))
-    results = lexical.search(_text_queries(spark, d), lexical.postings(_documents(spark, d)), 100)
+    results = lexical.search_documents(_text_queries(spark, d), _documents(spark, d), 100)
     return qrels, results.select(F.col("query").alias("query_id"), "rank", "doc_id")
 
 
@@ -416,16 +440,46 @@ def baseline_delta(spark: SparkSession, d: str) -> DataFrame:
     return found.select("event_type", *[F.round(c, 9).alias(c) for c in ("p50_delta", "p95_delta", "p99_delta")])
 
 
+@query("""WITH q AS (SELECT item_id::VARCHAR AS id FROM benchmark WHERE item_id % 7 <> 0 UNION ALL SELECT item_id::VARCHAR FROM benchmark WHERE item_id % 10 = 1 AND item_id % 7 <> 0),
+j AS (SELECT item_id::VARCHAR AS id, item_id AS doc, item_id % 5 AS rel FROM benchmark UNION ALL SELECT item_id::VARCHAR, item_id, item_id % 5 FROM benchmark WHERE item_id % 6 = 0),
+r AS (SELECT item_id::VARCHAR AS id, item_id % 3 AS doc FROM benchmark WHERE item_id % 11 <> 0 UNION ALL SELECT item_id::VARCHAR, item_id % 3 FROM benchmark WHERE item_id % 11 = 1)
+SELECT 'duplicate query_id' AS reason, id AS query_id, NULL::VARCHAR AS doc_id FROM q GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'qrels file must align with query ids', id, NULL FROM ((SELECT id FROM q EXCEPT SELECT id FROM j) UNION (SELECT id FROM j EXCEPT SELECT id FROM q))
+UNION ALL SELECT 'results must align with query ids', id, NULL FROM ((SELECT id FROM q EXCEPT SELECT id FROM r) UNION (SELECT id FROM r EXCEPT SELECT id FROM q))
+UNION ALL SELECT 'qrels file contains duplicate query_id/doc_id', id, doc::VARCHAR FROM j GROUP BY id, doc HAVING count(*) > 1
+UNION ALL SELECT 'qrels file contains invalid relevance', id, doc::VARCHAR FROM j WHERE rel NOT BETWEEN 0 AND 3
+UNION ALL SELECT 'results contain duplicate hits', id, doc::VARCHAR FROM r GROUP BY id, doc HAVING count(*) > 1""")
+def coverage_errors(spark: SparkSession, d: str) -> DataFrame:
+    """An evaluation set with faults of every kind, made from the passages' ids."""
+    i = F.col("item_id")
+    rows = _table(spark, d, "benchmark").select("item_id", i.cast("string").alias("query_id"))
+    queries_ = rows.where(i % 7 != 0).unionByName(rows.where((i % 10 == 1) & (i % 7 != 0)))
+    judged = rows.select("item_id", "query_id", i.cast("string").alias("doc_id"), (i % 5).alias("relevance"))
+    judged = judged.unionByName(judged.where(i % 6 == 0))
+    hits = rows.select("item_id", "query_id", (i % 3).cast("string").alias("doc_id"))
+    hits = hits.where(i % 11 != 0).unionByName(hits.where(i % 11 == 1))
+    return quality.coverage_errors(queries_, judged, hits)
+
+
+@query(f"""WITH p AS ({_PERCENTILES.format("")}), named AS (SELECT CASE WHEN hour(ts) < 12 THEN 'exact' ELSE 'hnsw' END AS mode, CASE user_id % 2 WHEN 0 THEN 'warm_text' ELSE 'warm_vector' END AS workload, value FROM events),
+g AS (SELECT mode, workload, quantile_disc(value, 0.95) AS p95 FROM named GROUP BY ALL)
+SELECT mode, max(p95) FILTER (workload = 'warm_text') AS warm_text, max(p95) FILTER (workload = 'warm_vector') AS warm_vector FROM g GROUP BY mode""")
+def matrix_report(spark: SparkSession, d: str) -> DataFrame:
+    """One row a mode, one column a workload, of the events' values."""
+    rows = _table(spark, d, "events").select(F.when(F.hour("ts") < 12, "exact").otherwise("hnsw").alias("mode"), F.when(F.col("user_id") % 2 == 0, "warm_text").otherwise("warm_vector").alias("workload"), "value")
+    return latency.matrix(latency.percentiles(rows, "mode", "workload")).select("mode", "warm_text", "warm_vector")
+
+
 # --- memory and media ------------------------------------------------------------------------
 
 # turns as a fact log: a system or user turn names a kind or an alias, an assistant turn is a fact
 _FACTS = """facts AS (SELECT conv_id * 1000 + turn AS record_id, conv_id::VARCHAR AS subject, CASE WHEN role = 'assistant' THEN 'said' WHEN turn = 0 THEN '__entity_kind' ELSE '__entity_alias' END AS predicate,
-CASE WHEN turn = 0 THEN role ELSE substr(text, 1, 12) END AS value, role AS source, turn AS asserted_at_ms FROM conversations)"""
+CASE WHEN turn = 0 THEN role ELSE text END AS value, role AS source, turn AS asserted_at_ms FROM conversations)"""
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
     predicate = F.when(F.col("role") == "assistant", "said").when(F.col("turn") == 0, facts.KIND).otherwise(facts.ALIAS)
-    value = F.when(F.col("turn") == 0, F.col("role")).otherwise(F.substring("text", 1, 12))
+    value = F.when(F.col("turn") == 0, F.col("role")).otherwise(F.col("text"))
     return _table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"), F.col("conv_id").cast("string").alias("subject"), predicate.alias("predicate"), value.alias("value"), F.col("role").alias("source"), F.col("turn").alias("asserted_at_ms"))
 
 
@@ -451,3 +505,41 @@ def alias_distinct_order(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9]', '_', 'g') || '-' || substr(sha256(html), 1, 12) || '.bin' AS stored_name FROM pages")
 def asset_name_sanitize(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", F.concat(sanitized(F.col("url")), F.lit("-"), F.substring(F.sha2("html", 256), 1, 12), F.lit(".bin")).alias("stored_name"))
+
+
+@query(f"""WITH {_FACTS}, kinds AS (SELECT subject, arg_max(value, record_id) AS kind FROM facts WHERE predicate = '__entity_kind' GROUP BY subject),
+wanted AS (SELECT conv_id::VARCHAR AS subject, CASE WHEN conv_id % 2 = 0 THEN 'system' ELSE 'person' END AS kind, text AS alias, 'up-' || conv_id AS fresh FROM conversations WHERE turn = 1)
+SELECT w.subject, '__entity_kind' AS predicate, w.kind AS value, 0::INTEGER AS at FROM wanted w LEFT JOIN kinds k USING (subject) WHERE k.kind IS NULL OR k.kind <> w.kind
+UNION ALL SELECT subject, '__entity_alias', alias, 1 FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.predicate = '__entity_alias' AND f.subject = w.subject AND f.value = w.alias)
+UNION ALL SELECT subject, '__entity_alias', fresh, 2 FROM wanted""")
+def entity_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation wanted as an entity with a kind, its first reply as one alias and a new one."""
+    first = _table(spark, d, "conversations").where("turn = 1")
+    kind = F.when(F.col("conv_id") % 2 == 0, "system").otherwise("person")
+    wanted = first.select(F.col("conv_id").cast("string").alias("subject"), kind.alias("kind"), F.array("text", F.concat(F.lit("up-"), "conv_id")).alias("aliases"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("asserted_at_ms"))
+    return facts.upsert_records(_facts(spark, d), wanted).select("subject", "predicate", "value", "at")
+
+
+@query("SELECT 'documents' AS side, doc_id::VARCHAR AS doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'labels', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def set_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that only one of two sets holds, as an ingest checks them."""
+    both = {"documents": _documents(spark, d), "labels": _table(spark, d, "labels").withColumn("doc_id", F.col("doc_id").cast("string"))}
+    side = lambda a, b: merge.missing(both[a], both[b]).select(F.lit(a).alias("side"), "doc_id")
+    return side("documents", "labels").unionByName(side("labels", "documents"))
+
+
+@query("SELECT vec_id::VARCHAR AS doc_id, 'dimensions' AS reason FROM embeddings WHERE vec_id % 9 = 0 UNION ALL SELECT vec_id::VARCHAR, 'duplicate' FROM embeddings WHERE vec_id % 10 = 0")
+def invalid_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors cut short at every ninth id, and every tenth there twice."""
+    rows = _vectors(spark, d)
+    cut = rows.withColumn("embedding", F.when(F.col("doc_id").cast("long") % 9 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
+    twice = rows.where("cast(doc_id as long) % 10 = 0")
+    return vector.invalid_vectors(cut.unionByName(twice), 64)
+
+
+@query("SELECT record_id, subject, CASE WHEN trim(subject) = '' THEN 'structured memory record subject cannot be empty' ELSE 'predicate is reserved' END AS reason FROM (SELECT conv_id * 1000 + turn AS record_id, CASE WHEN conv_id % 5 = 0 THEN ' ' ELSE conv_id::VARCHAR END AS subject, role FROM conversations) WHERE trim(subject) = '' OR role <> 'assistant'")
+def invalid_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Records that an append refuses: blank subjects, reserved predicates."""
+    rows = _facts(spark, d).withColumn("predicate", F.when(F.col("source") == "assistant", F.col("predicate")).otherwise(facts.ALIAS))
+    blank = F.when(F.col("subject").cast("long") % 5 == 0, F.lit(" ")).otherwise(F.col("subject"))
+    return facts.invalid(rows.withColumn("subject", blank)).select("record_id", "subject", "reason")

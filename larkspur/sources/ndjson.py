@@ -49,8 +49,9 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def document_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Ids alone."""
-    return lines(spark, path).select(F.col("line").alias("ord"), _required_string(F.parse_json("value"), "doc_id").alias("doc_id"))
+    """Ids alone; an empty one is an error, as in documents."""
+    doc_id = _required_string(F.parse_json("value"), "doc_id")
+    return lines(spark, path).select(F.col("line").alias("ord"), F.when(doc_id == "", F.raise_error(F.lit("a document has an empty doc_id")).cast("string")).otherwise(doc_id).alias("doc_id"))
 
 
 def payload(doc_id: Column, text: Column, metadata: Column, timestamp_ms: Column, extra: Column) -> Column:

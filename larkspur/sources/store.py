@@ -167,6 +167,9 @@ class Store:
     def publish_vectors(self, vectors: DataFrame, expected: int | None = None) -> int:
         """Vectors for exactly the current documents, as a new generation that carries the other families on."""
         profile.reject_duplicates(vectors, "publish_vectors")
+        sizes = [r[0] for r in vectors.select(F.coalesce(F.size("embedding"), F.lit(-1)).alias("n")).distinct().orderBy("n").limit(2).collect()]
+        if len(sizes) > 1 or sizes == [-1]:
+            raise ValueError("publish_vectors: vectors must be there and of one length")
         with self._writing(expected) as now:
             merge.require_cover(self.documents(), vectors, shown=1_000)
             generation = now.generation + 1
