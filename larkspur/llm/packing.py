@@ -21,9 +21,11 @@ tokens) fills. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
+import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -34,7 +36,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, in_slices, materialise
+from .common import id_and_text, in_slices, materialise, remove, stored
 
 WINDOW = 2048
 END_ID = 1
@@ -49,11 +51,14 @@ class Tokens:
     may be cut there and each word encoded once.
     """
 
-    tokenizer: object
+    encoding: object
     known: dict[str, bytes] = field(default_factory=dict)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, text: str) -> bytes:
+        ids = array("H", self.encoding.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, texts: list[str], cache: int = 500_000) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
@@ -66,29 +71,46 @@ class Tokens:
             new.update(parts[1:])
         new -= known.keys()
         unsafe = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        plain = list(new - unsafe)
-        known.update(zip(plain, self.ids([" " + p for p in plain])))
-        heads = iter(self.ids([head for head, *_ in split]))
+        for p in new - unsafe:
+            known[p] = self.ids(" " + p)
         out = []
-        for text, (head, *rest), first in zip(texts, split, heads):
+        for text, (head, *rest) in zip(texts, split):
             if rest and (not head or head[-1].isspace() or (unsafe and not unsafe.isdisjoint(rest))):
-                out.append(b"".join(self.ids(_CUT.split(text))))
+                out.append(b"".join(map(self.ids, _CUT.split(text))))
             else:
-                out.append(b"".join([first, *map(known.__getitem__, rest)]))
+                out.append(b"".join([self.ids(head), *map(known.__getitem__, rest)]))
         return out
 
 
 @lru_cache(maxsize=2)
 def loaded(path: str) -> Tokens:
-    """path: a tokenizers file. A task has one core, so the library's own threads are off."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+    """path: a byte-level BPE in the tokenizers library's format.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their spellings in a text are ordinary text
-    if tokenizer.get_vocab_size() > 1 << 16:
+    Its merges, in order, are ranks as tiktoken takes them, which gives the same ids in half the time (a
+    test holds both against each other).
+    """
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    if max(vocabulary.values()) >= 1 << 16:
         raise ValueError("ids don't fit 16 bits")
-    return Tokens(tokenizer)
+    ranks = {bytes(map(_BYTE_OF.__getitem__, piece)): rank for piece, rank in vocabulary.items() if all(c in _BYTE_OF for c in piece)}
+    special = [piece for piece in vocabulary if piece.startswith("<|") and piece.endswith("|>")]
+    for piece in special:  # their spellings in a text are ordinary text
+        ranks.pop(piece.encode(), None)
+    return Tokens(tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+
+
+def _byte_letters() -> dict[str, int]:
+    """How such files spell bytes: printable ones as themselves, the others as the letters from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+_BYTE_OF = _byte_letters()
 
 
 def tokenise(df: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,6 +126,13 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str =
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, n long")
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a document, each once, and how often it has them (a radix sort; documents are never empty)."""
+    ordered = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
 @dataclass(frozen=True)
 class Statistics:
     """Of all documents: their number, their mean length, and for each id the documents that hold it."""
@@ -120,7 +149,7 @@ def statistics(tokenised: DataFrame) -> Statistics:
         counts, documents, total = np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
             for ids in batch.column("ids").to_pylist():
-                counts[np.unique(np.frombuffer(ids, "<u2"))] += 1
+                counts[distinct(np.frombuffer(ids, "<u2"))[0]] += 1
                 documents += 1
                 total += len(ids) // 2
         at = np.flatnonzero(counts)
@@ -147,39 +176,56 @@ class Index:
     """Inverted index of a shard: for each id its documents and BM25 impacts."""
 
     def __init__(self, documents: list[np.ndarray], stats: Statistics):
-        found = [np.unique(d, return_counts=True) for d in documents]
+        found = [distinct(d) for d in documents]
         self.query = [t.astype(np.int64) for t, _ in found]
         term = np.concatenate(self.query)
         doc = np.repeat(np.arange(len(documents)), [len(t) for t, _ in found])
         tf = np.concatenate([c for _, c in found]).astype(np.float64)
         length = np.array([len(d) for d in documents], np.float64)[doc]
         impact = impacts(tf, idf_of(stats)[term], length, stats.mean_length)
+        self.n = len(documents)
+        # terms that many documents have are rows of a table, the others lists of documents
+        holders = np.bincount(term, minlength=1 << 16)
+        frequent = np.flatnonzero(holders > max(64, self.n // 8))
+        self.row = np.full(1 << 16, -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.table = np.zeros((len(frequent), self.n))
+        dense = self.row[term] >= 0
+        self.table[self.row[term[dense]], doc[dense]] = impact[dense]
+        term, doc, impact = term[~dense], doc[~dense], impact[~dense]
         by = np.argsort(term, kind="stable")
         self.doc, self.impact = doc[by], impact[by]
         self.at = np.searchsorted(term[by], np.arange((1 << 16) + 1))
-        self.n = len(documents)
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first, ties in document order."""
+    def neighbours(self, seed: int, used: np.ndarray, most: int = 0) -> np.ndarray:
+        """The `most` (0: all) unused documents that share a term with the seed, best first, ties in document order."""
         terms = self.query[seed]
         if not len(terms):
             return terms
-        spans = [slice(self.at[t], self.at[t + 1]) for t in terms]
-        docs = np.concatenate([self.doc[s] for s in spans])
-        scores = np.bincount(docs, np.concatenate([self.impact[s] for s in spans]), self.n)
+        rows = self.row[terms]
+        rare = terms[rows < 0]
+        scores = self.table[rows[rows >= 0]].sum(axis=0)
+        low, many = self.at[rare], self.at[rare + 1] - self.at[rare]
+        upto = np.cumsum(many)
+        if len(rare) and upto[-1]:
+            at = np.arange(upto[-1]) + np.repeat(low - upto + many, many)
+            scores += np.bincount(self.doc[at], self.impact[at], self.n)
         scores[used] = 0
         hit = np.flatnonzero(scores)
+        if most and len(hit) > most:  # a window takes a few; ties at the edge stay
+            hit = hit[scores[hit] >= np.partition(scores[hit], len(hit) - most)[len(hit) - most]]
         return hit[np.argsort(-scores[hit], kind="stable")]
 
 
-def pack_shard(documents: list[np.ndarray], stats: Statistics, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(documents: list[np.ndarray], stats: Statistics, window: int = WINDOW, few: int = 32) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset)."""
     index = Index(documents, stats)
     used = np.zeros(len(documents), bool)
     pieces: list[tuple[int, int, int, int, int]] = []
     sequence = offset = first = 0
     waiting: list[int] = []
-    opened = -1  # the sequence whose neighbours are waiting
+    opened = seed = -1  # the sequence whose neighbours are waiting, and its first document
+    more = False  # whether the seed has neighbours beyond those
     while True:
         doc = -1
         while waiting:
@@ -187,6 +233,9 @@ def pack_shard(documents: list[np.ndarray], stats: Statistics, window: int = WIN
             if not used[doc]:
                 break
             doc = -1
+        if doc < 0 and more and offset and opened == sequence:  # the few are used up, the window isn't full
+            more, waiting = False, index.neighbours(seed, used)[: window - offset][::-1].tolist()
+            continue
         if doc < 0:
             while first < len(documents) and used[first]:
                 first += 1
@@ -203,8 +252,8 @@ def pack_shard(documents: list[np.ndarray], stats: Statistics, window: int = WIN
                 sequence, offset = sequence + 1, 0
         if offset and opened != sequence:
             # this document is the first of its window, or was cut into it: it is the seed
-            opened = sequence
-            waiting = index.neighbours(doc, used)[: window - offset][::-1].tolist()
+            opened, seed, more = sequence, doc, True
+            waiting = index.neighbours(doc, used, few)[: window - offset][::-1].tolist()
 
 
 def drawn(tokenised: DataFrame, stats: Statistics, terms: int = 2, seed: int = 13) -> DataFrame:
@@ -217,7 +266,7 @@ def drawn(tokenised: DataFrame, stats: Statistics, terms: int = 2, seed: int = 1
         for batch in batches:
             keys = []
             for ids in batch.column("ids").to_pylist():
-                term, tf = np.unique(np.frombuffer(ids, "<u2"), return_counts=True)
+                term, tf = distinct(np.frombuffer(ids, "<u2"))
                 weight = impacts(tf, idf[term], len(ids) // 2, stats.mean_length)
                 term, weight = term[weight > 0], weight[weight > 0]
                 keys.append([int(term[np.argmin(r[term] / weight)]) if len(term) else -1 for r in races])
@@ -226,13 +275,12 @@ def drawn(tokenised: DataFrame, stats: Statistics, terms: int = 2, seed: int = 1
     return tokenised.mapInArrow(run, ", ".join(["doc_id long, ids binary, n long", *(f"{n} int" for n in names)]))
 
 
-def dealt(tokenised: DataFrame, stats: Statistics, shard_tokens: int) -> DataFrame:
-    """tokenised with the shard of each document: about shard_tokens tokens each, twice that at most but for a document's own length.
+def dealt(keyed: DataFrame, shard_tokens: int) -> DataFrame:
+    """The rows of a stored table (doc_id, ids, n, k0, k1) with the shard of each: about shard_tokens tokens, twice that at most but for a document's own length.
 
     On the driver are the tokens of each first term (bounded by the vocabulary). Places of more than
     a shard after the second term, of which there are fewer than tokens / (2 * shard_tokens), are broadcast.
     """
-    keyed = drawn(tokenised, stats)
     counted = materialise(keyed.groupBy("k0", "k1").agg(F.sum("n").alias("n")), "packing-terms")
     totals = counted.groupBy("k0").agg(F.sum("n").alias("n")).toArrow()
     terms, tokens = np.asarray(totals["k0"]), np.asarray(totals["n"])
@@ -244,7 +292,7 @@ def dealt(tokenised: DataFrame, stats: Statistics, shard_tokens: int) -> DataFra
     first = (np.cumsum(small) - small) // shard_tokens
     large = np.cumsum(np.where(parts > 1, parts, 0)) - np.where(parts > 1, parts, 0)
     start = np.where(parts == 1, first, first[-1] + 1 + large) if len(terms) else first
-    places = tokenised.sparkSession.createDataFrame(pa.table({"k0": pa.array(terms, pa.int32()), "place0": pa.array(start.astype(np.int64)), "parts": pa.array(parts.astype(np.int64))}))
+    places = keyed.sparkSession.createDataFrame(pa.table({"k0": pa.array(terms, pa.int32()), "place0": pa.array(start.astype(np.int64)), "parts": pa.array(parts.astype(np.int64))}))
     placed = lambda frame: frame.join(F.broadcast(places), "k0").withColumn("place", F.col("place0") + F.pmod(F.xxhash64("k1"), "parts"))
     over = placed(counted).groupBy("place").agg(F.sum("n").alias("m")).where(F.col("m") > 2 * shard_tokens)
     over = over.select("place", F.ceil(F.col("m") / shard_tokens).alias("split"))
@@ -258,8 +306,10 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 
 def pack(df: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: its document, where it starts there, its ids' CRC-32 (32-bit little-endian), its sequence and offset."""
-    tokenised = materialise(tokenise(df, tokenizer, END_ID, id_col, text_col), "packing-ids")
+    tokenised, path = stored(tokenise(df, tokenizer, END_ID, id_col, text_col), "packing-ids")
     stats = statistics(tokenised)
+    keyed = materialise(drawn(tokenised, stats), "packing-drawn")
+    remove(df.sparkSession, path)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(shard: pa.Table) -> pa.Table:
@@ -270,4 +320,4 @@ def pack(df: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: int
         rows = [(ids[d], start, n, zlib.crc32(documents[d][start : start + n].astype("<u4").tobytes()), len(documents[d]), base + sequence, offset) for d, start, n, sequence, offset in pack_shard(documents, stats, window)]
         return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(names, zip(*rows))})
 
-    return dealt(tokenised, stats, shard_tokens).groupBy("shard").applyInArrow(run, PIECE_SCHEMA)
+    return dealt(keyed, shard_tokens).groupBy("shard").applyInArrow(run, PIECE_SCHEMA)

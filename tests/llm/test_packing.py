@@ -100,9 +100,10 @@ def test_related_documents_share_a_shard(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     tokenised = packing.materialise(packing.tokenise(frame, FILE), "packing-test")
     stats = packing.statistics(tokenised)
+    keyed = packing.materialise(packing.drawn(tokenised, stats), "packing-test")
     shares = []
     for shard_tokens in (1 << 17, 1 << 15):
-        rows = packing.dealt(tokenised, stats, shard_tokens).select("doc_id", "ids", "n", "shard").collect()
+        rows = packing.dealt(keyed, shard_tokens).select("doc_id", "ids", "n", "shard").collect()
         rows.sort(key=lambda r: r.doc_id)
         sizes: dict = {}
         for r in rows:
@@ -127,7 +128,8 @@ def test_related_documents_share_a_shard(spark):
 def test_large_terms_are_split(spark, docs):
     rows = [(1, "same words here")] * 300 + [(i, f"same words here {i}") for i in range(300)] + [(None, None)] * 200
     tokenised = packing.materialise(packing.tokenise(docs(*rows), FILE), "packing-test")
-    shards = packing.dealt(tokenised, packing.statistics(tokenised), 200).groupBy("shard").sum("n").collect()
+    keyed = packing.materialise(packing.drawn(tokenised, packing.statistics(tokenised)), "packing-test")
+    shards = packing.dealt(keyed, 200).groupBy("shard").sum("n").collect()
     assert max(r[1] for r in shards) < 1000 and sum(r[1] for r in shards) == tokenised.agg({"n": "sum"}).first()[0]
     _check(rows, packing.pack(docs(*rows), FILE, shard_tokens=200).collect())
 
@@ -138,3 +140,5 @@ def test_neighbours_fill_the_window():
     stats = packing.Statistics(50, 61, frequency)
     order = [p[0] for p in packing.pack_shard(topics, stats, 122)]
     assert order == [0, 2, 4, 1, 3]
+    # how many neighbours are looked up at a time changes nothing
+    assert packing.pack_shard(topics, stats, 200, few=1) == packing.pack_shard(topics, stats, 200)
