@@ -100,19 +100,21 @@ def sampled(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.join(F.broadcast(chosen), list(keys), "left_semi")
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, on: str, weight: str, at_most: int | None = None, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, keyed: DataFrame, on: str, weight: str, at_most: int | None = None, how: str = "inner", merge: bool = False) -> DataFrame:
     """rows joined with keyed, whose `on` is unique and whose `weight` is the number of rows of the key.
 
     Keys with more than HOT rows, of which there are len(rows) / HOT at most, travel by broadcast, so
     their rows stay where they are; only the others are shuffled. at_most: a known bound of the
     number of hot keys, else they are counted. If there are too many to broadcast, all keys are salted.
+    merge: the cold keys are joined by shuffle and sort at any size, so a small run shows what a large one costs.
     """
     hot, cold = keyed.where(F.col(weight) > HOT), keyed.where(F.col(weight) <= HOT)
     if (hot.count() if at_most is None else at_most) > MOST_HOT:
         salted = keyed.drop(weight).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         return rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS))).join(salted, [on, "_salt"], how).drop("_salt")
     flagged = rows.join(F.broadcast(hot.drop(weight).withColumn("_hot", F.lit(True))), on, "left")
-    rest = flagged.where("_hot is null").select(*rows.columns).join(cold.drop(weight), on, how)
+    cold = cold.drop(weight).hint("merge") if merge else cold.drop(weight)
+    rest = flagged.where("_hot is null").select(*rows.columns).join(cold, on, how)
     return flagged.where("_hot").drop("_hot").unionByName(rest)
 
 

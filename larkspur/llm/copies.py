@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import id_and_text, in_slices, materialise, spread_join, whole_groups
+from .common import MOST_HOT, id_and_text, in_slices, materialise, remove, spread_join, stored, whole_groups
 from .components import connected_components
 from .simhash import BKForest, _signed, majority, shingle_hashes
 
@@ -184,14 +184,24 @@ def _compared(placed: DataFrame, heads: DataFrame, similarity: float, radius: in
             pairs = np.unique(np.stack([node[moved], node[label[moved]]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
-    full = placed.join(heads.select("node", "fp", "sketch", "hashes"), "node").select("shard", "node", "fp", "sketch", "hashes")
+    sets = heads.select("node", "fp", "sketch", "hashes")
+    nodes = materialise(placed.select("node").distinct(), "copies-nodes")
+    if nodes.count() <= MOST_HOT:  # keeps the sets of all others from being shuffled
+        sets = sets.join(F.broadcast(nodes), "node", "left_semi")
+    full = placed.hint("merge").join(sets, "node").select("shard", "node", "fp", "sketch", "hashes")
     return full.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "src long, dst long").where("src <> dst")
 
 
 def _sized(placed: DataFrame, name: str) -> DataFrame:
-    """(shard, node, size) of the items whose shard has others too; a shard of many rows is not gathered."""
-    sizes = materialise(placed.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("n", F.col("size")), f"{name}-sizes")
-    return materialise(spread_join(placed, sizes, "shard", "n"), name)
+    """(shard, node, size) of the items whose shard has others too; a shard of many rows is not gathered.
+
+    Of shards with the same members (told by their number, least, largest and a checksum) one is kept:
+    copies mostly share all of their shards.
+    """
+    mark = F.bit_xor(F.xxhash64("node"))
+    sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.max("node").alias("last"), mark.alias("mark")).where("size > 1")
+    sizes = sizes.groupBy("size", "first", "last", "mark").agg(F.min("shard").alias("shard")).select("shard", "size", F.col("size").alias("n"))
+    return materialise(spread_join(placed, materialise(sizes, f"{name}-sizes"), "shard", "n", merge=True), name)
 
 
 def _dense_blocks(dense: DataFrame, most: int) -> DataFrame:
@@ -230,10 +240,10 @@ def _open_blocks(dense: DataFrame, components: DataFrame, most: int) -> DataFram
     return member.join(pairs, "block").select(F.col("meet").alias("shard"), "node")
 
 
-def links(heads: DataFrame, similarity: float = 0.8, radius: int | None = None, most: int = MOST) -> DataFrame:
-    """Spanning links (src, dst) among heads (node, fp, sketch, shards, hashes); the radius follows from the similarity."""
+def links(names: DataFrame, heads: DataFrame, similarity: float = 0.8, radius: int | None = None, most: int = MOST) -> DataFrame:
+    """Spanning links (src, dst) among the items of names (node, shards), whose (node, fp, sketch, hashes) heads holds; the radius follows from the similarity."""
     radius = radius_of(similarity) if radius is None else radius
-    placed = _sized(heads.select(F.explode(F.array_distinct("shards")).alias("shard"), "node"), "copies-shards")
+    placed = _sized(names.select(F.explode(F.array_distinct("shards")).alias("shard"), "node"), "copies-shards")
     small = placed.where(F.col("size") <= most).select("shard", "node")
     if placed.where(F.col("size") > most).isEmpty():
         return _compared(small, heads, similarity, radius)
@@ -252,21 +262,24 @@ def links(heads: DataFrame, similarity: float = 0.8, radius: int | None = None,
 def duplicates(df: DataFrame, similarity: float = 0.8, words: int = 5, shards: int = 10, radius: int | None = None, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, content, component_id, stays of every row with an id: the smallest id of its group of copies, and whether the row may answer for it."""
     rows = described(df, words, shards, id_col, text_col).where("doc_id is not null")
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "copies")  # stored, so the numbers are settled
+    rows, path = stored(rows.withColumn("row", F.monotonically_increasing_id()), "copies")  # stored, so the numbers are settled
     contents = materialise(rows.groupBy("content").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "copies-contents")
-    heads = rows.join(contents.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    components = connected_components(links(heads, similarity, radius, most))
+    heads = rows.withColumnRenamed("row", "node")
+    names = materialise(heads.select("node", "shards").join(contents.select("node").hint("merge"), "node", "left_semi"), "copies-names")
+    components = connected_components(links(names, heads, similarity, radius, most))
     named = contents.join(components, "node", "left").withColumn("group", F.coalesce("component", "node")).select("content", "least", "n", "group")
     named = materialise(named, "copies-groups")
     first = named.groupBy("group").agg(F.min(F.struct("least", "content")).alias("first"), F.count(F.lit(1)).alias("contents"))
     judged = spread_join(named, first, "group", "contents").select("content", F.col("first.least").alias("component_id"), (F.col("content") == F.col("first.content")).alias("here"), "n")
     found = spread_join(rows.select("doc_id", "content"), judged, "content", "n")
-    return found.select("doc_id", "content", "component_id", (F.col("here") & (F.col("doc_id") == F.col("component_id"))).alias("stays"))
+    found = materialise(found.select("doc_id", "content", "component_id", (F.col("here") & (F.col("doc_id") == F.col("component_id"))).alias("stays")), "copies-found")
+    remove(df.sparkSession, path)  # the sets are large
+    return found
 
 
 def drop_copies(df: DataFrame, similarity: float = 0.8, words: int = 5, most: int = MOST) -> DataFrame:
     """The rows of df without copies: of each group one row, as it is, and all rows without an id."""
-    found = materialise(duplicates(df, similarity, words, most=most), "copies-found")
+    found = duplicates(df, similarity, words, most=most)
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("stays").alias("staying"))
     # an id that occurs once is told by itself; of the others the content decides
     marks = materialise(ids.select("doc_id", "n", F.when(F.col("staying") == 0, "goes").when(F.col("n") == 1, "stays").otherwise("open").alias("_copy_mark")), "copies-marks")
