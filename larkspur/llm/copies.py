@@ -284,7 +284,7 @@ def drop_copies(df: DataFrame, similarity: float = 0.8, words: int = 5, most: in
     # an id that occurs once is told by itself; of the others the content decides
     marks = materialise(ids.select("doc_id", "n", F.when(F.col("staying") == 0, "goes").when(F.col("n") == 1, "stays").otherwise("open").alias("_copy_mark")), "copies-marks")
     known = df.where("doc_id is not null").withColumn("_copy_id", F.col("doc_id").cast("long"))
-    marked = spread_join(known, marks.where("_copy_mark <> 'stays'").select(F.col("doc_id").alias("_copy_id"), "n", "_copy_mark"), "_copy_id", "n", how="left")
+    marked = spread_join(known, marks.where("_copy_mark <> 'stays'").select(F.col("doc_id").alias("_copy_id"), "n", "_copy_mark"), "_copy_id", "n", how="left", merge=True)
     kept = df.where("doc_id is null").unionByName(marked.where("_copy_mark is null").select(*df.columns))
     if marks.where("_copy_mark = 'open'").isEmpty():
         return kept
