@@ -23,11 +23,9 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -45,40 +43,45 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 @dataclass
 class Tokens:
-    """Byte-level BPE whose vocabulary fits 16 bits, with a bounded cache of words.
+    """Byte-level BPE whose vocabulary fits 16 bits.
 
     A space between two non-white characters always starts a token of its own pattern, so text
-    may be cut there and each word encoded once.
+    may be cut there and each word encoded once. opens: whether an id begins with a space.
     """
 
     encoding: object
-    known: dict[str, bytes] = field(default_factory=dict)
-
-    def ids(self, text: str) -> bytes:
-        ids = array("H", self.encoding.encode_ordinary(text))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-    def encode(self, texts: list[str], cache: int = 500_000) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
-        known = self.known
-        if len(known) > cache:
-            known.clear()
-        split = [t.split(" ") for t in texts]
-        new: set[str] = set()
-        for parts in split:
-            new.update(parts[1:])
-        new -= known.keys()
-        unsafe = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        for p in new - unsafe:
-            known[p] = self.ids(" " + p)
+    opens: np.ndarray
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u2")
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 16-bit ids of each text (no nulls). Each word that the texts have is encoded once, all in one call."""
+        split = pa.compute.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        bound = np.concatenate(([0], np.cumsum(np.asarray(split.value_lengths(), np.int64))))
+        word = np.asarray(words.indices, np.int64)
+        known = words.dictionary.to_pylist()
+        safe = np.array([bool(p) and not p[0].isspace() and not p[-1].isspace() for p in known], bool)
+        ids = self.ids("".join([" " + p for p, s in zip(known, safe.tolist()) if s]))
+        at = np.flatnonzero(self.opens[ids])
+        start, length = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        start[safe], length[safe] = at, np.diff(np.append(at, len(ids)))
+        # behind the first word of a text, which no space precedes
+        first = bound[:-1]
+        many, unsafe = length[word], ~safe[word]
+        many[first], unsafe[first] = 0, False
+        plain = ~np.logical_or.reduceat(unsafe, first) if len(first) else first
+        upto = np.cumsum(many)
+        data = ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(start[word] - upto + many, many)].tobytes()
+        ends = np.append(0, upto)[bound] * 2
         out = []
-        for text, (head, *rest) in zip(texts, split):
-            if rest and (not head or head[-1].isspace() or (unsafe and not unsafe.isdisjoint(rest))):
-                out.append(b"".join(map(self.ids, _CUT.split(text))))
+        for i, (head, n, a, b) in enumerate(zip(word[first].tolist(), np.diff(bound).tolist(), ends.tolist(), ends[1:].tolist())):
+            head = known[head]
+            if n > 1 and not (plain[i] and head and not head[-1].isspace()):
+                out.append(b"".join(self.ids(part).tobytes() for part in _CUT.split(texts[i].as_py())))
             else:
-                out.append(b"".join([self.ids(head), *map(known.__getitem__, rest)]))
+                out.append(self.ids(head).tobytes() + data[a:b])
         return out
 
 
@@ -100,7 +103,9 @@ def loaded(path: str) -> Tokens:
     special = [piece for piece in vocabulary if piece.startswith("<|") and piece.endswith("|>")]
     for piece in special:  # their spellings in a text are ordinary text
         ranks.pop(piece.encode(), None)
-    return Tokens(tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+    opens = np.zeros(1 << 16, bool)
+    opens[[rank for piece, rank in ranks.items() if piece.startswith(b" ")]] = True
+    return Tokens(tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), opens)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -120,7 +125,7 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = loaded(tokenizer)
         for batch in in_slices(batches, "text"):
-            ids = [x + end for x in tokens.encode(batch.column("text").to_pylist())]
+            ids = [x + end for x in tokens.encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], ["doc_id", "ids", "n"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, n long")

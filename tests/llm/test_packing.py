@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from larkspur.llm import packing
@@ -18,10 +20,19 @@ def _ids(texts):
 
 def test_ids_are_the_tokenizers(sample):
     texts = ODD + [r.text for r in sample.collect()]
-    got = packing.loaded(FILE).encode(texts)
+    got = packing.loaded(FILE).encode(pa.array(texts))
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [x[:-1] for x in _ids(texts)]
 
 
+def test_ids_of_odd_mixtures_are_the_tokenizers():
+    draw = random.Random(3)
+    parts = ["a", "B", "é", "日", "9", "'s", "'", "\n", "\t", " ", "  ", " ", "\x1c", "\x85", "\u2003", "!", "<|endoftext|>", "🙂", " the"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(40))) for _ in range(5000)]
+    got = packing.loaded(FILE).encode(pa.array(["left out", *texts]).slice(1))
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [x[:-1] for x in _ids(texts)]
+    assert packing.loaded(FILE).encode(pa.array([], pa.string())) == []
+
+
 def _check(rows, pieces, window=packing.WINDOW):
     """Every id lies in one piece; offsets of a sequence are gapless."""
     want = sorted((i is not None, i or 0, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), x in zip(rows, _ids([t for _, t in rows])))
