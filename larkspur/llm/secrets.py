@@ -2,13 +2,14 @@
 
 First-order character models are trained from labelled strings of the corpus itself: what the
 fixed patterns find is labelled secret, every other run of token characters ordinary. Transitions
-are counted over all documents (at most two tables of 128 x 128 reach the driver). Beside the
+are counted over all documents (at most three tables of 128 x 128 reach the driver). Beside the
 model of found secrets stand models of uniform credential alphabets, drawn from a seeded generator, so
 that kinds of secrets are known which the corpus doesn't show; the ordinary model allows for what
 identifiers have and prose lacks: joints, digits, capitals within. A run of 20 or more token
 characters is a secret where the log-likelihood ratio of the best random model against the ordinary
-one exceeds a bound per character, which follows from two labelled samples: secrets that were kept out
-of the counts, and ordinary runs.
+one exceeds a bound per character, which follows from all labelled strings, each distinct one once: secrets, each
+scored by the models of the half of the secrets that it is not in, and ordinary runs. Their ratios are counted
+in steps of 1 / 4096, so the bound is exact to a step.
 
 Defined cases: a null or empty text holds no span; spans of the fixed patterns always stay, and
 a span of the models is given only where it overlaps none of them. Offsets are code points, ends
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -79,6 +81,17 @@ class MarkovScorer:
         a, b = codes[:-1], codes[1:]
         return float((self.random[:, a, b].sum(axis=1).max() - np.log(len(self.random)) - self.ordinary[a, b].sum()) / len(b))
 
+    def ratios(self, tokens: list[str]) -> np.ndarray:
+        """ratio() of each of some strings, none of them empty."""
+        codes = np.frombuffer(("\n" + "\n".join(tokens)).encode("ascii"), np.uint8).astype(np.int64)
+        codes[codes == 10] = 0  # the start of a string
+        pairs = (codes[:-1] * 128 + codes[1:])[codes[1:] > 0]
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        starts = np.cumsum(sizes) - sizes
+        summed = lambda table: np.add.reduceat(table.ravel()[pairs], starts)
+        best = np.maximum.reduce([summed(r) for r in self.random])
+        return (best - np.log(len(self.random)) - summed(self.ordinary)) / sizes
+
 
 def _transitions(tokens: list[str], smoothing: float) -> np.ndarray:
     """Log-probabilities of the characters that follow each other in tokens; a line break stands between two of them."""
@@ -94,26 +107,22 @@ def values(text: str, spans: list[Span]) -> list[str]:
     return [ASSIGN.match(text, start)[2] if kind == "assign" else text[start:end] for kind, start, end, _ in spans]
 
 
+#: Steps of a ratio, of which the bound is one.
+STEPS = 4096
+#: Distinct strings that a task holds before it hands them over.
+MOST_STRINGS = 200_000
+
+
 @dataclass
 class Labelled:
-    """Transitions of secret and ordinary strings, and of each the `most` strings of smallest hash."""
+    """Transitions of ordinary strings and of both halves of the secrets, and the distinct strings (at most `most` more than a slice's)."""
 
-    most: int = 4000
-    counts: np.ndarray = None  # 2 x 128 * 128; 0 ordinary, 1 secret
-    strings: tuple[dict[str, int], dict[str, int]] = None
+    most: int = MOST_STRINGS
+    counts: np.ndarray = None  # 3 x 128 * 128; 0 ordinary, 1 and 2 the secrets of even and odd checksum
+    strings: tuple[dict[str, None], ...] = None
 
     def __post_init__(self):
-        self.counts, self.strings, self.cut = np.zeros((2, 128 * 128), np.int64), ({}, {}), [1 << 32, 1 << 32]
-
-    def _keep(self, label: int, string: str, key: int) -> None:
-        if key < self.cut[label]:
-            held = self.strings[label]
-            held[string] = key
-            if len(held) > 2 * self.most:
-                kept = sorted(held.items(), key=lambda x: (x[1], x[0]))[: self.most]
-                held.clear()
-                held.update(kept)
-                self.cut[label] = kept[-1][1] + 1
+        self.counts, self.strings = np.zeros((3, 128 * 128), np.int64), ({}, {}, {})
 
     def _count(self, label: int, data: bytes) -> None:
         codes = np.frombuffer(b"\x00" + data, np.uint8)
@@ -127,23 +136,32 @@ class Labelled:
             data = text.encode("utf-8", "surrogatepass")
             spans = base_spans(text, data)
             for value in values(text, spans):
-                key = zlib.crc32(value.encode())
-                if key & 1:  # kept out of the counts
-                    self._keep(1, value, key >> 1)
-                else:
-                    self._count(1, value.encode())
+                half = 1 + (zlib.crc32(value.encode()) & 1)
+                self._count(half, value.encode())
+                if len(value) >= 20:
+                    self.strings[half][value] = None
             if spans:
                 data = redacted(text, spans, "\n").encode("utf-8", "surrogatepass")
             ordinary.append(data)
         joined = b"\n".join(ordinary)
         self._count(0, joined)
-        for run in _LONG.findall(joined):
-            self._keep(0, run.decode(), zlib.crc32(run))
+        self.strings[0].update(dict.fromkeys(run.decode() for run in dict.fromkeys(_LONG.findall(joined))))
+
+    @property
+    def full(self) -> bool:
+        return sum(map(len, self.strings)) >= self.most
+
+    def taken(self) -> pa.RecordBatch:
+        """The strings held, as rows; they are held no longer."""
+        of = [(n, s) for n, held in enumerate(self.strings) for s in held]
+        for held in self.strings:
+            held.clear()
+        none = [None] * len(of)
+        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in of], pa.int32()), pa.array(none, pa.int32()), pa.array(none, pa.int64()), pa.array([s for _, s in of], pa.string())], ["label", "pair", "n", "string"])
 
-    def rows(self) -> pa.RecordBatch:
+    def counted(self) -> pa.RecordBatch:
         label, pair = np.nonzero(self.counts)
-        of = [(n, s) for n in (0, 1) for s in self.strings[n]]
-        return pa.RecordBatch.from_arrays([pa.array([*label.tolist(), *(n for n, _ in of)], pa.int32()), pa.array([*pair.tolist(), *([None] * len(of))], pa.int32()), pa.array([*self.counts[label, pair].tolist(), *(self.strings[n][s] for n, s in of)], pa.int64()), pa.array([*([None] * len(pair)), *(s for _, s in of)], pa.string())], ["label", "pair", "n", "string"])
+        return pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(pair, pa.int32()), pa.array(self.counts[label, pair], pa.int64()), pa.array([None] * len(pair), pa.string())], ["label", "pair", "n", "string"])
 
 
 def _ordinary(counts: np.ndarray) -> np.ndarray:
@@ -165,49 +183,98 @@ def _ordinary(counts: np.ndarray) -> np.ndarray:
     return np.log(p)
 
 
-def model(counts: np.ndarray, secrets: list[str], ordinary: list[str], seed: int = 11, strings: int = 4000) -> MarkovScorer:
-    """Both families from counted transitions; the bound from labelled samples.
-
-    The bound is the ratio that 99 of 100 secrets exceed, those of the sample and as many generated
-    ones as make 1,000 of them, or that which one of 1,000 ordinary runs exceeds, if it is higher.
+def _drawn(seed: int, n: int, skip: int = 0) -> list[list[str]]:
+    """n strings of each alphabet; skip: those drawn before from the same seed."""
+    rng = np.random.default_rng(seed)
+    draw = lambda n: [[row.tobytes().decode() for row in np.frombuffer(a.encode(), np.uint8)[rng.integers(0, len(a), (n, 32))]] for a in _ALPHABETS]
+    if skip:
+        draw(skip)
+    return draw(n)
+
+
+def models(counts: np.ndarray, seed: int = 11, strings: int = 4000) -> list[MarkovScorer]:
+    """Scorers without a bound: 0 of all counts; 1 and 2 without the secrets of that half, which they judge."""
+    random = [_transitions(d, 1e-3) for d in _drawn(seed, strings)]
+    ordinary = _ordinary(counts[0])
+    out = []
+    for secret in (counts[1] + counts[2], counts[2], counts[1]):
+        kinds = list(random)
+        if secret.sum() >= 1000:
+            seen = secret.reshape(128, 128) + 0.01 * sum(np.exp(r) for r in random)
+            kinds.append(np.log(seen / seen.sum(axis=1, keepdims=True)))
+        out.append(MarkovScorer(np.stack(kinds), ordinary))
+    return out
+
+
+def steps_of(scorer: MarkovScorer, strings: list[str], step: int = 50_000) -> Counter:
+    """How many strings have their ratio in which step."""
+    found: Counter = Counter()
+    for i in range(0, len(strings), step):
+        steps, n = np.unique(np.floor(scorer.ratios(strings[i : i + step]) * STEPS).astype(np.int64), return_counts=True)
+        found.update(dict(zip(steps.tolist(), n.tolist())))
+    return found
+
+
+def bounded(scorers: list[MarkovScorer], steps: list[dict[int, int]], seed: int = 11, strings: int = 4000) -> MarkovScorer:
+    """The scorer of all counts with its bound, from the steps of ordinary runs, and of both halves of the secrets.
+
+    The bound is the ratio that 99 of 100 secrets reach, all that were found and as many generated
+    ones as make 1,000 of them, or that which at most one of 1,000 ordinary runs reaches, if it is higher.
     Secrets shorter than the runs that are judged (20 characters) are left out, as are ordinary runs of under 8.
     """
-    rng = np.random.default_rng(seed)
-    drawn = lambda n: [[row.tobytes().decode() for row in np.frombuffer(a.encode(), np.uint8)[rng.integers(0, len(a), (n, 32))]] for a in _ALPHABETS]
-    random = [_transitions(d, 1e-3) for d in drawn(strings)]
-    if counts[1].sum() >= 1000:
-        seen = counts[1].reshape(128, 128) + 0.01 * sum(np.exp(r) for r in random)
-        random.append(np.log(seen / seen.sum(axis=1, keepdims=True)))
-    scorer = MarkovScorer(np.stack(random), _ordinary(counts[0]))
-    labelled = [s for s in secrets if len(s) >= 20]
-    fresh = [s for d in drawn(max(0, -(-(1000 - len(labelled)) // len(_ALPHABETS)))) for s in d]
-    good = [scorer.ratio(s) for s in labelled + fresh]
-    bad = [scorer.ratio(s) for s in ordinary if len(s) >= 8]
-    return MarkovScorer(scorer.random, scorer.ordinary, max(float(np.quantile(good, 0.01)), float(np.quantile(bad, 0.999)) if bad else 0.0))
+    good = Counter(steps[1]) + Counter(steps[2])
+    missing = max(0, -(-(1000 - good.total()) // len(_ALPHABETS)))
+    good += steps_of(scorers[0], [s for d in _drawn(seed, missing, strings) for s in d])
+
+    def reached(held: Counter, share: float, over: int) -> float:
+        """The end of the first step up to which this share of the strings lies, or (over 0) its start."""
+        at = np.array(sorted(held), np.int64)
+        upto = np.cumsum([held[x] for x in at.tolist()])
+        return (int(at[np.searchsorted(upto, share * upto[-1], side="left" if over else "right")]) + over) / STEPS
+
+    return MarkovScorer(scorers[0].random, scorers[0].ordinary, max(reached(good, 0.01, 0), reached(Counter(steps[0]), 0.999, 1) if steps[0] else 0.0))
 
 
 def train(texts: Iterable[str], seed: int = 11) -> MarkovScorer:
     """The models of some texts."""
     found = Labelled()
     found.add(list(texts))
-    return model(found.counts, list(found.strings[1]), list(found.strings[0]), seed)
+    scorers = models(found.counts, seed)
+    return bounded(scorers, [steps_of(scorers[label], list(found.strings[label])) for label in range(3)], seed)
 
 
-def fit(df: DataFrame, sample_strings: int = 4000, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> MarkovScorer:
-    """Trains on all whole texts. To the driver go the counts (2 x 128 x 128 at most) and `sample_strings` strings of each label, those of smallest hash."""
+def fit(df: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> MarkovScorer:
+    """Trains on all whole texts, and on all of their labelled strings. To the driver go counts alone: of transitions (3 x 128 x 128 at most), and of the steps of ratios."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Labelled(sample_strings)
+        found = Labelled()
         for batch in in_slices(batches, "text"):
             found.add(batch.column("text").to_pylist())
-        yield found.rows()
+            if found.full:
+                yield found.taken()
+        yield found.taken()
+        yield found.counted()
 
     rows = materialise(id_and_text(df, id_col, text_col).mapInArrow(run, "label int, pair int, n long, string string"), "secrets-labelled")
     summed = rows.where("pair is not null").groupBy("label", "pair").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((2, 128 * 128), np.int64)
+    counts = np.zeros((3, 128 * 128), np.int64)
     counts[np.asarray(summed["label"], np.int64), np.asarray(summed["pair"], np.int64)] = np.asarray(summed["n"], np.int64)
-    samples = [[r.string for r in rows.where((F.col("label") == label) & F.col("string").isNotNull()).select("string", "n").distinct().orderBy("n", "string").limit(sample_strings).collect()] for label in (0, 1)]
-    return model(counts, samples[1], samples[0], seed)
+    scorers = models(counts, seed)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = [Counter(), Counter(), Counter()]
+        for batch in batches:
+            label, strings = np.asarray(batch.column("label")), batch.column("string").to_pylist()
+            for n in range(3):
+                steps[n].update(steps_of(scorers[n], [strings[i] for i in np.flatnonzero(label == n).tolist()]))
+        found = [(n, step, many) for n in range(3) for step, many in steps[n].items()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["label", "step", "n"])
+
+    judged = rows.where("string is not null").select("label", "string").distinct().mapInArrow(judge, "label int, step long, n long")
+    steps: list[dict[int, int]] = [{}, {}, {}]
+    for r in judged.groupBy("label", "step").agg(F.sum("n").alias("n")).collect():
+        steps[r.label][r.step] = r.n
+    return bounded(scorers, steps, seed)
 
 
 def spans_of(text: str, scorer: MarkovScorer) -> list[Span]:

@@ -96,3 +96,26 @@ def test_models_find_what_no_pattern_does(spark, docs):
     rows = [(None, text), (1, text), (1, text), (2, "plain words")]
     got = secrets.scan(docs(*rows), scorer).collect()
     assert sorted((r.doc_id is not None, r.spans) for r in got) == sorted([(False, f"markov:1000000:{1000000 + len(key)}")] + [(True, f"markov:1000000:{1000000 + len(key)}")] * 2 + [(True, "")])
+
+
+def test_bound_follows_from_all_strings(spark, docs):
+    """8,000 ordinary runs, of which 40 look random: the bound is the first step that at most 8 of them reach."""
+    import random
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    walks = [[rng.randrange(26)] + rng.choices((1, 2), k=23) for _ in range(7960)]
+    runs = ["".join(letters[sum(w[: i + 1]) % 26] for i in range(24)) for w in walks] + ["".join(rng.choices(letters, k=24)) for _ in range(40)]
+    rng.shuffle(runs)
+    rows = [(i, " ".join(runs[40 * i : 40 * i + 40])) for i in range(200)]
+    scorer = secrets.fit(docs(*rows))
+    reach = lambda bound: sum(scorer.ratio(r) >= bound for r in runs)
+    assert reach(scorer.per_char) <= 8 < reach(scorer.per_char - 1 / 4096)
+    assert scorer.per_char == secrets.train([t for _, t in reversed(rows)]).per_char
+
+
+def test_every_secret_is_counted(spark, docs):
+    rows = [(i, f"password={'abcdefgh'[i % 8] * 7}{i:05d}") for i in range(400)]
+    held = secrets.Labelled()
+    held.add([t for _, t in rows])
+    assert held.counts[1:].sum() == 400 * 12 and held.counts[1].sum() and held.counts[2].sum()
