@@ -10,12 +10,12 @@ of 256 bins) settles what is clear, and the sets themselves decide the rest. Fin
 sets too (repeats don't count), and the radius follows from the similarity: a pair that similar is
 beyond it once in a million. A shard gives a spanning forest of its links, never all pairs.
 
-No shard is taken whole by a task if it has more than `most` members. Members of a larger one meet
-where a second pair of their minimum hashes agrees too (missed once in 1,500 at 0.8). What is still
-larger then is mostly one group of copies: its members are dealt into blocks, to each of which the
-member of smallest hash is added as well; after that only blocks of members that are not yet in the
-same group are compared with each other, so a group costs about its size and no pair of two groups
-is left out.
+No shard is taken whole by a task if it has more than `most` members. The members of a larger one,
+mostly a group of copies, are dealt into blocks, to each of which the member of smallest hash is added as
+well, so a group costs about its size. Members of large shards that are not in one group with all others
+then meet by an exact rule: sets of this similarity share one of the rarest fifth of their own hashes (a
+prefix in the order of frequency), so members with such a hash in common are compared, and where more than
+`most` have it, blocks of members that are not yet in the same group are. No pair of a large shard is left out.
 
 Defined cases: texts are compared in lower-cased words, so a null, empty or white text equals
 another; a text of fewer words than a shingle has its whole sequence as one. Equal contents are
@@ -34,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -196,7 +196,7 @@ def _sized(placed: DataFrame, name: str) -> DataFrame:
     """(shard, node, size) of the items whose shard has others too; a shard of many rows is not gathered.
 
     Of shards with the same members (told by their number, least, largest and a checksum) one is kept:
-    copies mostly share all of their shards.
+    copies mostly share all of their shards, and whoever meets in one of them meets in the one that is kept.
     """
     mark = F.bit_xor(F.xxhash64("node"))
     sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.max("node").alias("last"), mark.alias("mark")).where("size > 1")
@@ -214,6 +214,38 @@ def _dense_blocks(dense: DataFrame, most: int) -> DataFrame:
     return dealt.unionByName(heads.select(key(F.col("block")).alias("shard"), "node")).distinct()
 
 
+def _prefixes(open_: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """(shard, node, component): the hashes, rarest among these items first, of which two sets of this similarity share one at least.
+
+    Such sets of n hashes share ceil(similarity * n) of them, so one is among the first n + 1 less as many of both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "hashes"):
+            sets = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("hashes").to_pylist()]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            first = sizes + 1 - np.ceil(similarity * sizes - 1e-9).astype(np.int64)
+            for i in range(0, len(sets), 1000):  # a set has about as many rows as its text has words
+                n, part = sizes[i : i + 1000], slice(i, i + 1000)
+                columns = (np.repeat(np.asarray(batch.column("node"))[part], n), np.repeat(np.asarray(batch.column("component"))[part], n), np.repeat(first[part], n), np.concatenate(sets[part]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "component", "first", "shard"])
+
+    if open_.count() <= MOST_HOT:  # keeps the sets of all others from being shuffled
+        open_ = F.broadcast(open_)
+    sets = heads.select("node", "hashes").join(open_, "node").select("node", "component", "hashes")
+    held = materialise(sets.mapInArrow(run, "node long, component long, first long, shard long"), "copies-open-hashes")
+    counts = held.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    known = spread_join(held, materialise(counts.withColumn("many", F.col("n")), "copies-open-counts"), "shard", "n")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("many", "shard"))
+    return known.withColumn("place", place).where("place <= first and many > 1").select("shard", "node", "component")
+
+
+def _parted(placed: DataFrame, name: str) -> DataFrame:
+    """The (shard, node, component) of shards whose items are in several components, with the shard's size."""
+    several = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("shard", "size", F.col("size").alias("n"))
+    return spread_join(placed, materialise(several, f"{name}-several"), "shard", "n")
+
+
 def _open_blocks(dense: DataFrame, components: DataFrame, most: int) -> DataFrame:
     """(shard, node): pairs of blocks of a large shard whose members are not all in one group yet.
 
@@ -247,16 +279,19 @@ def links(names: DataFrame, heads: DataFrame, similarity: float = 0.8, radius: i
     small = placed.where(F.col("size") <= most).select("shard", "node")
     if placed.where(F.col("size") > most).isEmpty():
         return _compared(small, heads, similarity, radius)
-    # large shards: members meet where another of their shards agrees too
-    of = placed.groupBy("node").agg(F.collect_list(F.when(F.col("size") > most, F.col("shard"))).alias("large"), F.collect_list("shard").alias("all")).where(F.size("large") > 0)
-    second = F.flatten(F.transform("large", lambda x: F.transform(F.filter("all", lambda y: y != x), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    second = _sized(of.select(F.explode(F.array_distinct(second)).alias("shard"), "node"), "copies-second")
-    small = small.unionByName(second.where(F.col("size") <= most).select("shard", "node"))
-    dense = second.where(F.col("size") > most)
-    if dense.isEmpty():
-        return _compared(small, heads, similarity, radius)
+    dense = placed.where(F.col("size") > most)
     found = materialise(_compared(small.unionByName(_dense_blocks(dense, most)), heads, similarity, radius), "copies-links")
-    return found.unionByName(_compared(_open_blocks(dense, connected_components(found), most), heads, similarity, radius))
+    components = connected_components(found)
+    known = dense.select("shard", "node").join(components, "node", "left").select("shard", "node", F.coalesce("component", "node").alias("component"))
+    open_ = materialise(_parted(known, "copies-dense").select("node", "component").distinct(), "copies-apart")
+    if open_.isEmpty():
+        return found
+    meeting = _sized(materialise(_parted(materialise(_prefixes(open_, heads, similarity), "copies-prefixes"), "copies-prefix").select("shard", "node"), "copies-met"), "copies-meeting")
+    pairs = meeting.where(F.col("size") <= most).select("shard", "node")
+    dense = meeting.where(F.col("size") > most)
+    if not dense.isEmpty():
+        pairs = pairs.unionByName(_open_blocks(dense, components, most))
+    return found.unionByName(_compared(pairs, heads, similarity, radius))
 
 
 def duplicates(df: DataFrame, similarity: float = 0.8, words: int = 5, shards: int = 10, radius: int | None = None, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

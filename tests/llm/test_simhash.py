@@ -157,6 +157,31 @@ def test_large_shards_lose_no_link(spark, docs, most):
     assert got == want
 
 
+def test_copies_that_share_all_shards_are_found(spark, docs):
+    """Texts of equal shingle sets have equal members in all of their shards, of which one is kept."""
+    rng = np.random.default_rng(9)
+    line = [f"w{x}" for x in rng.integers(0, 10**7, 30)]
+    rows = [(i, " ".join(line * (2 + i))) for i in range(40)] + [(99, "another text of six words")]
+    assert {r.doc_id for r in copies.drop_copies(docs(*rows), most=16).collect()} == {0, 99}
+
+
+def test_a_large_shard_loses_no_pair(spark, docs):
+    """Members that have no second shard in common, groups of near copies among texts that share a passage."""
+    rng = np.random.default_rng(10)
+    own = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    passage, texts = own(30), []
+    for _ in range(30):
+        words = own(70)
+        texts += [words + passage, words[:-2] + own(2) + passage] + [own(70) + passage]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    heads = copies.described(docs(*rows)).withColumnRenamed("doc_id", "node").cache()
+    names = heads.select("node", copies.F.array(copies.F.lit(7).cast("long")).alias("shards"))
+    found = components.connected_components(copies.links(names, heads, most=16)).collect()
+    label = {r.node: r.component for r in found}
+    want, _ = _kept(rows)
+    assert len(want) == 60 and {label.get(i, i) for i, _ in rows} == want
+
+
 def test_recall_on_a_larger_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     table = [(r.doc_id, r.text) for r in rows.collect()]
