@@ -70,11 +70,11 @@ def _matrix(column) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, query_ids: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
-    """Per query the k best of a block, by score and then id."""
+    """Per query the k best of a block, by score and then id; a score of minus infinity is no hit."""
     out_q, out_d, out_s = [], [], []
     for q in range(len(query_ids)):
         row = scores[q]
-        near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
+        near = np.flatnonzero((row >= np.partition(row, len(row) - k)[len(row) - k]) & (row > -np.inf)) if len(row) > k else np.flatnonzero(row != -np.inf)
         order = sorted(near.tolist(), key=lambda i: (-row[i], ids[i].encode()))[:k]
         out_q += [int(query_ids[q])] * len(order)
         out_d += [ids[i] for i in order]
@@ -82,15 +82,30 @@ def _best(ids: np.ndarray, query_ids: np.ndarray, scores: np.ndarray, k: int) ->
     return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_d, pa.string()), pa.array(out_s, pa.float64())], schema=_HITS)
 
 
-def _tiles(ids: np.ndarray, query_ids: np.ndarray, points: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of each query, from products of at most TILE scores at a time."""
+def _buckets(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """(table, row): the signs of the random projections as bits of a bucket's number."""
+    tables, bits, dimensions = planes.shape
+    sides = (vectors @ planes.reshape(-1, dimensions).T > 0).reshape(-1, tables, bits)
+    return np.ascontiguousarray((sides << np.arange(bits)).sum(axis=2).T.astype(np.uint16))
+
+
+def _tiles(ids: np.ndarray, query_ids: np.ndarray, points: np.ndarray, vectors: np.ndarray, k: int, planes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The k best of each query, from products of at most TILE scores at a time; planes: among those alone that share a bucket in some table."""
     step = max(1, TILE // len(ids))
+    if planes is not None:
+        of, asked = _buckets(vectors, planes), _buckets(points, planes)
     for a in range(0, len(query_ids), step):
-        yield _best(ids, query_ids[a : a + step], points[a : a + step] @ vectors.T, k)
+        scores = points[a : a + step] @ vectors.T
+        if planes is not None:
+            mates = np.zeros(scores.shape, bool)
+            for t in range(len(of)):
+                mates |= asked[t, a : a + step, None] == of[t]
+            scores[~mates] = -np.inf
+        yield _best(ids, query_ids[a : a + step], scores, k)
 
 
-def search_exact(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 100_000) -> DataFrame:
-    """The k largest dot products of each query over all vectors.
+def search_exact(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 32_768, planes: np.ndarray | None = None) -> DataFrame:
+    """The k largest dot products of each query over all vectors (planes: over those that share a bucket with it, see search_hashed).
 
     Up to BLOCK_QUERIES queries go to the tasks that scan the vectors, which pass on k rows a batch
     and query. More queries are dealt into blocks, and so are the vectors; each pair of blocks is a
@@ -98,8 +113,8 @@ def search_exact(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int
     """
     if k == 0:
         return queries.sparkSession.createDataFrame([], "query long, rank int, doc_id string, score double")
-    vectors = vectors.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    queries = queries.select(F.col("query").cast("long").alias("query"), F.col("vector").cast("array<double>").alias("vector"))
+    vectors = vectors.select(F.col("doc_id").cast("string").alias("doc_id"), "embedding")
+    queries = queries.select(F.col("query").cast("long").alias("query"), "vector")
     few = queries.limit(BLOCK_QUERIES + 1).toArrow()
     if len(few) <= BLOCK_QUERIES:
         query_ids, points = np.asarray(few["query"]), _matrix(few["vector"])
@@ -107,19 +122,22 @@ def search_exact(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows and len(query_ids):
-                    yield from _tiles(np.array(batch.column("doc_id").to_pylist(), object), query_ids, points, _matrix(batch.column("embedding")), k)
+                    yield from _tiles(np.array(batch.column("doc_id").to_pylist(), object), query_ids, points, _matrix(batch.column("embedding")), k, planes)
 
         found = vectors.mapInArrow(scan, HITS)
     else:
         parts, blocks = -(-queries.count() // BLOCK_QUERIES), max(1, -(-vectors.count() // block_rows))
+        tasks = parts * blocks
         left = queries.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         right = vectors.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
         def grid(q: pa.Table, v: pa.Table) -> pa.Table:
             if not len(q) or not len(v):
                 return _HITS.empty_table()
-            return pa.Table.from_batches(list(_tiles(np.array(v["doc_id"].to_pylist(), object), np.asarray(q["query"]), _matrix(q["vector"]), _matrix(v["embedding"]), k)))
+            return pa.Table.from_batches(list(_tiles(np.array(v["doc_id"].to_pylist(), object), np.asarray(q["query"]), _matrix(q["vector"]), _matrix(v["embedding"]), k, planes)))
 
+        # by number, so that no small shuffle is gathered into a few tasks
+        left, right = (x.repartition(tasks, "part", "block") for x in (left, right))
         found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(grid, HITS)
     return ranked(found, k).select("query", "rank", "doc_id", "score")
 
@@ -150,21 +168,6 @@ def hash_planes(dimensions: int, tables: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, MAX_BITS, dimensions))
 
 
-def signatures(vectors: DataFrame, column: str, dimensions: int, bits: int, tables: int, seed: int = 7) -> DataFrame:
-    """vectors with one row a table: bucket, the signs of `bits` random projections."""
-    planes = hash_planes(dimensions, tables, seed)
-
-    def bucket(t: int):
-        value = F.lit(0).cast("long")
-        for b in range(bits):
-            plane = F.array(*[F.lit(float(x)) for x in planes[t, b]])
-            side = F.aggregate(F.zip_with(F.col(column), plane, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-            value = value + F.when(side > 0, 1 << b).otherwise(0)
-        return F.struct(F.lit(t).alias("table"), value.alias("bucket"))
-
-    return vectors.withColumn("_s", F.explode(F.array(*[bucket(t) for t in range(tables)]))).select("*", "_s.table", "_s.bucket").drop("_s")
-
-
 def calibrated_bits(queries: DataFrame, vectors: DataFrame, k: int, dimensions: int, tables: int, recall: float, sample: int = 64) -> int:
     """Most bits at which the tables offer `recall` of the exact k best of a sample of the queries; 0 if none do.
 
@@ -189,14 +192,12 @@ def search_hashed(queries: DataFrame, vectors: DataFrame, k: int, dimensions: in
     """Approximate: all rows that share a bucket in some table, by exact scores.
 
     The bits of a bucket are calibrated so that the recall of sampled queries is reached at any size;
-    where no number of bits reaches it, the search is exact.
+    where no number of bits reaches it, the search is exact. Bucket mates are told by comparing the
+    numbers of buckets in the blocks of search_exact, so no row a pair is written: vectors without structure
+    take few bits, and then a query has most of the table as mates.
     """
     bits = calibrated_bits(queries, vectors, k, dimensions, tables, recall)
-    if not bits:
-        return search_exact(queries, vectors, k)
-    left = signatures(queries.select("query", "vector"), "vector", dimensions, bits, tables).select("query", "table", "bucket")
-    right = signatures(vectors.select(F.col("doc_id").cast("string").alias("doc_id"), "embedding"), "embedding", dimensions, bits, tables).select("doc_id", "table", "bucket")
-    return rerank(left.join(right, ["table", "bucket"]).select("query", "doc_id").distinct(), queries, vectors, k)
+    return search_exact(queries, vectors, k, planes=hash_planes(dimensions, tables)[:, :bits] if bits else None)
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int, dimensions: int, mode: str = "auto", cold: bool = False) -> DataFrame:

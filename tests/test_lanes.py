@@ -137,3 +137,25 @@ def test_hydrate_null_or_error(spark):
     assert {r.doc_id: r.preview for r in merge.hydrate(_hits(spark, "a", "q"), docs).collect()} == {"a": "text", "q": None}
     with pytest.raises(Exception, match="no text for document q"):
         merge.hydrate(_hits(spark, "q"), docs, required=True).collect()
+
+
+def test_hashed_search_takes_bucket_mates_alone(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = rng.standard_normal((300, 8))
+    vectors = _vectors(spark, [(f"v{i}", [float(x) for x in v]) for i, v in enumerate(rows)])
+    asked = spark.createDataFrame([(i, [float(x) for x in rows[i]]) for i in range(20)], "query long, vector array<double>")
+    planes = vector.hash_planes(8, 3)[:, :4]
+    rows = rows.astype(np.float32).astype(np.float64)
+    of, mine = vector._buckets(rows, planes), vector._buckets(np.array([r.vector for r in asked.orderBy("query").collect()]), planes)
+    want = []
+    for q in range(20):
+        mates = [i for i in range(300) if any(of[t, i] == mine[t, q] for t in range(3))]
+        want += [(q, f"v{i}") for i in mates]
+    assert len(want) < 20 * 300 and of.max() < 16
+    monkeypatch.setattr(vector, "calibrated_bits", lambda *_: 4)
+    for most in (4096, 6):
+        monkeypatch.setattr(vector, "BLOCK_QUERIES", most)
+        got = vector.search_hashed(asked, vectors, 300, 8, tables=3)
+        assert sorted((r.query, r.doc_id) for r in got.collect()) == sorted(want)
