@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +42,18 @@ def fnv1a_bucket(text: Column, buckets: int) -> Column:
     """The unsigned hash modulo a number of buckets."""
     h = _limbs(text)
     return ((h["hi"] % buckets) * ((1 << 32) % buckets) + h["lo"]) % buckets
+
+
+def fnv1a_many(words: list[str]) -> np.ndarray:
+    """The 64-bit hashes of words in a task, all words a byte at a time."""
+    data = [w.encode() for w in words]
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    order = np.argsort(-sizes, kind="stable")
+    starts, text = (np.cumsum(sizes) - sizes)[order], np.frombuffer(b"".join(data), np.uint8)
+    longer = len(data) - np.searchsorted(np.sort(sizes), np.arange(sizes.max(initial=0)), side="right")  # words that have a byte there
+    found = np.full(len(data), FNV_OFFSET, np.uint64)
+    for i, n in enumerate(longer.tolist()):
+        found[:n] = (found[:n] ^ text[starts[:n] + i]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(found)
+    out[order] = found
+    return out

@@ -2,22 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.hashing import fnv1a_bucket
+from ..functions.hashing import fnv1a_bucket, fnv1a_many
 from ..functions.text import tokens
 
+#: Counts and tokens that a task holds at a time, and words whose hashes it remembers.
+TILE = 1 << 20
+MOST_WORDS = 400_000
+
+
+def _counted(documents: DataFrame, dimensions: int) -> DataFrame:
+    """(doc_id, bucket, n, squares) of each row's buckets that are not zero; squares: the sum of the row's n * n. A narrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            sizes = np.asarray(batch.column("tokens").value_lengths(), np.int64)
+            rows = max(1, TILE // dimensions)
+            group = np.maximum.accumulate((np.cumsum(sizes) - sizes) // TILE) * len(sizes) + np.arange(len(sizes)) // rows
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+            for a, b in zip(cuts, cuts[1:]):
+                coded = batch.column("tokens").slice(a, b - a).flatten().dictionary_encode()
+                words = coded.dictionary.to_pylist()
+                if len(known) > MOST_WORDS:
+                    known.clear()
+                new = [w for w in words if w not in known]
+                known.update(zip(new, (fnv1a_many(new) % np.uint64(dimensions)).tolist()))
+                bucket = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[np.asarray(coded.indices, np.int64)]
+                counts = np.bincount(np.repeat(np.arange(b - a), sizes[a:b]) * dimensions + bucket, minlength=(b - a) * dimensions).reshape(b - a, dimensions)
+                owner, held = np.nonzero(counts)
+                squares = (counts * counts).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).take(pa.array(owner)), pa.array(held, pa.int64()), pa.array(counts[owner, held], pa.int64()), pa.array(squares[owner], pa.int64())], ["doc_id", "bucket", "n", "squares"])
+
+    rows = documents.select("doc_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], *(StructField(c, LongType()) for c in ("bucket", "n", "squares"))]))
+
 
 def sparse(documents: DataFrame, dimensions: int) -> DataFrame:
     """(doc_id, bucket, weight) of the buckets that are not zero; texts without tokens have no row.
 
-    A token is hashed once for each document that holds it, where its row is, so frequent tokens need no join.
+    A row is counted where it lies. Only rows whose id occurs again (or is null) are shuffled, since
+    rows of one id count as one document.
     """
-    counts = documents.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    buckets = counts.withColumn("bucket", fnv1a_bucket(F.col("token"), dimensions)).groupBy("doc_id", "bucket").agg(F.sum("n").alias("n"))
-    norms = buckets.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    return buckets.join(norms, "doc_id").select("doc_id", "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+    weight = lambda squares: (F.col("n") / F.sqrt(squares.cast("double"))).alias("weight")
+    again = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("again"))
+    if again.isEmpty():
+        return _counted(documents, dimensions).select("doc_id", "bucket", weight(F.col("squares")))
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    once = _counted(documents.join(again, same, "left_anti"), dimensions).select("doc_id", "bucket", weight(F.col("squares")))
+    summed = _counted(documents.join(again, same, "left_semi"), dimensions).groupBy("doc_id", "bucket").agg(F.sum("n").alias("n"))
+    squares = F.sum(F.col("n") * F.col("n")).over(W.partitionBy("doc_id"))
+    return once.unionByName(summed.select("doc_id", "bucket", weight(squares)))
 
 
 def embed(documents: DataFrame, dimensions: int) -> DataFrame:

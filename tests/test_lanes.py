@@ -159,3 +159,25 @@ def test_hashed_search_takes_bucket_mates_alone(spark, monkeypatch):
         monkeypatch.setattr(vector, "BLOCK_QUERIES", most)
         got = vector.search_hashed(asked, vectors, 300, 8, tables=3)
         assert sorted((r.query, r.doc_id) for r in got.collect()) == sorted(want)
+
+
+def test_repeated_and_null_ids_are_one_document(spark):
+    docs = spark.createDataFrame([("a", "x y"), ("a", "x z"), (None, "x"), (None, "x"), ("b", "x x y"), ("c", ""), ("d", None)], "doc_id string, text string")
+    whole = spark.createDataFrame([("a", "x y x z"), ("n", "x x"), ("b", "x x y")], "doc_id string, text string")
+    rows = lambda frame: sorted((r.doc_id or "n", r.bucket, r.weight) for r in frame.collect())
+    assert rows(embedding.sparse(docs, 384)) == rows(embedding.sparse(whole, 384))
+
+
+def test_embedding_hashes_words_without_a_shuffle(spark, monkeypatch):
+    from larkspur.functions.hashing import fnv1a_bucket, fnv1a_many
+
+    words = ["a", "", "é", "日本語", "w" * 3000, "beta", "b"]
+    frame = spark.createDataFrame([(w,) for w in words], "w string").select("w", fnv1a_bucket(F.col("w"), 384).alias("b"))
+    assert {r.w: r.b for r in frame.collect()} == dict(zip(words, (fnv1a_many(words) % 384).tolist()))
+    docs = _docs(spark, **{f"d{i}": f"t{i} u{i % 7} u{i % 7} v" for i in range(50)})
+    want = sorted(map(tuple, embedding.sparse(docs, 16).collect()))
+    plan = embedding.sparse(docs, 16)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and len(want) > 50
+    monkeypatch.setattr(embedding, "TILE", 40)
+    monkeypatch.setattr(embedding, "MOST_WORDS", 5)
+    assert sorted(map(tuple, embedding.sparse(docs, 16).collect())) == want
