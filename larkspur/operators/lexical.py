@@ -46,34 +46,62 @@ def overlap_scores(queries: DataFrame, post: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, post: DataFrame, limit: int | None = None) -> DataFrame:
-    """Hits of all queries in one job. limit: one for all; None takes each query's top_k. Documents of score 0 never appear."""
-    scores = overlap_scores(queries, post)
-    if limit is None:
-        scores = scores.join(queries.select("query", "top_k"), "query")
-        return ranked(scores, F.col("top_k")).select("query", "rank", "doc_id", "score")
-    return ranked(scores, limit).select("query", "rank", "doc_id", "score")
+    """Hits of all queries in one job. limit: one for all; None takes each query's top_k. Documents of score 0 never appear.
+
+    The postings of query tokens are shuffled once, to their documents, whatever the number of queries; what
+    a document scores is then known where its tokens are.
+    """
+    table = _asked(queries)
+    if table is None:
+        scores = overlap_scores(queries, post)
+        if limit is None:
+            scores = scores.join(queries.select("query", "top_k"), "query")
+            return ranked(scores, F.col("top_k")).select("query", "rank", "doc_id", "score")
+        return ranked(scores, limit).select("query", "rank", "doc_id", "score")
+    return _scan(queries, table, _gathered(table, post), limit)
+
+
+def _gathered(table: pa.Table, post: DataFrame) -> DataFrame:
+    """(doc_id, tokens): the query tokens of each document that the postings have under them."""
+    words = post.sparkSession.createDataFrame(table.group_by("token").aggregate([]))
+    held = post.where("doc_id is not null").join(F.broadcast(words), "token", "left_semi")
+    return held.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.collect_set("token").alias("tokens"))
 
 
 #: Query tokens that travel to every task at once; more queries are answered by the join with postings.
 MOST_TOKENS = 2_000_000
 #: Scores that a task holds at a time.
 TILE = 1 << 22
+#: Summands of scores that a task holds at a time, besides those of one token.
+PAIRS = 1 << 20
 _HITS = pa.schema([("query", pa.int64()), ("doc_id", pa.string()), ("score", pa.int64())])
 
 
+def _asked(queries: DataFrame) -> pa.Table | None:
+    """(query, token, times), or none if there are too many to travel."""
+    asked = queries.select("query", F.explode(tokens(F.col("query_text"))).alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("times"))
+    table = asked.limit(MOST_TOKENS + 1).toArrow()
+    return table if len(table) <= MOST_TOKENS else None
+
+
 def search_documents(queries: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
     """As search(queries, postings(documents), limit), where documents are scanned anyway.
 
     A document's tokens lie in its row, so its scores need no shuffle: the query tokens (their number
     is checked) go to the scan, and each batch of documents passes on a query's k best alone.
     """
-    asked = queries.select("query", F.explode(tokens(F.col("query_text"))).alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("times"))
-    table = asked.limit(MOST_TOKENS + 1).toArrow()
-    if len(table) > MOST_TOKENS:
+    table = _asked(queries)
+    if table is None:
         return search(queries, postings(documents), limit)
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.array_distinct(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))).alias("tokens"))
+    return _scan(queries, table, rows.where("doc_id is not null"), limit)
+
+
+def _scan(queries: DataFrame, table: pa.Table, rows: DataFrame, limit: int | None, every: bool = False) -> DataFrame:
+    """Hits of the queries, whose tokens the table holds, over rows (doc_id, tokens, each once). every: without a limit."""
     ids, query = np.unique(np.asarray(table["query"], np.int64), return_inverse=True)
     tops = np.full(len(ids), limit or 0)
-    if limit is None:
+    if limit is None and not every:
         wanted = queries.select("query", "top_k").toArrow()
         known = np.searchsorted(ids, np.asarray(wanted["query"], np.int64))
         fits = known < len(ids)
@@ -91,40 +119,51 @@ def search_documents(queries: DataFrame, documents: DataFrame, limit: int | None
         owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
         owner, code = owner[code >= 0], code[code >= 0]
         many = starts[code + 1] - starts[code]
-        upto = np.cumsum(many)
-        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts[code] - upto + many, many)
-        scores = np.bincount(np.repeat(owner, many) * len(ids) + query[at], times[at], len(lists) * len(ids)).reshape(len(lists), -1)
+        scores = np.zeros(len(lists) * len(ids), np.float64)
+        # a token may be asked for by all queries, so its scores are summed in runs of bounded size
+        run = (np.cumsum(many) - many) // PAIRS
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(many)]
+        for a, b in zip(cuts, cuts[1:]):
+            n = many[a:b]
+            upto = np.cumsum(n)
+            at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts[code[a:b]] - upto + n, n)
+            place = np.repeat(owner[a:b] * len(ids), n) + query[at]
+            low = int(owner[a]) * len(ids) if b > a else 0  # the documents of a run are neighbours
+            part = np.bincount(place - low, times[at])
+            scores[low : low + len(part)] += part
+        scores = scores.reshape(len(lists), -1)
         place = np.empty(len(names), np.int64)
         place[sorted(range(len(names)), key=lambda i: names[i].encode())] = np.arange(len(names))
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
         for q, k in enumerate(tops.tolist()):
             near = np.flatnonzero(scores[:, q])
-            if len(near) > k > 0:
+            if len(near) > k > 0 and not every:
                 near = near[scores[near, q] >= np.partition(scores[near, q], len(near) - k)[len(near) - k]]
-            near = near[np.lexsort((place[near], -scores[near, q]))][:k]
+            near = near[np.lexsort((place[near], -scores[near, q]))][: None if every else k]
             out.append((int(ids[q]), near, scores[near, q]))
         found = [names[i] for _, near, _ in out for i in near.tolist()]
         return pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in out], [len(n) for _, n, _ in out]), pa.int64()), pa.array(found, pa.string()), pa.array(np.concatenate([s for _, _, s in out]).astype(np.int64))], schema=_HITS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, TILE // max(1, len(ids)))
+        step = max(1, (TILE // 8 if every else TILE) // max(1, len(ids)))
         for batch in batches:
             for a in range(0, batch.num_rows if len(ids) else 0, step):
                 part = batch.slice(a, step)
                 # a list array of its own, whose offsets start at 0
                 yield scored(part.column("doc_id").to_pylist(), pa.concat_arrays([part.column("tokens")]))
 
-    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.array_distinct(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))).alias("tokens"))
-    hits = rows.where("doc_id is not null").mapInArrow(scan, "query long, doc_id string, score long")
-    if limit is None:
+    hits = rows.mapInArrow(scan, "query long, doc_id string, score long")
+    if limit is None and not every:
         return ranked(hits.join(F.broadcast(queries.select("query", "top_k")), "query"), F.col("top_k")).select("query", "rank", "doc_id", "score")
     return ranked(hits, limit).select("query", "rank", "doc_id", "score")
 
 
 def search_all(queries: DataFrame, post: DataFrame) -> DataFrame:
     """Hits without a limit."""
-    scores = overlap_scores(queries, post)
-    return scores.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doc_id"))).select("query", "rank", "doc_id", "score")
+    table = _asked(queries)
+    if table is None:
+        return ranked(overlap_scores(queries, post), None).select("query", "rank", "doc_id", "score")
+    return _scan(queries, table, _gathered(table, post), None, every=True)
 
 
 def first_query(queries: DataFrame, lane: str = "text") -> DataFrame:

@@ -181,3 +181,20 @@ def test_embedding_hashes_words_without_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(embedding, "TILE", 40)
     monkeypatch.setattr(embedding, "MOST_WORDS", 5)
     assert sorted(map(tuple, embedding.sparse(docs, 16).collect())) == want
+
+
+def test_search_shuffles_no_row_a_pair(spark, monkeypatch):
+    docs = _docs(spark, **{f"d{i}": " ".join("abcdefghij"[: i % 10 + 1]) for i in range(60)})
+    asked = _ask(spark, "a b c", "b b j", "zz", "a", k=4)
+    post = lexical.postings(docs)
+    rows = lambda hits: sorted(map(tuple, hits.collect()))
+    by_join = lexical.ranked(lexical.overlap_scores(asked, post), None).select("query", "rank", "doc_id", "score")
+    every = rows(by_join)
+    few = [r for r in every if r[1] <= 4]
+    for tile, pairs in ((1 << 22, 1 << 20), (20, 3)):
+        monkeypatch.setattr(lexical, "TILE", tile)
+        monkeypatch.setattr(lexical, "PAIRS", pairs)
+        assert rows(lexical.search_documents(asked, docs)) == rows(lexical.search(asked, post)) == few
+        assert rows(lexical.search(asked, post, 4)) == few and rows(lexical.search_all(asked, post)) == every
+    monkeypatch.setattr(lexical, "overlap_scores", None)
+    assert rows(lexical.search(asked, post)) == few
