@@ -57,6 +57,14 @@ _SHORT = 48
 _SLOTS = 20  # bits of the table of pairs
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are asked for first, so that each occurrence is looked up once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 @dataclass
 class Pieces:
     """A merge-type model: pieces as bytes, and what each pair of pieces merges to."""
@@ -231,17 +239,22 @@ class Pieces:
         counts = []
         for text in texts:
             text = text.replace(MARK, _OWN_MARK) if MARK in text else text
-            words = _WORD.findall((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else [""]
-            words.pop()  # the empty match at the end
+            if text and self.prefix and text[0] != " " and "  " not in text:  # each mark starts a word
+                words = (MARK + text.replace(" ", f" {MARK}")).split(" ")
+            else:
+                words = _WORD.findall((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else [""]
+                words.pop()  # the empty match at the end
             occurring += words
             counts.append(len(words))
-        distinct = list(dict.fromkeys(occurring))
+        number = _Numbers()
+        numbers = list(map(number.__getitem__, occurring))
+        distinct = list(number)
         known = self._plain(distinct)
-        found = [known[w][0] for w in occurring]
+        plain = [known[w][0] for w in distinct]
+        found = list(map(plain.__getitem__, numbers))
         ends = np.cumsum([0, *counts])
         if threshold and occurring:
-            number = dict(zip(distinct, range(len(distinct))))
-            of = np.fromiter(map(number.__getitem__, occurring), np.int64, len(occurring))
+            of = np.array(numbers, np.int64)
             place_of = np.arange(len(of), dtype=np.uint64) - np.repeat(ends[:-1], counts).astype(np.uint64)
             own = np.repeat(np.array(keys if keys else [0] * len(texts), np.uint64), counts)
             place_keys = mix_array(own ^ (place_of + np.uint64(1)) * np.uint64(_ODD))

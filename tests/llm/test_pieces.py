@@ -56,3 +56,21 @@ def test_every_occurrence_is_cut_for_itself(model):
         assert got == b"".join(want)
         cut.append(set(want))
     assert len(cut[0]) > 8 and cut[0] - cut[1] and cut[1] - cut[0]
+
+
+def test_words_are_cut_alike_either_way(model):
+    """Texts cut by split have the ids that the pattern's words give."""
+    texts = ["a b c", "a b ", "a\n b\tc", "one", "é 日本 x" * 20, "a ▁b c", " lead", "two  gaps", " ", "  ", ""]
+    keys = list(range(len(texts)))
+    got = model.encode(texts, keys, 0.3)
+
+    class Marked(str):
+        def __contains__(self, part):
+            return part == "  " or str.__contains__(self, part)
+
+        def replace(self, *how):
+            return Marked(str.replace(self, *how))
+
+    by_pattern = model.encode([Marked(t) for t in texts], keys, 0.3)
+    assert [x.tolist() for x in got] == [x.tolist() for x in by_pattern]
+    assert [model.decode(x) for x in got] == texts
