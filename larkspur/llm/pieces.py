@@ -23,10 +23,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, in_slices
@@ -52,9 +53,44 @@ def mix_array(x: np.ndarray) -> np.ndarray:
 #: Stands for a word mark that the text itself holds; no valid text has a lone surrogate.
 _OWN_MARK = "\ud800"
 _ODD = 0x9E3779B97F4A7C15
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
 _SHORT = 48
-_SLOTS = 20  # bits of the table of pairs
+_PLACE = 6  # bits of a place in a short word
+_SLOTS = 18  # bits of the table of pairs
+_TOGETHER = 8192  # short words merged at once, occurrences looked at at once: their arrays stay in a core's cache
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of values that begin at starts, one behind the other."""
+    upto = np.cumsum(sizes)
+    return values[np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - upto + sizes, sizes)]
+
+
+@dataclass
+class Runs:
+    """Runs of numbers in one array that grows: run i is values[starts[i] : starts[i] + sizes[i]]."""
+
+    values: np.ndarray
+    starts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    sizes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    n: int = 0  # runs
+    used: int = 0  # values
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = self.n + len(sizes), self.used + len(values)
+        if n > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate((x, np.empty(2 * n - len(x), np.int64))) for x in (self.starts, self.sizes))
+        if used > len(self.values):
+            self.values = np.concatenate((self.values, np.empty(2 * used - len(self.values), self.values.dtype)))
+        self.values[self.used : used] = values
+        self.sizes[self.n : n] = sizes
+        self.starts[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.n, self.used = n, used
+
+    def taken(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of these runs, and their sizes."""
+        sizes = self.sizes[at]
+        return gathered(self.values, self.starts[at], sizes), sizes
 
 
 class _Numbers(dict):
@@ -75,10 +111,12 @@ class Pieces:
     byte_ids: list[int]
     data: list[bytes]
     ranked: np.ndarray
-    slots: list[tuple[np.int64, np.ndarray, np.ndarray, np.ndarray]]
+    slots: list[tuple[np.uint64, np.ndarray]]
     char_table: np.ndarray
     prefix: bool = True  # a mark is put before the text, as the model's normaliser does
-    words: dict[str, tuple[bytes, np.ndarray]] = field(default_factory=dict)  # plain ids of a word, 32 bits each, and its merges
+    words: dict[str, int] = field(default_factory=dict)  # the runs of a short word in the two that follow
+    plain: Runs = field(default_factory=lambda: Runs(np.empty(0, np.int32)))  # its plain ids
+    merges: Runs = field(default_factory=lambda: Runs(np.empty(0, np.uint64)))  # and the merges that lead to them
 
     @classmethod
     def load(cls, path: str) -> "Pieces":
@@ -92,7 +130,7 @@ class Pieces:
         for i, b in bytes_of.items():
             byte_ids[b[0]] = i
         ids = {t: i for i, t in enumerate(texts) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
-        if n > 1 << 16 or any(re.search(f"[^{MARK}]{MARK}", t) for t in ids):
+        if n >= 1 << 16 or any(re.search(f"[^{MARK}]{MARK}", t) for t in ids):
             raise ValueError("too many pieces, or a piece that spans a word mark")
         by_rank = sorted((i for t, i in ids.items() if len(t) > 1), key=lambda i: -model.get_score(i))
         pairs = {}
@@ -103,22 +141,23 @@ class Pieces:
                     pairs[left << 16 | right] = rank
         data = [bytes_of.get(i, texts[i].replace(MARK, " ").encode()) for i in range(n)]
         char_ids = {t: i for t, i in ids.items() if len(t) == 1}
-        table = np.full(0x110000, -1, np.int64)
+        table = np.full(0x110000, -1, np.int32)
         table[[ord(c) for c in char_ids]] = list(char_ids.values())
-        keys, ranks = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
-        # slots hold one pair each; those that meet a taken slot go to a further table with another spread
+        # slots hold one pair each, its rank below it and between them whether others meet here: those go to a further table with another spread
+        keys, ranks = np.array(list(pairs), np.uint64), np.array(list(pairs.values()), np.uint64)
         slots, spread = [], _ODD
         while len(keys):
-            odd = np.int64(spread - (1 << 64) if spread >> 63 else spread)
-            slot = keys * odd >> 44 & (1 << _SLOTS) - 1
+            odd = np.uint64(spread)
+            slot = keys * odd >> np.uint64(64 - _SLOTS)
             _, first = np.unique(slot, return_index=True)
-            slot_pairs, slot_ranks = np.full(1 << _SLOTS, -1, np.int64), np.full(1 << _SLOTS, -1, np.int64)
-            slot_pairs[slot[first]], slot_ranks[slot[first]] = keys[first], ranks[first]
-            slots.append((odd, slot_pairs, slot_ranks, np.bincount(slot, minlength=1 << _SLOTS) > 1))
+            held = np.full(1 << _SLOTS, 0xFFFFFFFF << 32, np.uint64)
+            held[slot[first]] = keys[first] << np.uint64(32) | ranks[first]
+            held[np.bincount(slot.astype(np.int64), minlength=1 << _SLOTS) > 1] |= np.uint64(1 << 31)
+            slots.append((odd, held))
             rest = np.ones(len(keys), bool)
             rest[first] = False
             keys, ranks, spread = keys[rest], ranks[rest], mix(spread) | 1
-        return cls(char_ids, pairs, by_rank, byte_ids, data, np.array(by_rank, np.int64), slots, table)
+        return cls(char_ids, pairs, by_rank, byte_ids, data, np.array(by_rank, np.int32), slots, table)
 
     def merge(self, word: str, key: int, threshold: int, taken: list[int] | None = None) -> bytes:
         """Pieces of one word; a candidate is skipped where the keyed hash of its piece and place is under threshold."""
@@ -159,158 +198,218 @@ class Pieces:
         """Pieces, with the bytes of each character (-1) that is none."""
         out: list[int] = []
         for piece, c in symbols:
-            out += [piece] if piece >= 0 else [self.byte_ids[b] for b in (MARK if c == _OWN_MARK else c).encode("utf-8", "surrogatepass")]
+            out += [piece] if piece >= 0 else self._bytes(c)
         return np.array(out, "<i4").tobytes()
 
-    def merge_many(self, words: list[str], keys: np.ndarray, threshold: int, taken: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
-        """merge() of many words at once: in each round every word takes the best entry of its agenda.
+    def _bytes(self, c: str) -> list[int]:
+        return [self.byte_ids[b] for b in (MARK if c == _OWN_MARK else c).encode("utf-8", "surrogatepass")]
 
-        taken: receives the words and entries of the merges of each round.
+    def merge_many(self, words: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
+        """merge() of many words at once."""
+        ids, starts, sizes = self._segment(words, keys, threshold)
+        return [ids[a : a + n].tobytes() for a, n in zip(starts.tolist(), sizes.tolist())]
+
+    def _merged(self, words: list[str], counts: np.ndarray, keys: np.ndarray, threshold: int, trace: bool = False) -> tuple[np.ndarray, ...]:
+        """merge() of short words: ids and their number for each word; trace: also merges and their number.
+
+        Words are columns, symbols are rows (a row of none before and behind them), so that each step is
+        one operation over the words: in each round every word takes the best entry of its agenda.
         """
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        code_points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        held = self.char_table[code_points]
-        owner = np.repeat(np.arange(len(words)), counts)
-        place = np.arange(len(held)) - np.repeat(np.cumsum(counts) - counts, counts)
-        agenda = np.full(len(held), _NONE)
-        agenda[:-1] = np.where(owner[1:] == owner[:-1], self._entries(held[:-1], held[1:], place[:-1]), _NONE)
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while len(held):
-            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            best = np.minimum.reduceat(agenda, first)
-            spread = np.repeat(best, np.diff(np.append(first, len(held))))
-            over = spread == _NONE
-            if over.any():
-                done.append((owner[over], held[over], code_points[over]))
-            top = np.flatnonzero((agenda == spread) & ~over)
-            entry = agenda[top]
-            agenda[top] = _NONE
+        width, most = len(words), max(int(counts.max()), 1)
+        code_points = np.ascontiguousarray(np.array(words, f"U{most}").view(np.uint32).reshape(width, most).T)
+        held = np.full((most + 2, width), -2, np.int32)
+        held[1:-1] = np.where(np.arange(most, dtype=np.int64)[:, None] < counts, self.char_table[code_points], -2)
+        agenda = np.full((most + 2, width), _NONE, np.int32)
+        agenda[1:-1] = self._entries(held[1:-1].ravel(), held[2:].ravel(), np.repeat(np.arange(most, dtype=np.int32), width)).reshape(most, width)
+        rows = np.arange(most + 2, dtype=np.int32)[:, None] * np.int32(width) + np.arange(width, dtype=np.int32)
+        after, before = (rows + np.int32(width)).ravel(), (rows - np.int32(width)).ravel()
+        held_flat, agenda_flat = held.ravel(), agenda.ravel()
+        low, bound, spread = np.int32((1 << _PLACE) - 1), np.uint64(threshold), np.uint64(_ODD)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while True:
+            best = agenda.min(axis=0)
+            word = np.flatnonzero(best != _NONE)
+            if not len(word):
+                break
+            entry = best[word]
+            place = entry & low
+            left = (place + np.int32(1)) * np.int32(width) + word.astype(np.int32)
+            rank = entry >> np.int32(_PLACE)
             if threshold:
-                top_key = (keys[owner[top]] ^ entry.astype(np.uint64)) * np.uint64(_ODD)
-                merged = top_key >> np.uint64(32) >= threshold
-                top, entry = top[merged], entry[merged]
-            if taken is not None:
-                taken.append((owner[top], entry))
-            held[top] = self.ranked[entry >> 32]
-            keep = ~over
-            keep[top + 1] = False
-            at = (np.cumsum(keep) - 1)[top]
-            owner, held, place, agenda, code_points = owner[keep], held[keep], place[keep], agenda[keep], code_points[keep]
-            changed = np.concatenate((at, at[at > 0] - 1))
-            changed = changed[changed + 1 < len(held)]
-            same = owner[changed] == owner[changed + 1]
-            agenda[changed[~same]] = _NONE
-            changed = changed[same]
-            agenda[changed] = self._entries(held[changed], held[changed + 1], place[changed])
-            agenda[-1:] = _NONE
-        owner, held, code_points = (np.concatenate(x) for x in zip(*done))
-        order = np.argsort(owner, kind="stable")
-        held, code_points = held[order], code_points[order]
-        ends = np.cumsum(np.bincount(owner, minlength=len(words)))
-        odd = set(owner[order][held < 0].tolist())
-        ids, ends = held.astype("<i4").tobytes(), ends.tolist()
-        out = [ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
-        for i in odd:
-            part = slice(ends[i - 1] if i else 0, ends[i])
-            out[i] = self._spelled(zip(held[part].tolist(), map(chr, code_points[part].tolist())))
-        return out
+                merged = (keys[word] ^ (rank.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64))) * spread >> np.uint64(32) >= bound
+                agenda_flat[left[~merged]] = _NONE
+                left, rank, place = left[merged], rank[merged], place[merged]
+            if trace:
+                done.append((word, rank.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)))
+            piece = self.ranked[rank]
+            right, near = after[left], before[left]
+            far = after[right]
+            held_flat[left], held_flat[right], agenda_flat[right] = piece, -2, _NONE
+            after[left], before[far] = far, left
+            agenda_flat[left] = self._entries(piece, held_flat[far], place)
+            agenda_flat[near] = self._entries(held_flat[near], piece, near // np.int32(width) - np.int32(1))
+        by_word = np.ascontiguousarray(held[1:-1].T)
+        there = by_word != -2
+        ids, sizes = by_word[there], there.sum(axis=1)
+        if (none := ids < 0).any():
+            spelled = [self._bytes(chr(c)) for c in code_points.T[there][none].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[none] = [len(x) for x in spelled]
+            sizes = np.bincount(np.repeat(np.repeat(np.arange(width), sizes), times), minlength=width)
+            ids = np.repeat(ids, times)
+            ids[ids < 0] = np.concatenate(spelled)
+        if not trace:
+            return ids, sizes
+        word, merges = (np.concatenate(x) for x in zip((np.empty(0, np.int64), np.empty(0, np.uint64)), *done))
+        return ids, sizes, merges[np.argsort(word, kind="stable")], np.bincount(word, minlength=width)
 
     def _entries(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Agenda entries of adjacent symbols: rank of their piece above their place, or none."""
-        pair = left << 16 | right  # negative where a side is no piece
-        rank = np.full(len(pair), -1, np.int64)
-        todo = slice(None)
-        for spread, pairs, ranks, full in self.slots:
-            slot = pair[todo] * spread >> 44 & (1 << _SLOTS) - 1
-            hit = pairs[slot] == pair[todo]
-            rank[todo] = np.where(hit, ranks[slot], -1)
-            more = full[slot] & ~hit
+        pair = (left.astype(np.int64) << 16 | right).view(np.uint64)  # beyond 32 bits where a side is no piece
+        entry = np.full(len(pair), _NONE, np.int32)
+        todo: np.ndarray | slice = slice(None)
+        for spread, slots in self.slots:
+            sought = pair[todo]
+            found = slots[sought * spread >> np.uint64(64 - _SLOTS)]
+            hit = found >> np.uint64(32) == sought
+            rank = found.astype(np.int32) & np.int32(0xFFFF)
+            entry[todo] = np.where(hit, rank << np.int32(_PLACE) | place[todo], _NONE)
+            more = (found & np.uint64(1 << 31)).astype(bool) & ~hit
             todo = np.flatnonzero(more) if isinstance(todo, slice) else todo[more]
             if not len(todo):
                 break
-        return np.where(rank >= 0, rank << 32 | place, _NONE)
+        return entry
+
+    def _segment(self, words: list[str], keys: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segmentations of words under their keys, with the start and size of each: short words together, long ones by a heap each."""
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        sizes = np.zeros(len(words), np.int64)
+        order = np.argsort(counts.clip(max=_SHORT + 1).astype(np.uint8), kind="stable")
+        n_short = int(np.count_nonzero(counts <= _SHORT))
+        parts = [np.empty(0, np.int32)]
+        for a in range(0, n_short, _TOGETHER):
+            part = order[a : min(a + _TOGETHER, n_short)]
+            ids, sizes[part] = self._merged([words[i] for i in part.tolist()], counts[part], keys[part], threshold)
+            parts.append(ids)
+        for i in order[n_short:].tolist():
+            parts.append(np.frombuffer(self.merge(words[i], int(keys[i]), threshold), "<i4"))
+            sizes[i] = len(parts[-1])
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(parts), starts, sizes
 
     def encode(self, texts: list[str], keys: list[int] | None = None, rate: float = 0.0, cache: int = 800_000) -> list[np.ndarray]:
-        """Ids of each text; keys: what the seed and each document give. Words of all texts are segmented together."""
+        """Ids of each text; keys: what the seed and each document give."""
+        ids, ends = self.encode_flat(texts, keys, rate, cache)
+        ends = ends.tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
+
+    def encode_flat(self, texts: list[str], keys: list[int] | None = None, rate: float = 0.0, cache: int = 800_000) -> tuple[np.ndarray, np.ndarray]:
+        """encode() as one array, and where each text begins and ends in it. Words of all texts are segmented together."""
         threshold = int(rate * (1 << 32))
         if len(self.words) > cache:
-            self.words = {}
-        occurring: list[str] = []
-        counts = []
-        for text in texts:
-            text = text.replace(MARK, _OWN_MARK) if MARK in text else text
-            if text and self.prefix and text[0] != " " and "  " not in text:  # each mark starts a word
-                words = (MARK + text.replace(" ", f" {MARK}")).split(" ")
-            else:
-                words = _WORD.findall((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else [""]
-                words.pop()  # the empty match at the end
-            occurring += words
-            counts.append(len(words))
-        number = _Numbers()
-        numbers = list(map(number.__getitem__, occurring))
-        distinct = list(number)
-        known = self._plain(distinct)
-        plain = [known[w][0] for w in distinct]
-        found = list(map(plain.__getitem__, numbers))
+            self.words, self.plain, self.merges = {}, Runs(np.empty(0, np.int32)), Runs(np.empty(0, np.uint64))
+        distinct, of, counts = self._words(texts)
+        ids, starts, sizes, merges, first, n_merges = self._plain(distinct)
         ends = np.cumsum([0, *counts])
-        if threshold and occurring:
-            of = np.array(numbers, np.int64)
+        starts, sizes = starts[of], sizes[of]
+        if threshold and len(of):
             place_of = np.arange(len(of), dtype=np.uint64) - np.repeat(ends[:-1], counts).astype(np.uint64)
             own = np.repeat(np.array(keys if keys else [0] * len(texts), np.uint64), counts)
             place_keys = mix_array(own ^ (place_of + np.uint64(1)) * np.uint64(_ODD))
-            merges = [known[w][1] for w in distinct]
-            sizes = np.fromiter(map(len, merges), np.int64, len(merges))
-            entries = np.concatenate([np.empty(0, np.uint64), *merges])
-            starts = np.cumsum(sizes) - sizes
-            for a in range(0, len(of), 200_000):
-                part, part_keys = of[a : a + 200_000], place_keys[a : a + 200_000]
-                n = sizes[part]
-                upto = np.cumsum(n)
-                at = np.arange(upto[-1]) + np.repeat(starts[part] - upto + n, n)
-                skipped = (np.repeat(part_keys, n) ^ entries[at]) * np.uint64(_ODD) >> np.uint64(32) < np.uint64(threshold)
-                hit = np.unique(np.repeat(np.arange(len(part)), n)[skipped])
-                for i, ids in zip((hit + a).tolist(), self._segment([occurring[i] for i in (hit + a).tolist()], part_keys[hit], threshold)):
-                    found[i] = ids
-        ends = ends.tolist()
-        return [np.frombuffer(b"".join(found[a:b]), "<i4") for a, b in zip(ends, ends[1:])]
-
-    def _plain(self, distinct: list[str]) -> dict[str, tuple[bytes, np.ndarray]]:
-        """The plain ids and the merges of each word; short ones are kept in the cache."""
-        known = {w: got for w in distinct if (got := self.words.get(w)) is not None}
-        new = [w for w in distinct if w not in known]
-        short = [w for w in new if len(w) <= _SHORT]
-        for a in range(0, len(short), 50_000):
-            part = short[a : a + 50_000]
-            taken: list[tuple[np.ndarray, np.ndarray]] = []
-            ids = self.merge_many(part, np.zeros(len(part), np.uint64), 0, taken)
-            owner, entries = (np.concatenate(x) for x in zip(*taken)) if taken else (np.empty(0, np.int64), np.empty(0, np.int64))
-            entries = entries[np.argsort(owner, kind="stable")].astype(np.uint64)
-            cuts = np.cumsum(np.bincount(owner, minlength=len(part))).tolist()
-            for w, x, i, j in zip(part, ids, [0, *cuts], cuts):
-                self.words[w] = known[w] = (x, entries[i:j].copy())
-        for w in new:
-            if len(w) > _SHORT:
-                merges: list[int] = []
-                known[w] = (self.merge(w, 0, 0, merges), np.array(merges, np.uint64))
-        return known
+            hits = [np.empty(0, np.int64)]
+            for a in range(0, len(of), _TOGETHER):
+                part, part_keys = of[a : a + _TOGETHER], place_keys[a : a + _TOGETHER]
+                n = n_merges[part]
+                entries = gathered(merges, first[part], n)
+                skipped = (np.repeat(part_keys, n) ^ entries) * np.uint64(_ODD) >> np.uint64(32) < np.uint64(threshold)
+                hit = np.zeros(len(part), bool)
+                hit[np.repeat(np.arange(len(part)), n)[skipped]] = True
+                hits.append(np.flatnonzero(hit) + a)
+            hit = np.concatenate(hits)
+            cut, cut_starts, sizes[hit] = self._segment([distinct[i] for i in of[hit].tolist()], place_keys[hit], threshold)
+            starts[hit] = cut_starts + len(ids)
+            ids = np.concatenate((ids, cut))
+        out = np.empty(int(sizes.sum()), np.int32)
+        upto = 0
+        for a in range(0, len(of), _TOGETHER):
+            part = gathered(ids, starts[a : a + _TOGETHER], sizes[a : a + _TOGETHER])
+            out[upto : (upto := upto + len(part))] = part
+        return out, np.concatenate(([0], np.cumsum(sizes)))[ends]
+
+    def _words(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[int]]:
+        """The distinct words, the number in them of every occurrence, and how many each text has."""
+        odd = np.array([not (self.prefix and t and t[0] != " " and "  " not in t and MARK not in t) for t in texts], bool)
+        try:  # each space starts a word
+            plain = pa.array([t for t, x in zip(texts, odd.tolist()) if not x], pa.large_string())
+        except UnicodeEncodeError:  # a lone surrogate
+            odd[:], plain = True, pa.array([], pa.large_string())
+        split = pa.compute.split_pattern(plain, " ")
+        coded = split.flatten().dictionary_encode()
+        distinct = [MARK + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        of = coded.indices.to_numpy()
+        counts = np.zeros(len(texts), np.int64)
+        counts[~odd] = split.value_lengths().to_numpy()
+        if odd.any():
+            number = _Numbers(zip(distinct, range(len(distinct))))
+            numbers: list[int] = []
+            for i in np.flatnonzero(odd).tolist():
+                words = _WORD.findall((MARK if self.prefix else "") + texts[i].replace(MARK, _OWN_MARK).replace(" ", MARK)) if texts[i] else [""]
+                words.pop()  # the empty match at the end
+                numbers += map(number.__getitem__, words)
+                counts[i] = len(words)
+            distinct = list(number)
+            of, split_of = np.empty(int(counts.sum()), np.int32), of
+            by_pattern = np.repeat(odd, counts)
+            of[by_pattern], of[~by_pattern] = numbers, split_of
+        return distinct, of, counts.tolist()
+
+    def _plain(self, distinct: list[str]) -> tuple[np.ndarray, ...]:
+        """The plain ids of the words, with the start and size of each word's, and their merges alike; short words are kept in the cache."""
+        at = np.fromiter((self.words.get(w, -1) for w in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0)
+        counts = np.fromiter((len(distinct[i]) for i in new.tolist()), np.int64, len(new))
+        short, long = new[counts <= _SHORT], new[counts > _SHORT]
+        counts = counts[counts <= _SHORT]
+        order = np.argsort(counts.astype(np.uint8), kind="stable")
+        for a in range(0, len(order), _TOGETHER):
+            part = short[order[a : a + _TOGETHER]]
+            words = [distinct[i] for i in part.tolist()]
+            ids, sizes, merges, n_merges = self._merged(words, counts[order[a : a + _TOGETHER]], np.zeros(len(words), np.uint64), 0, trace=True)
+            at[part] = np.arange(self.plain.n, self.plain.n + len(part))
+            self.words.update(zip(words, range(self.plain.n, self.plain.n + len(part))))
+            self.plain.add(ids, sizes)
+            self.merges.add(merges, n_merges)
+        got: list[np.ndarray] = []
+        by_heap: list[list[int]] = [[] for _ in long]
+        heaped = [np.frombuffer(self.merge(distinct[i], 0, 0, by), "<i4") for i, by in zip(long.tolist(), by_heap)]
+        kept = np.flatnonzero(at >= 0)
+        for runs, more in ((self.plain, heaped), (self.merges, [np.array(by, np.uint64) for by in by_heap])):
+            values, kept_sizes = runs.taken(at[kept])
+            sizes, starts = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+            sizes[kept], sizes[long] = kept_sizes, [len(x) for x in more]
+            order = np.concatenate((kept, long))
+            starts[order] = np.cumsum(sizes[order]) - sizes[order]
+            got += [np.concatenate((values, *more)), starts, sizes]
+        return tuple(got)
 
     def decode(self, ids) -> str:
         """The text that was encoded, exactly."""
         text = b"".join(map(self.data.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "surrogatepass")
         return text[1:] if self.prefix and text else text
 
-    def _segment(self, words: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
-        """Segmentations of words under their keys: short words together, long ones by a heap each."""
-        out: list = [None] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= _SHORT]
-        for a in range(0, len(short), 50_000):
-            part = short[a : a + 50_000]
-            for i, got in zip(part, self.merge_many([words[i] for i in part], keys[part], threshold)):
-                out[i] = got
-        for i, w in enumerate(words):
-            if out[i] is None:
-                out[i] = self.merge(w, int(keys[i]), threshold)
-        return out
+    def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[str]:
+        """decode() of each run of ids between two ends."""
+        spelled = self._spellings.take(pa.array(ids))
+        text = memoryview(spelled.buffers()[2] or b"")
+        at = np.frombuffer(spelled.buffers()[1], np.int64)[spelled.offset :][ends].tolist() if len(ids) else [0] * len(ends)
+        for a, b in zip(at, at[1:]):
+            t = str(text[a:b], "utf-8", "surrogatepass")
+            yield t[1:] if self.prefix and t else t
+
+    @cached_property
+    def _spellings(self) -> pa.Array:
+        return pa.array(self.data, pa.large_binary())
 
 
 def word_keys(pairs: list[tuple[int, str]]) -> np.ndarray:
@@ -339,17 +438,13 @@ def encode(df: DataFrame, model: str, rate: float = 0.1, seed: int = 7, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
         for batch in in_slices(batches, "text"):
-            ids = pieces.encode(batch.column("text").to_pylist(), _document_keys(seed, batch), rate)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
+            ids, ends = pieces.encode_flat(batch.column("text").to_pylist(), _document_keys(seed, batch), rate)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def _lists(ids: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
-
-
 def decode(df: DataFrame, model: str) -> DataFrame:
     """doc_id and text of rows (doc_id, ids); null ids decode to the empty text."""
 
@@ -368,12 +463,17 @@ def round_trip(df: DataFrame, model: str, rate: float = 0.1, seed: int = 7, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
         for batch in in_slices(batches, "text"):
-            rows: list[tuple] = []
             texts = batch.column("text").to_pylist()
-            for doc_id, text, ids in zip(batch.column("doc_id").to_pylist(), texts, pieces.encode(texts, _document_keys(seed, batch), rate)):
-                rows.append((doc_id, len(text), len(ids), zlib.crc32(ids.tobytes()), pieces.decode(ids) == text))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TRIP.types)], schema=_TRIP)
+            ids, ends = pieces.encode_flat(texts, _document_keys(seed, batch), rate)
+            upto = ends.tolist()
+            columns = [
+                batch.column("doc_id"),
+                [len(t) for t in texts],
+                np.diff(ends),
+                [zlib.crc32(ids[a:b]) for a, b in zip(upto, upto[1:])],
+                [back == t for back, t in zip(pieces.decode_flat(ids, ends), texts)],
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TRIP.types)], schema=_TRIP)
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, n_pieces long, ids_crc32 long, lossless boolean")
 

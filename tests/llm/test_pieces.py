@@ -1,3 +1,6 @@
+import random
+import sys
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -74,3 +77,37 @@ def test_words_are_cut_alike_either_way(model):
     by_pattern = model.encode([Marked(t) for t in texts], keys, 0.3)
     assert [x.tolist() for x in got] == [x.tolist() for x in by_pattern]
     assert [model.decode(x) for x in got] == texts
+
+
+def test_no_call_an_occurrence(model):
+    """Occurrences are looked up, cut and joined as arrays: what is called doesn't grow with their number."""
+
+    def calls(n: int) -> int:
+        text, seen = " ".join(["international communication without borders"] * n), []
+        sys.setprofile(lambda frame, event, arg: seen.append(event) if event in ("call", "c_call") else None)
+        try:
+            model.encode([text], [1], 0.3)
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    calls(1)
+    assert calls(20_000) - calls(1_000) < 19_000  # 76,000 occurrences more
+
+
+def test_arrays_agree_with_the_heap(model):
+    """Words of plain and other texts side by side, with a cache that is dropped, and characters that are no piece."""
+    r = random.Random(5)
+    parts = ["a", "b ", " ", "the ", "▁", "ing ", "é", "🙂", "\0", "日", "x" * 49, "un", "\n"]
+    texts = ["", " ", "\ud812 x", "a\0 \0\0 b\0", *("".join(r.choices(parts, k=r.randrange(40))) for _ in range(300))]
+    keys, threshold = [r.randrange(1 << 64) for _ in texts], int(0.3 * (1 << 32))
+    for part in (slice(None), slice(0, 2), slice(40, 90)):
+        want = []
+        for text, key in zip(texts[part], keys[part]):
+            words = pieces._WORD.findall("▁" + text.replace("▁", "\ud800").replace(" ", "▁"))[:-1] if text else []
+            places = pieces.mix_array(pieces.np.uint64(key) ^ (pieces.np.arange(len(words), dtype=pieces.np.uint64) + pieces.np.uint64(1)) * pieces.np.uint64(pieces._ODD))
+            want.append(b"".join(model.merge(w, int(k), threshold) for w, k in zip(words, places)))
+        got = model.encode(texts[part], keys[part], 0.3, cache=50)
+        assert [x.tobytes() for x in got] == want
+        ids, ends = model.encode_flat(texts[part], keys[part], 0.3)
+        assert ids.tobytes() == b"".join(want) and list(model.decode_flat(ids, ends)) == texts[part] == [model.decode(x) for x in got]
