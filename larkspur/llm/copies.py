@@ -14,7 +14,7 @@ No shard is taken whole by a task if it has more than `most` members. The member
 mostly a group of copies, are dealt into blocks, to each of which the member of smallest hash is added as
 well, so a group costs about its size. Members of large shards that are not in one group with all others
 then meet by an exact rule: sets of this similarity share one of the rarest fifth of their own hashes (a
-prefix in the order of frequency), so members with such a hash in common are compared, and where more than
+prefix in the order of the frequency of bins of hashes), so members with such a hash in common are compared, and where more than
 `most` have it, blocks of members that are not yet in the same group are. No pair of a large shard is left out.
 
 Defined cases: texts are compared in lower-cased words, so a null, empty or white text equals
@@ -34,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -47,6 +47,8 @@ BINS = 256
 CLEAR = 0.15
 #: Members of a shard that a task takes.
 MOST = 2048
+#: Bins of shingle hashes whose frequency is counted for prefixes.
+KINDS = 1 << 18
 _MULTIPLIERS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -218,26 +220,42 @@ def _prefixes(open_: DataFrame, heads: DataFrame, similarity: float) -> DataFram
     """(shard, node, component): the hashes, rarest among these items first, of which two sets of this similarity share one at least.
 
     Such sets of n hashes share ceil(similarity * n) of them, so one is among the first n + 1 less as many of both.
+    That holds for any order that is the same for all. This one goes by how many hashes the sets have in the hash's
+    bin, then by the hash; what reaches the driver, and the tasks, is a count for each of KINDS bins.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(KINDS, np.int64)
         for batch in in_slices(batches, "hashes"):
-            sets = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("hashes").to_pylist()]
-            sizes = np.array([len(x) for x in sets], np.int64)
-            first = sizes + 1 - np.ceil(similarity * sizes - 1e-9).astype(np.int64)
-            for i in range(0, len(sets), 1000):  # a set has about as many rows as its text has words
-                n, part = sizes[i : i + 1000], slice(i, i + 1000)
-                columns = (np.repeat(np.asarray(batch.column("node"))[part], n), np.repeat(np.asarray(batch.column("component"))[part], n), np.repeat(first[part], n), np.concatenate(sets[part]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "component", "first", "shard"])
+            counts += np.bincount(_kind(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), "<u4")), minlength=KINDS)
+        kind = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(counts[kind])], ["kind", "n"])
 
     if open_.count() <= MOST_HOT:  # keeps the sets of all others from being shuffled
         open_ = F.broadcast(open_)
-    sets = heads.select("node", "hashes").join(open_, "node").select("node", "component", "hashes")
-    held = materialise(sets.mapInArrow(run, "node long, component long, first long, shard long"), "copies-open-hashes")
-    counts = held.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    known = spread_join(held, materialise(counts.withColumn("many", F.col("n")), "copies-open-counts"), "shard", "n")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("many", "shard"))
-    return known.withColumn("place", place).where("place <= first and many > 1").select("shard", "node", "component")
+    sets = materialise(heads.select("node", "hashes").join(open_, "node").select("node", "component", "hashes"), "copies-open-sets")
+    found = sets.select("hashes").mapInArrow(count, "kind int, n long").groupBy("kind").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(KINDS, np.int64)
+    counts[np.asarray(found["kind"], np.int64)] = np.asarray(found["n"], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "hashes"):
+            node, component = np.asarray(batch.column("node")), np.asarray(batch.column("component"))
+            sets = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("hashes").to_pylist()]
+            size = np.array([len(x) for x in sets], np.int64)
+            first = size + 1 - np.ceil(similarity * size - 1e-9).astype(np.int64)
+            owner, hashes = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+            order = np.lexsort((hashes, counts[_kind(hashes)], owner))
+            place = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
+            taken = order[place < first[owner]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes[taken], node[owner[taken]], component[owner[taken]])], ["shard", "node", "component"])
+
+    return sets.mapInArrow(run, "shard long, node long, component long")
+
+
+def _kind(hashes: np.ndarray) -> np.ndarray:
+    """The bin of each 32-bit hash."""
+    return (hashes >> 14).astype(np.int64)
 
 
 def _parted(placed: DataFrame, name: str) -> DataFrame:
@@ -280,8 +298,9 @@ def links(names: DataFrame, heads: DataFrame, similarity: float = 0.8, radius: i
     if placed.where(F.col("size") > most).isEmpty():
         return _compared(small, heads, similarity, radius)
     dense = placed.where(F.col("size") > most)
-    found = materialise(_compared(small.unionByName(_dense_blocks(dense, most)), heads, similarity, radius), "copies-links")
-    components = connected_components(found)
+    placed = materialise(small.unionByName(_dense_blocks(dense, most)), "copies-placed")
+    components = connected_components(_compared(placed, heads, similarity, radius))
+    found = components.select(F.col("node").alias("src"), F.col("component").alias("dst"))
     known = dense.select("shard", "node").join(components, "node", "left").select("shard", "node", F.coalesce("component", "node").alias("component"))
     open_ = materialise(_parted(known, "copies-dense").select("node", "component").distinct(), "copies-apart")
     if open_.isEmpty():
@@ -290,7 +309,7 @@ def links(names: DataFrame, heads: DataFrame, similarity: float = 0.8, radius: i
     pairs = meeting.where(F.col("size") <= most).select("shard", "node")
     dense = meeting.where(F.col("size") > most)
     if not dense.isEmpty():
-        pairs = pairs.unionByName(_open_blocks(dense, components, most))
+        pairs = materialise(pairs.unionByName(_open_blocks(dense, components, most)), "copies-pairs")
     return found.unionByName(_compared(pairs, heads, similarity, radius))
 
 
@@ -304,9 +323,9 @@ def duplicates(df: DataFrame, similarity: float = 0.8, words: int = 5, shards: i
     components = connected_components(links(names, heads, similarity, radius, most))
     named = contents.join(components, "node", "left").withColumn("group", F.coalesce("component", "node")).select("content", "least", "n", "group")
     named = materialise(named, "copies-groups")
-    first = named.groupBy("group").agg(F.min(F.struct("least", "content")).alias("first"), F.count(F.lit(1)).alias("contents"))
+    first = materialise(named.groupBy("group").agg(F.min(F.struct("least", "content")).alias("first"), F.count(F.lit(1)).alias("contents")), "copies-first")
     judged = spread_join(named, first, "group", "contents").select("content", F.col("first.least").alias("component_id"), (F.col("content") == F.col("first.content")).alias("here"), "n")
-    found = spread_join(rows.select("doc_id", "content"), judged, "content", "n")
+    found = spread_join(rows.select("doc_id", "content"), materialise(judged, "copies-judged"), "content", "n")
     found = materialise(found.select("doc_id", "content", "component_id", (F.col("here") & (F.col("doc_id") == F.col("component_id"))).alias("stays")), "copies-found")
     remove(df.sparkSession, path)  # the sets are large
     return found

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 import xxhash
@@ -182,6 +184,74 @@ def test_a_large_shard_loses_no_pair(spark, docs):
     assert len(want) == 60 and {label.get(i, i) for i, _ in rows} == want
 
 
+def _tasks(spark, run):
+    """How many tasks ran; the driver keeps account of each."""
+    sc, group = spark.sparkContext, f"tasks-{time.time()}"
+    sc.setJobGroup(group, group)
+    try:
+        run()
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+
+
+@pytest.fixture
+def dealt_wide(spark):
+    """Shuffles of 64 partitions, which Spark doesn't coalesce."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_components_take_few_shuffles(spark, dealt_wide):
+    star = spark.createDataFrame([(i, i % 7) for i in range(7, 500)], "src long, dst long")
+    assert _tasks(spark, lambda: components.connected_components(star)) <= 64 * 4
+    chain = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(50)] + [(i, 200) for i in range(0, 100, 2)], "src long, dst long")
+    found = []
+    assert _tasks(spark, lambda: found.append(components.connected_components(chain))) <= 64 * 22
+    assert {r.component for r in found[0].collect()} == {0}
+    assert components.connected_components(star.where("false")).count() == 0
+
+
+def test_large_shards_take_few_shuffles(spark, docs, dealt_wide):
+    """Large shards that are not one group: all steps run."""
+    rng = np.random.default_rng(10)
+    own = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    passage, texts = own(60), []
+    for _ in range(30):
+        words = own(40)
+        texts += [words + passage, words[:-2] + own(2) + passage, own(40) + passage]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = []
+    tasks = _tasks(spark, lambda: got.append(copies.drop_copies(docs(*rows), most=16)))
+    assert {r.doc_id for r in got[0].collect()} == _kept(rows)[0]
+    assert tasks <= 64 * 30
+
+
+def test_prefixes_hold_what_similar_sets_share(spark, docs):
+    """In order of rarity: hashes that all sets have come last, and those of a set beyond its share are left out."""
+    rng = np.random.default_rng(12)
+    both = rng.integers(0, 1 << 32, 20, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((both, rng.integers(0, 1 << 32, 80, dtype=np.uint64)))) for _ in range(30)]
+    sets += [np.unique(np.append(s[1:], rng.integers(0, 1 << 32, 1, dtype=np.uint64))) for s in sets] + [np.empty(0, np.uint64)]
+    heads = spark.createDataFrame([(i, s.astype("<u4").tobytes()) for i, s in enumerate(sets)], "node long, hashes binary")
+    open_ = spark.createDataFrame([(i, i % 3) for i in range(len(sets) - 1)], "node long, component long")
+    found = [tuple(r) for r in copies._prefixes(open_, heads, 0.8).collect()]
+    held = {}
+    for shard, node, component in found:
+        held.setdefault(node, set()).add(shard)
+        assert component == node % 3 and shard in sets[node]
+    assert all(len(h) <= len(sets[i]) + 1 - np.ceil(0.8 * len(sets[i])) and not h & set(both.tolist()) for i, h in held.items())
+    assert sorted(held) == list(range(60)) and all(held[i] & held[i + 30] for i in range(30))
+
+
 def test_recall_on_a_larger_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     table = [(r.doc_id, r.text) for r in rows.collect()]
